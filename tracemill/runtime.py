@@ -42,4 +42,4 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def small(df: DataFrame, max_bytes: int = 32 << 20) -> bool:
     """Whether Catalyst's size estimate proves that a frame may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= max_bytes
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= max_bytes
