@@ -1,0 +1,414 @@
+"""Queries of the reference's operators over the test tables, each with the SQL it must agree with.
+
+Stand-ins: a session is events.user_id, its order (ts, event_id), a boundary is 'signup'; view, purchase and click are reading, editing and
+searching or running; an action errs if the next event of its segment is 'error'. k of props gives paths (k % 10) and patterns (k).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracemill.functions import judge, shell, text
+from tracemill.operators import behaviour, joins, nested, sampling, scoring, stats, units, windows
+from tracemill.operators.schema import EVENT_TYPES
+from tracemill.runtime import table
+from tracemill.sources import session_log
+
+Query = Callable[[SparkSession, str], DataFrame]
+KEYS = ["user_id", "segment_id"]
+
+_EV = """
+ev0 as (
+  select event_id, user_id, ts, event_type, value, cast(json_extract(props, '$.k') as integer) as k,
+    row_number() over (partition by user_id order by ts, event_id) - 1 as event_index,
+    cast(sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as segment_id
+  from events
+), ev as (
+  select *, cast(k % 10 as varchar) as path, cast(k % 10 as varchar) as scope, cast(k as varchar) as pattern, concat('cmd', k % 10, ' ', k) as command,
+    coalesce(lead(event_type) over (partition by user_id, segment_id order by event_index) = 'error', false) as errored
+  from ev0 where event_type <> 'signup'
+)"""
+
+
+def indexed(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return windows.ordinals(e, "user_id", "ts", "event_id", F.col("event_type") == "signup")
+
+
+def inside(s: SparkSession, d: str) -> DataFrame:
+    """Events within segments (the boundaries themselves left out) with paths, patterns, commands and whether they err."""
+    e = indexed(s, d).filter("event_type <> 'signup'")
+    nxt = windows.with_halo(e, 1).withColumn("_n", F.lead("event_type").over(Window.partitionBy(*KEYS, "bucket").orderBy("event_index"))).filter("home").drop("bucket", "home")
+    m = (F.col("k") % 10).cast("string")
+    return nxt.select("*", m.alias("path"), m.alias("scope"), F.col("k").cast("string").alias("pattern"), F.concat(F.lit("cmd"), m, F.lit(" "), F.col("k").cast("string")).alias("command"), F.coalesce(F.col("_n") == "error", F.lit(False)).alias("errored")).drop("_n")
+
+
+def is_(kind: str):
+    return F.col("event_type") == kind
+
+
+def detected(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    e = inside(s, d)
+    click = e.filter(is_("click"))
+    return {
+        "edit_failures": behaviour.edit_failures(e, KEYS, is_("purchase"), is_("view"), F.col("errored")),
+        "read_after_edit": behaviour.read_after_edit(e, KEYS, is_("purchase"), is_("view")),
+        "grep_reformulations": behaviour.grep_reformulations(click, KEYS),
+        "bash_retries": behaviour.bash_retries(click, KEYS),
+    }
+
+
+_DETECT = {
+    "edit_failures": "select * from ev e where event_type = 'purchase' and (errored or exists (select 1 from ev r where r.event_type = 'view' and r.user_id = e.user_id and r.segment_id = e.segment_id and r.path = e.path and r.event_index between e.event_index + 1 and e.event_index + 3))",
+    "read_after_edit": "select * from ev e where event_type = 'purchase' and exists (select 1 from ev r where r.event_type = 'view' and r.user_id = e.user_id and r.segment_id = e.segment_id and r.path = e.path and r.event_index between e.event_index + 1 and e.event_index + 3)",
+    "grep_reformulations": "select * from ev e where event_type = 'click' and exists (select 1 from ev r where r.event_type = 'click' and r.user_id = e.user_id and r.segment_id = e.segment_id and r.scope is not distinct from e.scope and r.pattern is distinct from e.pattern and r.event_index between e.event_index + 1 and e.event_index + 3)",
+    "bash_retries": "select * from ev e where event_type = 'click' and errored and exists (select 1 from ev r where r.event_type = 'click' and r.user_id = e.user_id and r.segment_id = e.segment_id and split_part(r.command, ' ', 1) = split_part(e.command, ' ', 1) and not (starts_with(r.command, e.command) and length(r.command) > length(e.command)) and r.event_index between e.event_index + 1 and e.event_index + 3)",
+}
+_COLS = "event_id, user_id, event_index, segment_id, path"
+
+
+def _burst(kind: str) -> Query:
+    def q(s: SparkSession, d: str) -> DataFrame:
+        b = windows.bursts(inside(s, d).filter(is_(kind)), [*KEYS, "path"])
+        return b.filter("burst").groupBy("path").agg(F.count("*").alias("n"))
+
+    return q
+
+
+def _burst_sql(kind: str) -> str:
+    return f"with {_EV}, u as (select path, count(*) over (partition by user_id, segment_id, path order by event_index range between 5 preceding and 5 following) as c from ev where event_type = '{kind}') select path, count(*) as n from u where c > 1 group by 1"
+
+
+_SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WORD = f"[^{_SPACE}]+"
+_MARK = text.marker_pattern()
+_BARE = r"regexp_replace(text, '(?m)^```(?s:.*?)^```', '', 'g')"
+_MARK_SQL = _MARK.replace("'", "''")
+_SIG = f"""
+sig0 as (select *, {_BARE} as bare from documents),
+sig as (
+  select doc_id, source, lang, session_id, block_index, block_kind, text, cast(len(regexp_extract_all(text, '{_WORD}')) as bigint) as length_words, cast(length(text) as bigint) as length_chars,
+    cast(len(regexp_extract_all(bare, '{_MARK_SQL}')) as bigint) as marker_count,
+    len(regexp_extract_all(bare, '\\?')) * 100.0 / greatest(len(regexp_extract_all(bare, '{_WORD}')), 1) as question_rate_per_100w,
+    len(regexp_extract_all(bare, '{_MARK_SQL}')) * 100.0 / greatest(len(regexp_extract_all(bare, '{_WORD}')), 1) as markers_per_100w
+  from sig0
+)"""
+
+
+def signals(s: SparkSession, d: str) -> DataFrame:
+    return text.signals(table(s, d, "documents"))
+
+
+def r6(name: str):
+    return F.round(name, 6).alias(name)
+
+
+def block_signals(s: SparkSession, d: str) -> DataFrame:
+    return signals(s, d).select("doc_id", "length_words", "length_chars", "marker_count", r6("question_rate_per_100w"), r6("markers_per_100w"))
+
+
+def attributed(s: SparkSession, d: str) -> DataFrame:
+    """Document blocks with the paths they name and their signals; prompts stand for blocks coupled to a tool."""
+    return signals(s, d).withColumn("paths", text.path_tokens(F.col("text"))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
+
+
+_PATHS = text.path_pattern()
+_PATHS_SQL = _PATHS.replace("'", "''")
+_ATTR = f"""
+{_SIG}, attr as (
+  select *, list_distinct(regexp_extract_all(text, '{_PATHS_SQL}')) as paths, coalesce(block_kind = 'tool_result', false) as coupled from sig
+), exploded as (
+  select *, 1.0 / len(paths) as share, unnest(paths) as path from attr
+), agg as (
+  select path, count(*) as tangle_count, sum(share) as weight, sum(case when marker_count > 0 then share else 0 end) as pw, sum(case when marker_count > 0 then share * markers_per_100w else 0 end) as pi,
+    count(*) filter (coupled) as cc from exploded where path <> '' group by 1
+), files as (
+  select path, tangle_count, coalesce(pw / nullif(weight, 0), 0) * coalesce(pi / nullif(pw, 0), 0) as markers, cc * 1.0 / tangle_count as resolution_rate from agg
+)"""
+
+
+def _counts(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Behaviour counts per path of the documents: mentions in repeated blocks stand for re-reads, tool results for edits."""
+    a = attributed(s, d).select(F.explode("paths").alias("path"), "session_id", "block_kind").filter("path <> ''")
+    reread = a.groupBy("path", "session_id").agg(F.count("*").alias("c")).filter("c > 1").groupBy("path").agg(F.sum("c").alias("n"))
+    churn = a.filter("block_kind = 'tool_result'").groupBy("path").agg(F.count("*").alias("n"))
+    return {"reread_bursts": reread, "edit_churn": churn}
+
+
+def baselines(counts: dict[str, DataFrame]) -> DataFrame:
+    one = None
+    for name, c in counts.items():
+        m = stats.median_mad(c.withColumn("v", F.col("n").cast("double")).withColumn("g", F.lit(0)), ["g"], "v").select(F.col("median").alias(f"{name}_median"), F.col("mad").alias(f"{name}_mad"))
+        one = m if one is None else one.join(F.broadcast(m), F.lit(True), "full_outer")
+    return one
+
+
+def scores(s: SparkSession, d: str) -> DataFrame:
+    c = _counts(s, d)
+    return scoring.file_scores(scoring.block_aggregate(attributed(s, d)), c, baselines(c))
+
+
+def file_score_topk(s: SparkSession, d: str) -> DataFrame:
+    return scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).select("path", "tangle_count", r6("markers"), r6("resolution_rate"), "reread_bursts", "edit_churn", "score")
+
+
+_SCORES = f"""
+{_ATTR}, men as (select unnest(paths) as path, session_id, block_kind from attr),
+rr0 as (select path, session_id, count(*) as c from men where path <> '' group by 1, 2 having count(*) > 1),
+rr as (select path, cast(sum(c) as bigint) as n from rr0 group by 1),
+ch as (select path, count(*) as n from men where path <> '' and block_kind = 'tool_result' group by 1),
+base as (select (select median(n) from rr) as rm, (select mad(n) from rr) as rd, (select median(n) from ch) as cm, (select mad(n) from ch) as cd),
+joined as (
+  select coalesce(f.path, rr.path, ch.path) as path, coalesce(tangle_count, 0) as tangle_count, coalesce(markers, 0) as markers, coalesce(resolution_rate, 0) as resolution_rate, coalesce(rr.n, 0) as reread_bursts, coalesce(ch.n, 0) as edit_churn
+  from files f full outer join rr on f.path = rr.path full outer join ch on coalesce(f.path, rr.path) = ch.path
+), scored as (
+  select *, round(markers * 0.25 + (case when coalesce(rd, 0) <= 0 then 0 else (reread_bursts - rm) / (1.4826 * rd) end) * (0.25 / 3) + (case when coalesce(cd, 0) <= 0 then 0 else (edit_churn - cm) / (1.4826 * cd) end) * (0.25 / 3), 6) as score
+  from joined, base
+)"""
+
+
+def session_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of the session records with their session and a sortable position (event time, record, path)."""
+    r = table(s, d, "session_records")
+    rec = nested.records_table(r).select("record_id", "session_id", "event_time", "record_type", "agent_sourced")
+    return nested.blocks_table(r).join(rec, "record_id").withColumn("position", F.struct("event_time", "record_id", "block_path"))
+
+
+def kappa_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Units scored by v1-pass1 and by people, one row for each unit and person."""
+    key = ["session_id", "block_index"]
+    p = table(s, d, "pass1_scores").filter("score between 0 and 3").groupBy(*key).agg(F.min("score").alias("judge"))
+    h = table(s, d, "relabel_scores").filter("relabel_score between 0 and 3").groupBy(*key, "rater_id").agg(F.min("relabel_score").alias("human"))
+    return p.join(h, key)
+
+
+_PAIRS = """
+pairs as (
+  select p.session_id, p.block_index, rater_id, judge, human from (select session_id, block_index, min(score) as judge from pass1_scores where score between 0 and 3 group by 1, 2) p
+  join (select session_id, block_index, rater_id, min(relabel_score) as human from relabel_scores where relabel_score between 0 and 3 group by 1, 2, 3) h on p.session_id = h.session_id and p.block_index = h.block_index
+)"""
+_CATS = [0, 1, 2, 3]
+
+
+def kappa_grouping_sets(s: SparkSession, d: str) -> DataFrame:
+    agg = kappa_pairs(s, d).rollup("rater_id").agg(*stats.weighted_kappa(None, "judge", "human", _CATS), F.grouping("rater_id").alias("pooled"))
+    k = stats.kappa_of(agg, _CATS, ["rater_id", "pooled"])
+    return k.select(F.coalesce("rater_id", F.lit("all")).alias("rater_id"), F.col("n").alias("n_pairs"), F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), r6("kappa"))
+
+
+def first_valid(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "attempts").filter("valid and score between 0 and 3").groupBy("pass_id", "session_id", "block_index")
+    return a.agg(F.min_by("score", F.struct("attempt", "score")).alias("score"))
+
+
+_FIRST = "fv as (select pass_id, session_id, block_index, arg_min(score, (attempt, score)) as score from attempts where valid and score between 0 and 3 group by 1, 2, 3)"
+
+
+def pairwise_kappa(s: SparkSession, d: str) -> DataFrame:
+    f = first_valid(s, d)
+    a, b = (f.select("session_id", "block_index", F.col("pass_id").alias(f"pass_{x}"), F.col("score").alias(x)) for x in "ab")
+    pairs = a.join(b, ["session_id", "block_index"]).filter("pass_a < pass_b")
+    k = stats.kappa_of(pairs.groupBy("pass_a", "pass_b").agg(*stats.weighted_kappa(pairs, "a", "b", _CATS)), _CATS, ["pass_a", "pass_b"])
+    return k.select("pass_a", "pass_b", F.col("n").alias("n_pairs"), r6("kappa"))
+
+
+def messages(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_messages").filter("session_id is not null and msg_uuid is not null")
+    return m.groupBy("session_id", "msg_uuid").agg(F.min("row_id").alias("row_id"), F.min_by("msg_role", "row_id").alias("msg_role"), F.min_by("msg_text", "row_id").alias("msg_text"))
+
+
+_MSG = "msg0 as (select *, row_number() over (partition by session_id, msg_uuid order by row_id) as rn from chat_messages where session_id is not null and msg_uuid is not null), msg as (select session_id, msg_uuid, row_id, msg_role, msg_text from msg0 where rn = 1)"
+
+
+def is_action():
+    return F.coalesce(F.lower(F.trim("msg_role")).isin("assistant", "ai", "model"), F.lit(False))
+
+
+_ACT = "coalesce(lower(trim(msg_role)) in ('assistant', 'ai', 'model'), false)"
+
+
+def anchored(s: SparkSession, d: str) -> DataFrame:
+    return units.anchor(messages(s, d), "session_id", "row_id", is_action(), "msg_text")
+
+
+def anchored_units(s: SparkSession, d: str) -> DataFrame:
+    return anchored(s, d).select("session_id", "unit", "n_fragments", F.sha2("unit_text", 256).alias("text_hash"), "emission_kind")
+
+
+_UNIT = f"""
+{_MSG}, w as (select *, {_ACT} as act, cast(coalesce(sum(case when {_ACT} then 1 else 0 end) over (partition by session_id order by row_id rows unbounded preceding), 0) as bigint) as unit from msg),
+frag as (select * from w where not act and regexp_matches(coalesce(msg_text, ''), '\\S')),
+steps as (select session_id, max(unit) as n_steps from w group by 1)"""
+
+
+def rank_correlation(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("qty"))
+    o = table(s, d, "orders").join(lines, "o_orderkey").select("o_orderpriority", "o_totalprice", "qty")
+    r = stats.average_ranks(stats.average_ranks(o, ["o_orderpriority"], "o_totalprice", "ra"), ["o_orderpriority"], "qty", "rb")
+    return r.groupBy("o_orderpriority").agg(F.round(stats.guarded_corr("ra", "rb"), 6).alias("rho"), F.count("*").alias("n"))
+
+
+def unit_coverage(s: SparkSession, d: str) -> DataFrame:
+    u = first_valid(s, d).select("session_id", "block_index")
+    return joins.coverage(table(s, d, "documents").filter("block_kind is not null"), u, ["session_id", "block_index"], "block_kind").withColumn("coverage", F.round("coverage", 6))
+
+
+def manifest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    found = docs.filter("doc_id % 7 <> 0").withColumn("sha", F.when(F.col("doc_id") % 11 == 0, F.sha2("sha", 256)).otherwise(F.col("sha"))).unionByName(docs.filter("doc_id % 13 = 0").withColumn("doc_id", -F.col("doc_id") - 1))
+    return docs, found
+
+
+def nearest(s: SparkSession, d: str) -> DataFrame:
+    e = windows.nearest_path(inside(s, d), KEYS, F.when(F.col("event_type") != "error", F.col("path")))
+    return e.filter(is_("error")).select("event_id", F.col("nearest_path").alias("path"), F.col("nearest_distance").alias("distance"), F.col("nearest_direction").alias("direction"))
+
+
+def nearest_rank(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("n")
+    pos = lambda p: F.bround(p * (n - 1), 0)
+    g = stats.index_percentiles(signals(s, d).filter("source is not null"), ["source"], "length_words", {f"q{int(p * 100)}": pos(p) for p in (0.1, 0.5, 0.9)})
+    return g
+
+
+def tool_call_summary(s: SparkSession, d: str) -> DataFrame:
+    t = joins.tool_calls(session_blocks(s, d).filter("session_id is not null"))
+    return t.groupBy("tool_name").agg(F.count("*").alias("n_calls"), F.count("result_at").alias("n_results"))
+
+
+def answers(s: SparkSession, d: str) -> DataFrame:
+    """Judges' answers made up from the ledger: prose around a JSON object, some of them broken in the ways the reader must tell apart."""
+    a = table(s, d, "attempts")
+    body = F.concat(F.lit("Verdict {sic}: "), F.to_json(F.struct("score", "justification")), F.lit(" -- end"))
+    j = a.withColumn("answer", F.when(F.col("ledger_id") % 17 == 0, F.lit("no object here")).otherwise(body)).withColumn("p", judge.answer_parts("answer"))
+    return j.groupBy(judge.outcome(F.col("p"), F.col("stop_reason")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def latency(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "attempts").groupBy("pass_id").agg(F.min("latency_s").alias("low"), F.median("latency_s").alias("middle"), F.max("latency_s").alias("high"), F.count("*").alias("n"), F.sum("infra_retries").alias("retries"))
+
+
+QUERIES: dict[str, Query] = {
+    "event_ordinal_segments": lambda s, d: indexed(s, d).select("event_id", "user_id", "event_index", "segment_id"),
+    "reread_bursts": _burst("view"),
+    "edit_churn": _burst("purchase"),
+    "tool_coupling": lambda s, d: windows.coupling(inside(s, d), KEYS, F.col("event_type").isin("view", "purchase", "click")).filter(is_("error")).select("event_id", "coupled"),
+    "tier3_nearest": nearest,
+    **{n: (lambda s, d, n=n: detected(s, d)[n].select("event_id", "user_id", "event_index", "segment_id", "path")) for n in _DETECT},
+    "bash_retry_pairs": lambda s, d: detected(s, d)["bash_retries"].select("event_id", "retry_index", "retry_command"),
+    "leakage_rollup": lambda s, d: behaviour.rollup(detected(s, d), "path"),
+    "leakage_by_session": lambda s, d: behaviour.rollup(detected(s, d), "user_id"),
+    "tool_usage_by_file": lambda s, d: inside(s, d).filter(F.col("event_type").isin("view", "purchase", "click")).groupBy("path").pivot("event_type", ["click", "purchase", "view"]).count().na.fill(0).select("path", *(F.col(c).alias(f"n_{c}") for c in ("click", "purchase", "view"))),
+    "sessions_by_file": lambda s, d: inside(s, d).groupBy("path").agg(F.countDistinct("user_id").alias("n_sessions")),
+    "carry_forward_state": lambda s, d: windows.carry_forward(indexed(s, d), "user_id", F.when(is_("purchase"), (F.col("k") % 10).cast("string")), "open_path").filter(is_("error")).select("event_id", "open_path"),
+    "block_signals": block_signals,
+    "marker_clusters": lambda s, d: text.clusters(text.marker_positions(table(s, d, "documents"), "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_markers"), F.max("cluster_index").alias("last_cluster")),
+    "median_mad_by_source": lambda s, d: stats.median_mad(signals(s, d).withColumn("v", F.col("length_words").cast("double")).filter("source is not null"), ["source"], "v"),
+    "presence_intensity": lambda s, d: stats.presence_intensity(signals(s, d).filter("source is not null"), ["source"], "markers_per_100w").select("source", r6("presence_rate"), r6("intensity_median"), "n", "n_positive", "low_confidence"),
+    "file_score_topk": file_score_topk,
+    "corpus_mode": lambda s, d: scoring.corpus_mode(scores(s, d).withColumn("score", F.round("score", 6))),
+    "noise_in_top": lambda s, d: scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).agg(F.count_if(scoring.noisy(F.col("path"))).alias("n_noise"), F.count_if(scoring.ignored(F.col("path"))).alias("n_ignored"), F.count("*").alias("n")),
+    "topk_excerpts": lambda s, d: scoring.top_per_group(signals(s, d).filter("source is not null").select("source", "doc_id", "marker_count"), "source", [F.desc_nulls_last("marker_count"), F.col("doc_id")], 5).select("source", "doc_id", "marker_count", "rank"),
+    "path_tokens": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(text.path_tokens(F.col("text"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents")),
+    "home_redaction": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.redact_home(F.concat(F.lit("/home/someone/"), F.col("text"))), 256).alias("hash")),
+    "model_distribution": lambda s, d: table(s, d, "chat_messages").groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.count("*").alias("n_events"), F.countDistinct("session_id").alias("n_sessions")),
+    "last_first_title": lambda s, d: joins.first_last(table(s, d, "active_sessions"), "session_id", "mtime", "title"),
+    "session_age": lambda s, d: table(s, d, "active_sessions").select("session_id", "mtime", text.relative_time(F.lit(1_780_000_000.0) - F.col("mtime")).alias("age"), text.fallback_title(F.col("title")).alias("short_title")).groupBy("age").agg(F.count("*").alias("n"), F.max(F.length("short_title")).cast("long").alias("longest")),
+    "anchored_units": anchored_units,
+    "fragment_offsets": lambda s, d: units.recovered(anchored(s, d)).select("session_id", "unit", F.posexplode("fragments").alias("nth", "f"), "recovered").select("session_id", "unit", F.col("nth").cast("long").alias("nth"), "f.start", "f.end", F.sha2(F.element_at("recovered", F.col("nth") + 1), 256).alias("text_hash")),
+    "alternation_census": lambda s, d: units.alternation(messages(s, d), "session_id", "row_id", is_action()),
+    "systematic_sample": lambda s, d: sampling.systematic(table(s, d, "documents").select("doc_id"), "doc_id"),
+    "stratified_sample": lambda s, d: sampling.stratified(table(s, d, "documents").filter("block_kind is not null").select("block_kind", "doc_id"), "block_kind", "doc_id", 10),
+    "nearest_rank_quantiles": nearest_rank,
+    "index_percentiles": lambda s, d: stats.index_percentiles(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p10": F.floor(F.col("n") / 10), "p50": F.floor(F.col("n") / 2)}),
+    "label_confusion": lambda s, d: stats.confusion(kappa_pairs(s, d), "human", "judge", _CATS),
+    "label_agreement": lambda s, d: kappa_pairs(s, d).groupBy(F.abs(F.col("judge") - F.col("human")).alias("distance")).agg(F.count("*").alias("n")),
+    "kappa_grouping_sets": kappa_grouping_sets,
+    "pairwise_kappa": pairwise_kappa,
+    "rerun_agreement": lambda s, d: first_valid(s, d).groupBy("session_id", "block_index").agg(F.count("*").alias("k"), F.countDistinct("score").alias("u")).filter("k >= 2").agg(F.count("*").alias("n_compared"), F.count_if(F.col("u") == 1).alias("n_agree")),
+    "final_attempts": lambda s, d: joins.final_attempts(table(s, d, "attempts"), ["pass_id", "session_id", "block_index"]),
+    "latency_stats": latency,
+    "answer_outcomes": answers,
+    "bootstrap_kappa_ci": lambda s, d: stats.bootstrap_kappa(kappa_pairs(s, d), "judge", "human"),
+    "rank_correlation": rank_correlation,
+    "pearson_guarded": lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(stats.guarded_corr("l_quantity", "l_extendedprice"), 6).alias("r")),
+    "coverage_left_join": unit_coverage,
+    "reverse_gap_anti": lambda s, d: joins.reverse_gap(first_valid(s, d).select("session_id", "block_index").distinct(), table(s, d, "documents").select("session_id", "block_index"), ["session_id"], ["session_id", "block_index"]),
+    "manifest_diff": lambda s, d: joins.manifest_diff(*manifest(s, d), "doc_id", "sha"),
+    "sha_gate": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")),
+    "robust_z_stats": lambda s, d: table(s, d, "baseline_stats").filter("median is not null and mad is not null and not isnan(median) and not isnan(mad)").select("stat_id", F.round(stats.robust_z(F.lit(1.0), F.col("median"), F.col("mad")), 4).alias("z")).filter("abs(z) < 1e6"),
+    "unknown_types": lambda s, d: nested.records_table(table(s, d, "session_records")).filter(~F.col("record_type").isin(*EVENT_TYPES)).groupBy("record_type").agg(F.count("*").alias("n")),
+    "tool_call_summary": tool_call_summary,
+    "thinking_blocks": lambda s, d: session_blocks(s, d).filter("block_type = 'thinking' and session_id is not null").groupBy("session_id").agg(F.count("*").alias("n_blocks"), F.count_if("agent_sourced").alias("n_agent")),
+    "shell_paths": lambda s, d: session_log.shell_commands(table(s, d, "session_records")).select(F.split_part("command", F.lit(" "), F.lit(1)).alias("program"), shell.shell_paths(F.concat(F.lit("cat src/a.py && "), "command")).alias("paths")).groupBy("program").agg(F.count("*").alias("n_commands"), F.sum(F.size("paths")).alias("n_paths")),
+    "json_first_object": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(judge.first_json_object(F.concat(F.lit("{ props: "), "props", F.lit(" }"))), "$.k").cast("long").alias("k")),
+    "symbol_histogram": lambda s, d: joins.symbols(table(s, d, "part").select(F.col("p_name").alias("t")), "t"),
+}
+
+_KAPPA = "count(*) as n_pairs, avg((judge - human) * (judge - human)) as o, " + " + ".join(f"count(*) filter (judge = {i}) * count(*) filter (human = {j}) * {(i - j) ** 2}.0" for i in _CATS for j in _CATS if i != j) + " as e"
+
+SQL: dict[str, str] = {
+    "event_ordinal_segments": f"with {_EV} select event_id, user_id, event_index, segment_id from ev0",
+    "reread_bursts": _burst_sql("view"),
+    "edit_churn": _burst_sql("purchase"),
+    "tool_coupling": f"with {_EV}, c as (select event_id, event_type, max(event_type in ('view', 'purchase', 'click')) over (partition by user_id, segment_id order by event_index range between 3 preceding and 3 following) as coupled from ev) select event_id, coupled from c where event_type = 'error'",
+    "tier3_nearest": f"""with {_EV}, best as (
+      select e.event_id, arg_min(r.path, (abs(r.event_index - e.event_index), r.event_index)) as path, min(abs(r.event_index - e.event_index)) as distance, arg_min(case when r.event_index < e.event_index then 'before' else 'after' end, (abs(r.event_index - e.event_index), r.event_index)) as direction
+      from ev e join ev r on r.user_id = e.user_id and r.segment_id = e.segment_id and r.event_index between e.event_index - 3 and e.event_index + 3 and r.event_index <> e.event_index and r.event_type <> 'error'
+      where e.event_type = 'error' group by 1)
+      select e.event_id, b.path, b.distance, b.direction from ev e left join best b on b.event_id = e.event_id where e.event_type = 'error'""",
+    **{n: f"with {_EV} select {_COLS} from ({q})" for n, q in _DETECT.items()},
+    "bash_retry_pairs": f"""with {_EV} select e.event_id, min(r.event_index) as retry_index, arg_min(r.command, r.event_index) as retry_command from ev e join ev r on r.event_type = 'click' and r.user_id = e.user_id and r.segment_id = e.segment_id
+      and split_part(r.command, ' ', 1) = split_part(e.command, ' ', 1) and not (starts_with(r.command, e.command) and length(r.command) > length(e.command)) and r.event_index between e.event_index + 1 and e.event_index + 3
+      where e.event_type = 'click' and e.errored group by 1""",
+    **{
+        f"leakage_{n}": f"with {_EV}, u as (" + " union all ".join(f"select {k}, '{x}' as kind from ({q})" for x, q in _DETECT.items()) + f") select {k}, " + ", ".join(f"count(*) filter (kind = '{x}') as {x}" for x in _DETECT) + f", count(*) as total from u group by {k}"
+        for n, k in (("rollup", "path"), ("by_session", "user_id"))
+    },
+    "tool_usage_by_file": f"with {_EV} select path, count(*) filter (event_type = 'click') as n_click, count(*) filter (event_type = 'purchase') as n_purchase, count(*) filter (event_type = 'view') as n_view from ev where event_type in ('view', 'purchase', 'click') group by 1",
+    "sessions_by_file": f"with {_EV} select path, count(distinct user_id) as n_sessions from ev group by 1",
+    "carry_forward_state": f"with {_EV}, c as (select event_id, event_type, last_value(case when event_type = 'purchase' then cast(k % 10 as varchar) end ignore nulls) over (partition by user_id order by event_index rows unbounded preceding) as open_path from ev0) select event_id, open_path from c where event_type = 'error'",
+    "block_signals": f"with {_SIG} select doc_id, length_words, length_chars, marker_count, round(question_rate_per_100w, 6) as question_rate_per_100w, round(markers_per_100w, 6) as markers_per_100w from sig",
+    "median_mad_by_source": f"with {_SIG} select source, coalesce(median(length_words), 0.0) as median, coalesce(mad(length_words), 0.0) as mad, count(length_words) as n, count(length_words) < 20 as low_confidence from sig where source is not null group by 1",
+    "presence_intensity": f"with {_SIG} select source, round(avg(case when markers_per_100w > 0 then 1.0 when markers_per_100w is not null then 0.0 end), 6) as presence_rate, round(coalesce(median(markers_per_100w) filter (markers_per_100w > 0), 0.0), 6) as intensity_median, count(markers_per_100w) as n, count(*) filter (markers_per_100w > 0) as n_positive, count(*) filter (markers_per_100w > 0) < 20 as low_confidence from sig where source is not null group by 1",
+    "file_score_topk": f"with {_SCORES} select path, tangle_count, round(markers, 6) as markers, round(resolution_rate, 6) as resolution_rate, reread_bursts, edit_churn, score from scored order by score desc, path limit 20",
+    "corpus_mode": f"""with {_SCORES}, m as (select score, path, row_number() over (order by score desc, path) as rn, lead(score) over (order by score desc, path) as nxt, sum(score) over () as total from scored where score >= 0.1),
+      x as (select (select count(*) from scored) as n_files, (select count(*) from m) as n_meaningful, (select min(rn) from m where rn <= 3 and score / nxt >= 2) as cliff,
+        (select count(*) from (select rn, min(case when score / total >= 0.3 then 1 else 0 end) over (order by rn) as ok from m) where rn <= 3 and ok = 1) as dom)
+      select case when n_meaningful = 0 then 'empty' when n_meaningful < 10 then 'calm' else 'healthy' end as mode, n_files, n_meaningful, case when n_meaningful >= 10 then coalesce(cliff, dom) else 0 end as n_standouts from x""",
+    "topk_excerpts": f"with {_SIG} select source, doc_id, marker_count, rank from (select source, doc_id, marker_count, row_number() over (partition by source order by marker_count desc nulls last, doc_id) as rank from sig where source is not null) where rank <= 5",
+    "path_tokens": f"with p as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '{_PATHS_SQL}'))) as path from documents) select path, count(*) as n_documents from p group by 1",
+    "home_redaction": r"select doc_id, sha256(regexp_replace('/home/someone/' || text, '/(?:Users|home)/[^/\s]+', '~', 'g')) as hash from documents",
+    "model_distribution": "select coalesce(model, 'unknown') as model, count(*) as n_events, count(distinct session_id) as n_sessions from chat_messages group by 1",
+    "anchored_units": f"""with {_UNIT} select f.session_id, unit, count(*) as n_fragments, sha256(string_agg(msg_text, chr(10) || chr(10) order by row_id)) as text_hash, case when unit >= max(n_steps) then 'terminal' else 'free-standing' end as emission_kind from frag f join steps using (session_id) group by 1, 2""",
+    "fragment_offsets": f"""with {_UNIT}, o as (select session_id, unit, row_number() over w - 1 as nth, cast(coalesce(sum(length(msg_text) + 2) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as "start", length(msg_text) as n, msg_text from frag window w as (partition by session_id, unit order by row_id))
+      select session_id, unit, nth, "start", "start" + n as "end", sha256(msg_text) as text_hash from o""",
+    "alternation_census": f"with {_MSG}, a as (select session_id, row_id, {_ACT} as act, lag({_ACT}) over (partition by session_id order by row_id) as before from msg) select session_id, count(*) as n_events, count(*) filter (not act and not coalesce(before, true)) as n_consecutive, count(*) filter (act and coalesce(before, true)) as n_unpreceded, cast(not arg_max(act, row_id) as integer) as trailing from a group by 1",
+    "systematic_sample": "with r as (select doc_id, row_number() over (order by doc_id) - 1 as i, count(*) over () as n from documents) select doc_id from r where i % cast(ceil(n / 50.0) as bigint) = 0",
+    "stratified_sample": "select block_kind, doc_id, rank from (select block_kind, doc_id, row_number() over (partition by block_kind order by md5('18:' || doc_id), doc_id) as rank from documents where block_kind is not null) where rank <= 10",
+    "nearest_rank_quantiles": f"with {_SIG}, l as (select source, list_sort(list(length_words) filter (length_words is not null)) as x, count(length_words) as n from sig where source is not null group by 1) select source, n, " + ", ".join(f"x[cast(round_even({p} * (n - 1), 0) as integer) + 1] as q{int(p * 100)}" for p in (0.1, 0.5, 0.9)) + " from l where n > 0",
+    "index_percentiles": "with l as (select o_orderpriority, list_sort(list(o_totalprice)) as x, count(*) as n from orders group by 1) select o_orderpriority, n, x[n // 10 + 1] as p10, x[n // 2 + 1] as p50 from l",
+    "label_confusion": f"with {_PAIRS} select human, " + ", ".join(f"count(*) filter (judge = {c}) as c_{c}" for c in _CATS) + " from pairs group by 1",
+    "label_agreement": f"with {_PAIRS} select abs(judge - human) as distance, count(*) as n from pairs group by 1",
+    "kappa_grouping_sets": f"with {_PAIRS}, k as (select case when grouping(rater_id) = 1 then 'all' else rater_id end as rater_id, {_KAPPA} from pairs group by grouping sets ((), (rater_id))) select rater_id, n_pairs, round(o, 6) as observed, round(e / (n_pairs * n_pairs), 6) as expected, case when e > 0 then round(1 - o / (e / (n_pairs * n_pairs)), 6) end as kappa from k where n_pairs > 0",
+    "pairwise_kappa": f"with {_FIRST}, p as (select a.pass_id as pass_a, b.pass_id as pass_b, a.score as judge, b.score as human from fv a join fv b on a.session_id = b.session_id and a.block_index = b.block_index and a.pass_id < b.pass_id), k as (select pass_a, pass_b, {_KAPPA} from p group by 1, 2) select pass_a, pass_b, n_pairs, case when e > 0 then round(1 - o / (e / (n_pairs * n_pairs)), 6) end as kappa from k",
+    "rerun_agreement": f"with {_FIRST}, g as (select count(*) as k, count(distinct score) as u from fv group by session_id, block_index) select count(*) as n_compared, count(*) filter (u = 1) as n_agree from g where k >= 2",
+    "final_attempts": "select pass_id, session_id, block_index, count(distinct attempt) as n_attempts, coalesce(arg_min(attempt, (attempt, ledger_id)) filter (valid), arg_max(attempt, (attempt, ledger_id))) as attempt, arg_min(score, (attempt, ledger_id)) filter (valid) as score, coalesce(bool_or(valid), false) or count(distinct attempt) >= 2 as complete from attempts group by 1, 2, 3",
+    "latency_stats": "select pass_id, min(latency_s) as low, median(latency_s) as middle, max(latency_s) as high, count(*) as n, cast(sum(infra_retries) as bigint) as retries from attempts group by 1",
+    "rank_correlation": """with l as (select l_orderkey, sum(l_quantity) as qty from lineitem group by 1), o as (select o_orderpriority as g, o_totalprice as a, qty as b from orders join l on o_orderkey = l_orderkey),
+      r as (select g, rank() over (partition by g order by a) + (count(*) over (partition by g, a) - 1) / 2.0 as ra, rank() over (partition by g order by b) + (count(*) over (partition by g, b) - 1) / 2.0 as rb from o)
+      select g as o_orderpriority, round(corr(ra, rb), 6) as rho, count(*) as n from r group by 1""",
+    "pearson_guarded": "select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem group by 1",
+    "coverage_left_join": f"with {_FIRST}, u as (select distinct session_id, block_index from fv) select block_kind, count(*) as n_rows, count(u.session_id) as n_joined, round(count(u.session_id) / count(*), 6) as coverage from documents d left join u on d.session_id = u.session_id and d.block_index = u.block_index where block_kind is not null group by 1",
+    "reverse_gap_anti": f"with {_FIRST} select distinct session_id, block_index from fv where session_id in (select session_id from documents where session_id is not null) and not exists (select 1 from documents d where d.session_id = fv.session_id and d.block_index = fv.block_index)",
+    "manifest_diff": "with e as (select doc_id, sha256(coalesce(text, '')) as sha from documents), f as (select doc_id, case when doc_id % 11 = 0 then sha256(sha) else sha end as sha from e where doc_id % 7 <> 0 union all select -doc_id - 1, sha from e where doc_id % 13 = 0) select coalesce(e.doc_id, f.doc_id) as doc_id, case when f.doc_id is null then 'missing' when e.doc_id is null then 'extra' else 'changed' end as status from e full outer join f on e.doc_id = f.doc_id where f.doc_id is null or e.doc_id is null or e.sha <> f.sha",
+    "sha_gate": "select doc_id, sha256(text) as sha from documents",
+    "robust_z_stats": "select * from (select stat_id, round(case when mad <= 0 then 0.0 else (1.0 - median) / (1.4826 * mad) end, 4) as z from baseline_stats where median is not null and mad is not null and not isnan(median) and not isnan(mad)) where abs(z) < 1e6",
+    "unknown_types": "select payload->>'$.type' as record_type, count(*) as n from session_records where payload->>'$.type' not in (" + ", ".join(f"'{t}'" for t in EVENT_TYPES) + ") group by 1",
+    "json_first_object": "select event_id, cast(props->>'$.k' as bigint) as k from events",
+    "symbol_histogram": "select symbol, count(*) as n from (select unnest(string_split(p_name, ' ')) as symbol from part) where symbol <> '' group by 1",
+}
+SQL["last_first_title"] = "select session_id, arg_min(title, (mtime, title)) filter (title is not null) as first_value, arg_max(title, (mtime, title)) filter (title is not null) as last_value from active_sessions group by 1"
