@@ -82,5 +82,32 @@ select n_units, n_labels, (select sum(o) from cells where a = b) / n_labels as p
 from total
 """
 
-SQL: dict[str, str] = {"p6_agreement": _UNITS}
+_ROLE = "case " + " ".join(f"when regexp_replace(lower(msg_role), '[^a-z]', '', 'g') in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in conversations.ROLES.items()) + " end"
+_TURNS = f"""
+with recursive rows0 as (
+  select lower(trim(session_id)) as session_id, nullif(trim(msg_uuid), '') as msg_uuid, parent_uuid, {_ROLE} as role,
+    case when regexp_matches(msg_timestamp, '^[0-9]{{11,14}}$') then cast(msg_timestamp as bigint) * 1000
+      when regexp_matches(msg_timestamp, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') and msg_timestamp not like '0000%' then epoch_us(try_cast(msg_timestamp as timestamptz)) end as instant,
+    coalesce(regexp_matches(msg_text, '[^\\s\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]'), false) as visible
+  from chat_messages where session_id is not null
+), m as (
+  select session_id, msg_uuid, min(role) as role, min(instant) as instant, bool_or(visible) as visible, max(parent_uuid) as parent_uuid, bool_or(msg_uuid is null or role is null or instant is null) as unsound from rows0 where session_id <> '' group by 1, 2
+), linked as (
+  select c.*, p.instant as above, c.parent_uuid is not null and (p.msg_uuid is null or p.instant is null or c.instant is null or p.instant > c.instant or p.msg_uuid = c.msg_uuid) as orphan from m c left join m p on p.session_id = c.session_id and p.msg_uuid = c.parent_uuid
+), deep as (
+  select session_id, msg_uuid, instant, 0 as depth from linked where parent_uuid is null or above is null or above <> instant
+  union all
+  select l.session_id, l.msg_uuid, l.instant, deep.depth + 1 from linked l join deep on l.session_id = deep.session_id and l.parent_uuid = deep.msg_uuid and l.instant = deep.instant
+), bad as (
+  select session_id from linked where unsound or orphan union select session_id from linked l where msg_uuid is not null and not exists (select 1 from deep where deep.session_id = l.session_id and deep.msg_uuid = l.msg_uuid)
+), turns as (
+  select l.session_id, l.msg_uuid, l.role, row_number() over (partition by l.session_id order by l.instant, deep.depth, l.msg_uuid) - 1 as turn from linked l join deep on deep.session_id = l.session_id and deep.msg_uuid = l.msg_uuid
+  where l.visible and l.session_id not in (select session_id from bad)
+), talk as (
+  select session_id, role, lead(role) over (partition by session_id order by turn) as answer, row_number() over (partition by session_id order by turn) as nth from turns where role in ('user', 'assistant')
+), sound as (select session_id from talk group by 1 having bool_and(role <> 'user' or coalesce(answer, '') = 'assistant') and bool_or(nth = 1 and role = 'user'))
+select session_id, cast(turn as integer) as turn, msg_uuid from turns where session_id in (select session_id from sound)
+"""
+
+SQL: dict[str, str] = {"p1_found": _TURNS, "p6_agreement": _UNITS}
 
