@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions import judge, shell, text
-from tracemill.operators import behaviour, joins, nested, sampling, scoring, stats, units, windows
+from tracemill.functions import complexity, judge, shell, text
+from tracemill.operators import attribution, behaviour, joins, nested, sampling, scoring, stats, units, windows
 from tracemill.operators.schema import EVENT_TYPES
 from tracemill.runtime import table
 from tracemill.sources import session_log
@@ -287,6 +287,22 @@ def answers(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy(judge.outcome(F.col("p"), F.col("stop_reason")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def attributed_tiers(s: SparkSession, d: str) -> DataFrame:
+    """Thinking blocks against the paths that the tool results of their session name."""
+    docs = table(s, d, "documents").filter("session_id is not null")
+    ev = docs.filter("block_kind = 'tool_result'").select("session_id", F.explode(text.path_tokens(F.col("text"))).alias("path"))
+    a = attribution.attribute(docs.filter("block_kind = 'thinking'").withColumnRenamed("doc_id", "block_id"), ev)
+    return a.filter("tier is not null").select("session_id", "block_id", "tier", F.size("file_paths").cast("long").alias("n_paths"))
+
+
+def source_measures(s: SparkSession, d: str) -> DataFrame:
+    """Texts as sources under an ending that goes by their id, with Python's branch counts where they parse."""
+    end = F.element_at(F.array(*map(F.lit, ("py", "js", "go", "sql"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    f = table(s, d, "documents").filter("text is not null").select("doc_id", F.concat(F.lit("src/d."), end).alias("path"), F.col("text").alias("content"))
+    m = complexity.measures(f).withColumn("c", complexity.cyclomatic(F.when(F.col("path").endswith(".py"), F.col("content"))))
+    return m.groupBy("path").agg(F.sum("loc").alias("loc"), F.sum("code_lines").alias("code_lines"), F.sum("n_functions").alias("n_functions"), F.count("c.n").alias("n_parsed"))
+
+
 def latency(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "attempts").groupBy("pass_id").agg(F.min("latency_s").alias("low"), F.median("latency_s").alias("middle"), F.max("latency_s").alias("high"), F.count("*").alias("n"), F.sum("infra_retries").alias("retries"))
 
@@ -345,6 +361,9 @@ QUERIES: dict[str, Query] = {
     "thinking_blocks": lambda s, d: session_blocks(s, d).filter("block_type = 'thinking' and session_id is not null").groupBy("session_id").agg(F.count("*").alias("n_blocks"), F.count_if("agent_sourced").alias("n_agent")),
     "shell_paths": lambda s, d: session_log.shell_commands(table(s, d, "session_records")).select(F.split_part("command", F.lit(" "), F.lit(1)).alias("program"), shell.shell_paths(F.concat(F.lit("cat src/a.py && "), "command")).alias("paths")).groupBy("program").agg(F.count("*").alias("n_commands"), F.sum(F.size("paths")).alias("n_paths")),
     "json_first_object": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(judge.first_json_object(F.concat(F.lit("{ props: "), "props", F.lit(" }"))), "$.k").cast("long").alias("k")),
+    "attribution_tiers": attributed_tiers,
+    "source_measures": source_measures,
+    "user_ignore": lambda s, d: table(s, d, "documents").select(F.explode(text.path_tokens(F.col("text"))).alias("path")).distinct().filter(attribution.user_ignored(F.col("path"), ["*.md", "tests/", "!tests/**/*.md", "/src/*.py", "# note"])),
     "symbol_histogram": lambda s, d: joins.symbols(table(s, d, "part").select(F.col("p_name").alias("t")), "t"),
 }
 
@@ -409,6 +428,15 @@ SQL: dict[str, str] = {
     "robust_z_stats": "select * from (select stat_id, round(case when mad <= 0 then 0.0 else (1.0 - median) / (1.4826 * mad) end, 4) as z from baseline_stats where median is not null and mad is not null and not isnan(median) and not isnan(mad)) where abs(z) < 1e6",
     "unknown_types": "select payload->>'$.type' as record_type, count(*) as n from session_records where payload->>'$.type' not in (" + ", ".join(f"'{t}'" for t in EVENT_TYPES) + ") group by 1",
     "json_first_object": "select event_id, cast(props->>'$.k' as bigint) as k from events",
+    "attribution_tiers": f"""with docs as (select * from documents where session_id is not null),
+      paths as (select distinct session_id, path, regexp_extract(path, '[^/]*$') as base, regexp_extract(path, '[^/]+/[^/]*$') as tail from (select session_id, unnest(regexp_extract_all(text, '{_PATHS_SQL}')) as path from docs where block_kind = 'tool_result') where path <> ''),
+      words as (select session_id, doc_id, token, regexp_extract(token, '[^/]*$') as base, regexp_extract(token, '[^/]+/[^/]*$') as tail from (select session_id, doc_id, unnest(regexp_extract_all(text, '{_PATHS_SQL}')) as token from docs where block_kind = 'thinking')),
+      t1 as (select w.doc_id, count(distinct path) as n from words w join paths p on w.session_id = p.session_id and w.tail = p.tail where w.tail <> '' group by 1),
+      u as (select session_id, base, max(path) as path from paths group by 1, 2 having count(*) = 1),
+      t2 as (select w.doc_id, count(distinct path) as n from words w join u on w.session_id = u.session_id and w.base = u.base group by 1)
+      select d.session_id, d.doc_id as block_id, case when t1.n is not null then 'exact_path' else 'unique_basename' end as tier, coalesce(t1.n, t2.n) as n_paths from docs d left join t1 on d.doc_id = t1.doc_id left join t2 on d.doc_id = t2.doc_id where d.block_kind = 'thinking' and coalesce(t1.n, t2.n) is not null""",
+    "user_ignore": f"""select distinct path from (select unnest(regexp_extract_all(text, '{_PATHS_SQL}')) as path from documents)
+      where case when regexp_matches(path, '^src/[^/]*[.]py(/|$)') then true when regexp_matches(path, '^tests/(.+/)?[^/]*[.]md(/|$)') then false when regexp_matches(path, '(^|/)tests/') then true else regexp_matches(path, '[.]md(/|$)') end""",
     "symbol_histogram": "select symbol, count(*) as n from (select unnest(string_split(p_name, ' ')) as symbol from part) where symbol <> '' group by 1",
 }
 SQL["last_first_title"] = "select session_id, arg_min(title, (mtime, title)) filter (title is not null) as first_value, arg_max(title, (mtime, title)) filter (title is not null) as last_value from active_sessions group by 1"

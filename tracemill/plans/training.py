@@ -34,4 +34,25 @@ QUERIES: dict[str, Query] = {
     "p5_replayed": p5_replayed,
 }
 
-SQL: dict[str, str] = {}
+_BLOCKS = """
+rec as (select record_id, try_cast(payload as json) as p from session_records),
+msg as (
+  select record_id, p->>'$.type' as t, case json_type(p->'$.message') when 'OBJECT' then p->'$.message' when 'VARCHAR' then try_cast(p->>'$.message' as json) end as m,
+    case json_type(p->'$.data') when 'OBJECT' then p->'$.data' when 'VARCHAR' then try_cast(p->>'$.data' as json) end as dat
+  from rec where json_type(p) = 'OBJECT'
+), inner1 as (
+  select *, case json_type(dat->'$.message') when 'OBJECT' then dat->'$.message' when 'VARCHAR' then try_cast(dat->>'$.message' as json) end as m1 from msg
+), inner2 as (
+  select *, case json_type(m1->'$.message') when 'OBJECT' then m1->'$.message' when 'VARCHAR' then try_cast(m1->>'$.message' as json) end as m2 from inner1
+), top as (
+  select record_id, case when t in ('assistant', 'user') then m->'$.content' when t = 'progress' and dat->>'$.type' = 'agent_progress' then m2->'$.content' end as content from inner2
+), items as (
+  select record_id, '' as parent_path, cast(i as varchar) as block_path, content->i as b from (select record_id, content, unnest(range(cast(json_array_length(content) as bigint))) as i from top where json_type(content) = 'ARRAY')
+  union all
+  select record_id, block_path, block_path || '.' || i, (b->'$.content')->i from (select record_id, block_path, b, unnest(range(cast(json_array_length(b->'$.content') as bigint))) as i from items where json_type(b) = 'OBJECT' and json_type(b->'$.type') = 'VARCHAR' and json_type(b->'$.content') = 'ARRAY')
+), blocks as (select record_id, block_path, parent_path, b->>'$.type' as block_type from items where json_type(b) = 'OBJECT' and json_type(b->'$.type') = 'VARCHAR')"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"with recursive {_BLOCKS} select * from blocks",
+    "p3_children": f"with recursive {_BLOCKS} select b.record_id, b.block_path, b.block_type, (select count(*) from blocks c where c.record_id = b.record_id and c.parent_path = b.block_path) as n_children from blocks b",
+}
