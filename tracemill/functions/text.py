@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: White space as the reference's language has it (fixed values).
-SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WORD = f"[^{SPACE}]+"
 #: The marker phrases (fixed values).
 MARKERS = ("actually", "wait", "hmm", "no,", "let me reconsider", "on second thought", "scratch that", "hold on", "reconsidering", "i was wrong", "let me think", "now i'm realizing", "however")
 CLUSTER_GAP, EXCERPT_MARGIN = 200, 50
@@ -21,10 +18,14 @@ def marker_pattern(markers: tuple[str, ...] = MARKERS) -> str:
     return f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{phrases})"
 
 
-def path_pattern(suffixes: tuple[str, ...] = SUFFIXES) -> str:
-    ends = "|".join(sorted(suffixes, key=lambda s: (-len(s), s)))
-    run = r"[^\s'\"`;|&<>$()\[\]{}*?:,]"
-    return f"{run}*\\.(?:{ends})\\b"
+#: What ends a run of path characters, inside of a character class (fixed values).
+PATH_STOPS = r"\s'\"`;|&<>$()\[\]{}*?:,"
+_ENDINGS = "|".join(sorted(SUFFIXES, key=lambda s: (-len(s), s)))
+
+
+def path_pattern() -> str:
+    """The same as one pattern, for engines without backtracking."""
+    return f"[^{PATH_STOPS}]*\\.(?:{_ENDINGS})\\b"
 
 
 def strip_fences(text: Column) -> Column:
@@ -32,7 +33,8 @@ def strip_fences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+    """Runs without white space. The separators x1C to x1F, which the engine's own class lacks, are made spaces first."""
+    return F.regexp_count(F.translate(text, "\x1c\x1d\x1e\x1f", "    "), F.lit(r"(?U)\S+"))
 
 
 def marker_count(text: Column, markers: tuple[str, ...] = MARKERS) -> Column:
@@ -57,7 +59,7 @@ def marker_positions(documents: DataFrame, key: str, text: str = "text", markers
     p = marker_pattern(markers)
     cut = bare.select(key, F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1)).alias("m"), F.split(F.regexp_replace("t", f"({p})", "\u0001$1"), "\u0001").alias("s")).filter(F.size("m") > 0)
     pieces = cut.select(key, "m", F.posexplode("s").alias("nth", "piece"))
-    lead = pieces.select(key, (F.col("nth") - 1).alias("nth"), F.try_element_at("m", F.when(F.col("nth") > 0, F.col("nth")).otherwise(10**6)).alias("marker"), word_count(F.col("piece")).alias("words"), F.col("piece").rlike(f"^[{SPACE}]").alias("opens"), F.col("piece").rlike(f"[^{SPACE}]$").alias("closes"))
+    lead = pieces.select(key, (F.col("nth") - 1).alias("nth"), F.try_element_at("m", F.when(F.col("nth") > 0, F.col("nth")).otherwise(10**6)).alias("marker"), word_count(F.col("piece")).alias("words"), F.col("piece").rlike(r"(?U)^[\s\x{1C}-\x{1F}]").alias("opens"), F.col("piece").rlike(r"(?U)[^\s\x{1C}-\x{1F}]\z").alias("closes"))
     w = Window.partitionBy(key).orderBy("nth")
     # a piece that begins inside a word joins the last word of the piece before
     joined = lead.withColumn("glued", (~F.col("opens")) & F.coalesce(F.lag("closes").over(w), F.lit(False)))
@@ -72,9 +74,16 @@ def clusters(positions: DataFrame, key: str, gap: int = CLUSTER_GAP) -> DataFram
     return positions.withColumn("_new", new).withColumn("cluster_index", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def path_mentions(text: Column) -> Column:
+    """Path-like words in order: each run of path characters up to its last known ending. Runs are cut first, so the cost stays linear."""
+    runs = F.filter(F.split(text, "[" + PATH_STOPS + "]+"), lambda w: w.contains("."))
+    found = F.transform(runs, lambda w: F.regexp_extract(w, r"^(.*\.(?:" + _ENDINGS + r"))\b", 1))
+    return F.filter(found, lambda w: w != "")
+
+
 def path_tokens(text: Column) -> Column:
     """Path-like words in order of mention, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({path_pattern()})"), F.lit(1)))
+    return F.array_distinct(path_mentions(text))
 
 
 def redact_home(text: Column) -> Column:

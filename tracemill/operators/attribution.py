@@ -17,7 +17,7 @@ def session_paths(events: DataFrame, session: str, path: str) -> DataFrame:
 
 def mentions(blocks: DataFrame, session: str, block: str, text: str) -> DataFrame:
     """(session, block, nth, token, base, tails): path-like words of each block in order, with every end of two parts they contain."""
-    words = F.regexp_extract_all(text, F.lit(f"({T.path_pattern()})"), F.lit(1))
+    words = T.path_mentions(F.col(text))
     m = blocks.select(session, block, F.posexplode(words).alias("nth", "token"))
     parts = F.split("token", "/")
     tail = F.when(F.size(parts) > 1, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import complexity, judge, shell, text
 from tracemill.operators import attribution, behaviour, joins, nested, sampling, scoring, stats, units, windows
 from tracemill.operators.schema import EVENT_TYPES
-from tracemill.runtime import table
+from tracemill.runtime import checkpointed, spread, table
 from tracemill.sources import session_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,8 +98,13 @@ sig as (
 )"""
 
 
+def documents(s: SparkSession, d: str) -> DataFrame:
+    """The documents in as many partitions as there are cores, as their regular expressions cost more than reading them."""
+    return spread(table(s, d, "documents"))
+
+
 def signals(s: SparkSession, d: str) -> DataFrame:
-    return text.signals(table(s, d, "documents"))
+    return text.signals(documents(s, d))
 
 
 def r6(name: str):
@@ -111,8 +116,9 @@ def block_signals(s: SparkSession, d: str) -> DataFrame:
 
 
 def attributed(s: SparkSession, d: str) -> DataFrame:
-    """Document blocks with the paths they name and their signals; prompts stand for blocks coupled to a tool."""
-    return signals(s, d).withColumn("paths", text.path_tokens(F.col("text"))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
+    """Document blocks with the paths they name and their signals, written once as several branches read them; tool results count as coupled."""
+    sig = signals(s, d).select("doc_id", "session_id", "block_kind", "text", "length_words", "marker_count", "markers_per_100w").withColumn("paths", text.path_tokens(F.col("text"))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
+    return checkpointed(sig.drop("text"))
 
 
 _PATHS = text.path_pattern()
@@ -130,9 +136,9 @@ _ATTR = f"""
 )"""
 
 
-def _counts(s: SparkSession, d: str) -> dict[str, DataFrame]:
+def _counts(blocks: DataFrame) -> dict[str, DataFrame]:
     """Behaviour counts per path of the documents: mentions in repeated blocks stand for re-reads, tool results for edits."""
-    a = attributed(s, d).select(F.explode("paths").alias("path"), "session_id", "block_kind").filter("path <> ''")
+    a = blocks.select(F.explode("paths").alias("path"), "session_id", "block_kind").filter("path <> ''")
     reread = a.groupBy("path", "session_id").agg(F.count("*").alias("c")).filter("c > 1").groupBy("path").agg(F.sum("c").alias("n"))
     churn = a.filter("block_kind = 'tool_result'").groupBy("path").agg(F.count("*").alias("n"))
     return {"reread_bursts": reread, "edit_churn": churn}
@@ -147,8 +153,9 @@ def baselines(counts: dict[str, DataFrame]) -> DataFrame:
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
-    c = _counts(s, d)
-    return scoring.file_scores(scoring.block_aggregate(attributed(s, d)), c, baselines(c))
+    blocks = attributed(s, d)
+    c = {n: checkpointed(x) for n, x in _counts(blocks).items()}
+    return scoring.file_scores(scoring.block_aggregate(blocks), c, baselines(c))
 
 
 def file_score_topk(s: SparkSession, d: str) -> DataFrame:
@@ -289,7 +296,7 @@ def answers(s: SparkSession, d: str) -> DataFrame:
 
 def attributed_tiers(s: SparkSession, d: str) -> DataFrame:
     """Thinking blocks against the paths that the tool results of their session name."""
-    docs = table(s, d, "documents").filter("session_id is not null")
+    docs = documents(s, d).filter("session_id is not null")
     ev = docs.filter("block_kind = 'tool_result'").select("session_id", F.explode(text.path_tokens(F.col("text"))).alias("path"))
     a = attribution.attribute(docs.filter("block_kind = 'thinking'").withColumnRenamed("doc_id", "block_id"), ev)
     return a.filter("tier is not null").select("session_id", "block_id", "tier", F.size("file_paths").cast("long").alias("n_paths"))
@@ -298,7 +305,7 @@ def attributed_tiers(s: SparkSession, d: str) -> DataFrame:
 def source_measures(s: SparkSession, d: str) -> DataFrame:
     """Texts as sources under an ending that goes by their id, with Python's branch counts where they parse."""
     end = F.element_at(F.array(*map(F.lit, ("py", "js", "go", "sql"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    f = table(s, d, "documents").filter("text is not null").select("doc_id", F.concat(F.lit("src/d."), end).alias("path"), F.col("text").alias("content"))
+    f = documents(s, d).filter("text is not null").select("doc_id", F.concat(F.lit("src/d."), end).alias("path"), F.col("text").alias("content"))
     m = complexity.measures(f).withColumn("c", complexity.cyclomatic(F.when(F.col("path").endswith(".py"), F.col("content"))))
     return m.groupBy("path").agg(F.sum("loc").alias("loc"), F.sum("code_lines").alias("code_lines"), F.sum("n_functions").alias("n_functions"), F.count("c.n").alias("n_parsed"))
 
@@ -321,15 +328,15 @@ QUERIES: dict[str, Query] = {
     "sessions_by_file": lambda s, d: inside(s, d).groupBy("path").agg(F.countDistinct("user_id").alias("n_sessions")),
     "carry_forward_state": lambda s, d: windows.carry_forward(indexed(s, d), "user_id", F.when(is_("purchase"), (F.col("k") % 10).cast("string")), "open_path").filter(is_("error")).select("event_id", "open_path"),
     "block_signals": block_signals,
-    "marker_clusters": lambda s, d: text.clusters(text.marker_positions(table(s, d, "documents"), "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_markers"), F.max("cluster_index").alias("last_cluster")),
+    "marker_clusters": lambda s, d: text.clusters(text.marker_positions(documents(s, d), "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_markers"), F.max("cluster_index").alias("last_cluster")),
     "median_mad_by_source": lambda s, d: stats.median_mad(signals(s, d).withColumn("v", F.col("length_words").cast("double")).filter("source is not null"), ["source"], "v"),
     "presence_intensity": lambda s, d: stats.presence_intensity(signals(s, d).filter("source is not null"), ["source"], "markers_per_100w").select("source", r6("presence_rate"), r6("intensity_median"), "n", "n_positive", "low_confidence"),
     "file_score_topk": file_score_topk,
     "corpus_mode": lambda s, d: scoring.corpus_mode(scores(s, d).withColumn("score", F.round("score", 6))),
     "noise_in_top": lambda s, d: scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).agg(F.count_if(scoring.noisy(F.col("path"))).alias("n_noise"), F.count_if(scoring.ignored(F.col("path"))).alias("n_ignored"), F.count("*").alias("n")),
     "topk_excerpts": lambda s, d: scoring.top_per_group(signals(s, d).filter("source is not null").select("source", "doc_id", "marker_count"), "source", [F.desc_nulls_last("marker_count"), F.col("doc_id")], 5).select("source", "doc_id", "marker_count", "rank"),
-    "path_tokens": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(text.path_tokens(F.col("text"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents")),
-    "home_redaction": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.redact_home(F.concat(F.lit("/home/someone/"), F.col("text"))), 256).alias("hash")),
+    "path_tokens": lambda s, d: documents(s, d).select("doc_id", F.explode(text.path_tokens(F.col("text"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents")),
+    "home_redaction": lambda s, d: documents(s, d).select("doc_id", F.sha2(text.redact_home(F.concat(F.lit("/home/someone/"), F.col("text"))), 256).alias("hash")),
     "model_distribution": lambda s, d: table(s, d, "chat_messages").groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.count("*").alias("n_events"), F.countDistinct("session_id").alias("n_sessions")),
     "last_first_title": lambda s, d: joins.first_last(table(s, d, "active_sessions"), "session_id", "mtime", "title"),
     "session_age": lambda s, d: table(s, d, "active_sessions").select("session_id", "mtime", text.relative_time(F.lit(1_780_000_000.0) - F.col("mtime")).alias("age"), text.fallback_title(F.col("title")).alias("short_title")).groupBy("age").agg(F.count("*").alias("n"), F.max(F.length("short_title")).cast("long").alias("longest")),
@@ -363,7 +370,7 @@ QUERIES: dict[str, Query] = {
     "json_first_object": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(judge.first_json_object(F.concat(F.lit("{ props: "), "props", F.lit(" }"))), "$.k").cast("long").alias("k")),
     "attribution_tiers": attributed_tiers,
     "source_measures": source_measures,
-    "user_ignore": lambda s, d: table(s, d, "documents").select(F.explode(text.path_tokens(F.col("text"))).alias("path")).distinct().filter(attribution.user_ignored(F.col("path"), ["*.md", "tests/", "!tests/**/*.md", "/src/*.py", "# note"])),
+    "user_ignore": lambda s, d: documents(s, d).select(F.explode(text.path_tokens(F.col("text"))).alias("path")).distinct().filter(attribution.user_ignored(F.col("path"), ["*.md", "tests/", "!tests/**/*.md", "/src/*.py", "# note"])),
     "symbol_histogram": lambda s, d: joins.symbols(table(s, d, "part").select(F.col("p_name").alias("t")), "t"),
 }
 
