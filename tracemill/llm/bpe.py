@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.runtime import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: A vocabulary file larger than this is refused, as it is broadcast.
 MAX_VOCAB_BYTES = 32 << 20
@@ -195,12 +197,6 @@ def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TO
     return spark.sparkContext.broadcast(path.read_bytes())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for inputs with fewer than the cluster has cores; larger inputs stay as they are read, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def encode_corpus(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): every row's text as token ids, without special tokens; strings like special tokens are ordinary text.
 
