@@ -56,15 +56,21 @@ def messages(rows: DataFrame) -> DataFrame:
 
 
 def _linked(msgs: DataFrame) -> DataFrame:
-    """Messages with ``orphan`` (a parent that doesn't precede it) and ``tie`` (its parent, where that has the same instant)."""
-    keyed = msgs.filter("msg_uuid is not null")
-    links = keyed.select("session_id", "msg_uuid", "instant", F.explode("parents").alias("parent_uuid"))
-    above = keyed.select("session_id", F.col("msg_uuid").alias("parent_uuid"), F.col("instant").alias("above"))
-    seen = links.join(above, ["session_id", "parent_uuid"], "left")
-    bad = F.col("above").isNull() | (F.col("above") > F.col("instant")) | (F.col("parent_uuid") == F.col("msg_uuid"))
-    per = seen.groupBy("session_id", "msg_uuid").agg(F.max(F.coalesce(bad, F.lit(True))).alias("orphan"), F.max(F.when(~bad & (F.col("above") == F.col("instant")), F.col("parent_uuid"))).alias("tie"))
-    out = msgs.join(per, ["session_id", "msg_uuid"], "left")
-    return out.select("session_id", "msg_uuid", "role", "instant", "visible", (F.col("unsound") | F.coalesce("orphan", F.lit(False))).alias("unsound"), "tie")
+    """Messages with ``orphan`` (a parent that doesn't precede it) and ``tie`` (its parent, where that has the same instant).
+
+    A message names one parent, so its row joins that parent's straight away; only where copies name several are they exploded.
+    """
+    above = msgs.filter("msg_uuid is not null").select("session_id", F.col("msg_uuid").alias("parent_uuid"), F.col("instant").alias("above"))
+    bad = F.col("above").isNull() | F.col("instant").isNull() | (F.col("above") > F.col("instant")) | (F.col("parent_uuid") == F.col("msg_uuid"))
+    orphan = F.col("parent_uuid").isNotNull() & F.coalesce(bad, F.lit(True))
+    tie = F.when(F.col("parent_uuid").isNotNull() & ~bad & (F.col("above") == F.col("instant")), F.col("parent_uuid"))
+    several = F.coalesce(F.size("parents") > 1, F.lit(False))
+    cols = ["session_id", "msg_uuid", "role", "instant", "visible", "unsound"]
+    one = msgs.filter(~several).select(*cols, F.try_element_at("parents", F.lit(1)).alias("parent_uuid")).join(above, ["session_id", "parent_uuid"], "left")
+    one = one.select("session_id", "msg_uuid", "role", "instant", "visible", (F.col("unsound") | orphan).alias("unsound"), tie.alias("tie"))
+    many = msgs.filter(several).select(*cols, F.explode("parents").alias("parent_uuid")).join(above, ["session_id", "parent_uuid"], "left")
+    many = many.groupBy("session_id", "msg_uuid").agg(F.min("role").alias("role"), F.min("instant").alias("instant"), F.max("visible").alias("visible"), F.max(F.col("unsound") | orphan).alias("unsound"), F.max(tie).alias("tie"))
+    return one.unionByName(many)
 
 
 def _tie_depths(linked: DataFrame) -> DataFrame:
@@ -104,7 +110,7 @@ def conversations(rows: DataFrame, slice_seconds: int = SLICE_SECONDS, split: bo
     A session of any length is ordered in slices of ``slice_seconds``: slices are sorted alone, and their counts, first and last roles
     are put together per session, so no task holds a whole hot session.
     """
-    linked = checkpointed(_linked(messages(rows)))
+    linked = checkpointed(_linked(checkpointed(messages(rows))))
     ties = _tie_depths(linked)
     slice_of = F.floor(F.col("instant") / F.lit(slice_seconds * 1_000_000))
     ordered = linked.join(ties, ["session_id", "msg_uuid"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
@@ -114,7 +120,6 @@ def conversations(rows: DataFrame, slice_seconds: int = SLICE_SECONDS, split: bo
     within = Window.partitionBy("session_id", "slice").orderBy("instant", "depth", "msg_uuid")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("nth", F.row_number().over(within) - 1).withColumn("spoke", F.last("speaker", ignorenulls=True).over(before)).withColumn("pause", F.col("instant") - F.lag("instant").over(within))
-    turns = checkpointed(turns)
     gap = None
     if split:
         gap = gap_seconds if gap_seconds is not None else calibrated_gap(turns)
