@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.scoring import top_per_group
+from tracemill.operators.windows import running
 
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 18) -> DataFrame:
@@ -16,14 +17,11 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 18) ->
 
 def systematic(df: DataFrame, key: str, target: int = 50, group: str | None = None) -> DataFrame:
     """Every ceil(n/target)-th row in order of the key, from the first on. Positions come from sorted ranges and their counts."""
-    if group is not None:
-        w, all_ = Window.partitionBy(group).orderBy(key), Window.partitionBy(group)
-        x = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(all_))
-        return x.filter(F.col("_i") % F.ceil(F.col("_n") / target) == 0).drop("_i", "_n")
-    n = df.count()
-    s = df.orderBy(key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    w = Window.partitionBy("_p").orderBy("_m")
-    s = s.withColumn("_i", F.row_number().over(w) - 1)
-    counts = s.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_off")
-    return s.join(F.broadcast(offsets), "_p").filter((F.col("_i") + F.col("_off")) % max(1, -(-n // target)) == 0).select(*df.columns)
+    keys = [group] if group is not None else []
+    x = running(df, keys, [key], position="_i")
+    if group is None:
+        n = F.lit(df.count())
+    else:
+        n = F.col("_n")
+        x = x.join(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")), F.col(group).eqNullSafe(F.col("_g")))
+    return x.filter(F.col("_i") % F.greatest(F.ceil(n / target), F.lit(1)) == 0).select(*df.columns)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.windows import running
+
 LOW_CONFIDENCE_N, Z_FACTOR = 20, 1.4826
 
 
@@ -47,11 +49,14 @@ def kappa_of(grouped: DataFrame, categories: list[int], keep: list[str]) -> Data
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties at their mean; nulls get none."""
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy(value)
-    tie = Window.partitionBy(*part, value)
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count("*").over(tie) - 1) / 2.0))
+    """Ranks from 1 with ties at their mean; nulls get none. Distinct values are counted first and their counts summed in order."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    upto = running(counts, keys, [value], {"_upto": F.col("_c")})
+    rank = upto.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(value).alias("_v"), (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
+    on = F.col(value) == F.col("_v")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(rank, on, "left").select(*df.columns, name)
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -65,9 +70,14 @@ def guarded_corr(x: str, y: str) -> Column:
 def index_percentiles(df: DataFrame, keys: list[str], value: str, parts: dict[str, Column]) -> DataFrame:
     """Values at positions of the sorted group, no interpolation: ``parts`` maps a name to the 0-based position in terms of n.
 
-    Positions are found by row numbers; no group is collected into a list.
+    Positions are found by a sort over ranges; no group is collected into a list or sorted in one task.
     """
-    x = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    x = running(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], position="_i")
+    n = x.groupBy(*keys).agg(F.count("*").alias("n")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "n")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    x = x.join(n, on)
     return x.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("_i") == p, F.col(value))).alias(name) for name, p in parts.items()))
 
 

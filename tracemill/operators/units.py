@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.windows import running, with_halo
+
 JOINER = "\n\n"
 
 
@@ -14,10 +16,7 @@ def anchor(events: DataFrame, key: str, order: str, is_action: Column, text: str
     Blank emissions and those that begin with a harness prefix are dropped. A unit is free-standing if one of its fragments lies in
     another container than its step, terminal if no step follows.
     """
-    e = events.withColumn("_a", is_action)
-    w = Window.partitionBy(key).orderBy(order)
-    e = e.withColumn("unit", F.sum(F.col("_a").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("unit", F.coalesce("unit", F.lit(0)))
+    e = running(events.withColumn("_a", is_action), [key], [order], {"unit": F.col("_a").cast("long")}, position="_at")
     # an action closes the unit that bears its own ordinal
     steps = e.filter("_a").select(key, (F.col("unit") - 1).alias("unit"), F.col(container or order).alias("_step"))
     harness = F.lit(False)
@@ -42,8 +41,8 @@ def recovered(units: DataFrame) -> DataFrame:
 
 def alternation(events: DataFrame, key: str, order: str, is_action: Column) -> DataFrame:
     """Per key: events, emissions right after emissions, actions without an emission before them, and whether it ends in an emission."""
-    w = Window.partitionBy(key).orderBy(order)
-    e = events.withColumn("_a", is_action).withColumn("_before", F.lag(is_action).over(w))
+    e = running(events.select(key, order, is_action.alias("_a")), [key], [order], position="event_index")
+    e = with_halo(e, 1).withColumn("_before", F.lag("_a").over(Window.partitionBy(key, "bucket").orderBy("event_index"))).filter("home")
     return e.groupBy(key).agg(
         F.count("*").alias("n_events"), F.count_if(~F.col("_a") & F.coalesce(~F.col("_before"), F.lit(False))).alias("n_consecutive"), F.count_if(F.col("_a") & F.coalesce(F.col("_before"), F.lit(True))).alias("n_unpreceded"), (~F.max_by("_a", order)).cast("int").alias("trailing")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.runtime import checkpointed
+
 #: Events of a session are numbered in slices of this many seconds, and windows are cut into buckets of this many events.
 SLICE_SECONDS = 7 * 86_400
 BUCKET = 4096
@@ -70,3 +72,28 @@ def carry_forward(events: DataFrame, session: str, value: Column, name: str) ->
     ends = ends.select(F.col(session).alias("_s"), F.col("_bk").alias("_k"), F.last("_end", True).over(before).alias("_carry"))
     j = e.join(ends, F.col(session).eqNullSafe(F.col("_s")) & (F.col("_bk") == F.col("_k")))
     return j.select(*events.columns, F.coalesce("_own", "_carry").alias(name))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, position: str = "position") -> DataFrame:
+    """Add each row's ``position`` (from 0) in its group by ``order`` and inclusive running sums.
+
+    Rows are sorted by range over the whole table, numbered inside of each range, and raised by what the group has in the ranges before:
+    a hot group spreads over many tasks, and the counts that one task adds up are one row a group and range. Null keys are groups too.
+    """
+    sums = sums or {}
+    s = df.select("*", *(c.alias(f"_s_{n}") for n, c in sums.items()))
+    s = s.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*keys, *order]]).sortWithinPartitions(*keys, *order)
+    s = checkpointed(s.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    here = Window.partitionBy(*keys, "_p").orderBy("_m")
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_i", F.row_number().over(here).cast("long") - 1)
+    for n in sums:
+        s = s.withColumn(f"_r_{n}", F.sum(f"_s_{n}").over(upto))
+    part = s.groupBy(*keys, "_p").agg(F.count("*").alias("_c"), *(F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    add = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    part = part.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_p").alias("_q"), add("_c").alias("_off"), *(add(f"_t_{n}").alias(f"_o_{n}") for n in sums))
+    on = F.col("_p") == F.col("_q")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return s.join(part, on).select(*df.columns, (F.col("_i") + F.col("_off")).alias(position), *((F.coalesce(f"_r_{n}", F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums))
