@@ -99,6 +99,10 @@ def _split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.DataFrame(rows, columns=["fields", "quoting_ok", "content_kind"])
 
 
+# else a filter on what it gives is pushed below it, and it runs twice
+_split = _split.asNondeterministic()
+
+
 def headers(lines: DataFrame) -> DataFrame:
     """One row a file: its delimiter and its column names in order; of several line_no 0 the lowest line_id counts."""
     h = lines.filter(F.col("line_no") == 0).groupBy("file_name").agg(F.min_by("raw_line", "line_id").alias("header"))
