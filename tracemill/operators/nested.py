@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RECORD_SCHEMA = "record_id bigint, record_type string, session_id string, event_uuid string, parent_uuid string, event_time string, cwd string, agent_sourced boolean, n_items int, readable boolean"
-BLOCK_SCHEMA = "record_id bigint, block_path string, parent_path string, block_type string, depth int, block_text string, tool_name string, tool_use_id string"
+LINKS_SCHEMA = "record_id bigint, block_path string, parent_path string, block_type string"
+BLOCK_SCHEMA = f"{LINKS_SCHEMA}, depth int, block_text string, tool_name string, tool_use_id string"
 _LOST = object()
 
 
@@ -60,7 +61,7 @@ def _text(items: list, *keys: str) -> pa.Array:
     return pa.array([next((v for k in keys if isinstance(v := b.get(k), str)), None) for b in items], pa.large_string())
 
 
-def flatten_blocks(ids: pa.Array, contents: list[list | None]) -> pa.Table:
+def flatten_blocks(ids: pa.Array, contents: list[list | None], detail: bool = True) -> pa.Table:
     """All blocks of a batch, level by level.
 
     Each level is one list column: its offsets come from the item counts, the parent index of every item from the offsets
@@ -84,18 +85,16 @@ def flatten_blocks(ids: pa.Array, contents: list[list | None]) -> pa.Table:
         where = pc.cast(pc.take(position, kept), pa.large_string())
         path = where if depth == 0 else pc.binary_join_element_wise(above, where, pa.scalar(".", pa.large_string()))
         keys = pc.take(keys, parent)
-        levels.append(
-            pa.table(
-                {
-                    "record_id": keys, "block_path": path, "parent_path": above, "block_type": _text(blocks, "type"), "depth": pa.array(np.full(len(keep), depth, np.int32)),
-                    "block_text": _text(blocks, "text", "thinking", "content"), "tool_name": _text(blocks, "name"), "tool_use_id": _text(blocks, "id", "tool_use_id"),
-                }
-            )
-        )
+        level = {"record_id": keys, "block_path": path, "parent_path": above, "block_type": _text(blocks, "type")}
+        if detail:
+            level |= {"depth": pa.array(np.full(len(keep), depth, np.int32)), "block_text": _text(blocks, "text", "thinking", "content"), "tool_name": _text(blocks, "name"), "tool_use_id": _text(blocks, "id", "tool_use_id")}
+        levels.append(pa.table(level))
         paths, depth = path, depth + 1
         lists = [c if isinstance(c := b.get("content"), list) else None for b in blocks]
     if not levels:
-        return pa.table({n: pa.array([], t) for n, t in zip(("record_id", "block_path", "parent_path", "block_type", "depth", "block_text", "tool_name", "tool_use_id"), (pa.int64(), *[pa.large_string()] * 3, pa.int32(), *[pa.large_string()] * 3), strict=True)})
+        text, names = pa.large_string(), ("record_id", "block_path", "parent_path", "block_type", "depth", "block_text", "tool_name", "tool_use_id")
+        kinds = (pa.int64(), text, text, text, pa.int32(), text, text, text)
+        return pa.table({n: pa.array([], t) for n, t in list(zip(names, kinds, strict=True))[: None if detail else 4]})
     return pa.concat_tables(levels)
 
 
@@ -104,10 +103,10 @@ def _to_spark(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.cast(pa.schema(fields)).combine_chunks().to_batches(max_chunksize=20_000)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], detail: bool = True) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         contents = [content_of(_decode(p)) for p in batch.column("payload").to_pylist()]
-        yield from _to_spark(flatten_blocks(batch.column("record_id"), contents))
+        yield from _to_spark(flatten_blocks(batch.column("record_id"), contents, detail))
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +142,17 @@ def records_table(records: DataFrame) -> DataFrame:
     return records.select("record_id", "payload").mapInArrow(_records, RECORD_SCHEMA)
 
 
+def links(records: DataFrame) -> DataFrame:
+    """The child table's keys and kinds alone: what isn't asked for is neither built nor sent from Python."""
+    return records.select("record_id", "payload").mapInArrow(lambda b: _blocks(b, detail=False), LINKS_SCHEMA)
+
+
 def found(records: DataFrame) -> DataFrame:
-    return blocks_table(records).select("record_id", "block_path", "parent_path", "block_type")
+    return links(records)
 
 
 def children_per_block(records: DataFrame) -> DataFrame:
     """Each block with the number of its child blocks: the parent-child link used as a join key."""
-    b = blocks_table(records).select("record_id", "block_path", "parent_path", "block_type")
+    b = links(records)
     kids = b.filter("parent_path <> ''").groupBy("record_id", F.col("parent_path").alias("block_path")).agg(F.count("*").alias("n_children"))
     return b.join(kids, ["record_id", "block_path"], "left").select("record_id", "block_path", "block_type", F.coalesce("n_children", F.lit(0)).alias("n_children"))
