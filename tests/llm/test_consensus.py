@@ -31,7 +31,7 @@ def test_truth_is_found_beyond_majority(spark):
     rel = {r.rater: r for r in f.raters.collect()}
     assert rel["good1"].accuracy > 0.85 and rel["spam1"].information_bits < 0.15 and rel["high"].bias > 0.4 and rel["low"].bias < -0.3
     assert rel["rare"].accuracy > rel["spam1"].accuracy
-    joined = C.fit(labels, max_broadcast=0)
+    joined = C.fit(labels, rounds=8, max_broadcast=0)
     again = {r.unit: r.label for r in joined.units.collect()}
     assert np.mean([again[u] == got[u] for u in got]) > 0.97 and joined.raters.count() == len(rel)
 
@@ -48,7 +48,7 @@ def test_labels_of_all_sources(spark):
     a = spark.createDataFrame([("p", "s", 0, 2, True, 1), ("p", "s", 0, 1, False, 3), ("p", "s", 0, 3, True, 0), ("p", "s", 1, 1, True, 9), (None, "s", 1, 1, True, 1), ("q", None, 1, 1, True, 1), ("q", "s", 1, 1, None, 1)], "pass_id string, session_id string, block_index int, attempt int, valid boolean, score int")
     p = spark.createDataFrame([("s", 0, 2), ("s", 0, 2), ("s", 2, None)], "session_id string, block_index int, score int")
     h = spark.createDataFrame([("s", 0, "h", 1), ("s", 0, "h", 1), ("s", 3, "h", 4)], "session_id string, block_index int, rater_id string, relabel_score int")
-    got = {(r.session_id, r.block_index, r.rater, r.label) for r in C.friction_labels(a, p, h).collect()}
+    got = {(r.session_id, r.block_index, r.rater, r.label) for r in C.score_labels(a, p, h).collect()}
     assert got == {("s", 0, "p", 1), ("s", 0, "v1-pass1", 2), ("s", 0, "h", 1)}
 
 

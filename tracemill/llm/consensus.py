@@ -239,7 +239,7 @@ def agreement(labels: DataFrame) -> DataFrame:
     )
 
 
-def friction_labels(attempts: DataFrame, pass1: DataFrame, relabels: DataFrame) -> DataFrame:
+def score_labels(attempts: DataFrame, pass1: DataFrame, relabels: DataFrame) -> DataFrame:
     """(session_id, block_index, unit, rater, label) of all raters: each judge pass's first valid attempt, v1-pass1 and people, once a unit.
 
     Scores outside 0-3 and rows without session, block or rater are no labels; of repeated rows with different scores the least counts.

@@ -29,7 +29,7 @@ def p4_merged_days(s: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return consensus.friction_labels(table(s, d, "attempts"), table(s, d, "pass1_scores"), table(s, d, "relabel_scores"))
+    return consensus.score_labels(table(s, d, "attempts"), table(s, d, "pass1_scores"), table(s, d, "relabel_scores"))
 
 
 def _fit(s: SparkSession, d: str) -> consensus.Fitted:
