@@ -20,6 +20,8 @@ def test_session_files(spark, tmp_path):
     assert got == [("a", 0, "system"), ("S1", 0, "user"), ("S1", 1, "ai-title"), ("S1", 2, "ai-title"), ("S1", 3, "last-prompt")]
     assert sorted(r.reason for r in rejects.collect()) == ["malformed", "malformed", "unknown_type"]
     assert {r.session_id: r.title for r in session_log.titles(ev).collect()} == {"a": None, "S1": "T2"}
+    again, _ = session_log.events(session_log.read_lines(spark, str(tmp_path), splittable=True))
+    assert [(r.session_id, r.event_index, r.type) for r in again.orderBy("file_name", "event_index").collect()] == got
     assert session_log.listing(spark, str(tmp_path), 12).count() == 2
 
 

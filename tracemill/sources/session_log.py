@@ -6,30 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.schema import EVENT_TYPES
+from tracemill.operators.windows import running
 
 EVENT = "type string, sessionId string, uuid string, parentUuid string, timestamp string, cwd string, subtype string, aiTitle string, lastPrompt string"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, line_no, payload) of all *.jsonl files of a directory, not recursive; lines keep their order, blank ones are skipped."""
-    files = spark.read.text(f"{path}/*.jsonl", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value"))
-    lines = files.select("file_name", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+def read_lines(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
+    """(file_name, line_no, payload) of all *.jsonl files of a directory, not recursive; lines keep their order, blank ones are skipped.
+
+    A file is read as one row, which serves files up to some hundred MB. ``splittable`` reads larger files in blocks: lines are ordered by
+    the block's start and their order in it, and numbered by a sort over ranges.
+    """
+    if splittable:
+        raw = spark.read.text(f"{path}/*.jsonl").select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("m"))
+        lines = running(raw, ["file_name"], ["block", "m"], position="line_no").withColumn("line_no", F.col("line_no").cast("int"))
+    else:
+        files = spark.read.text(f"{path}/*.jsonl", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value"))
+        lines = files.select("file_name", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines.select("file_name", "line_no", F.trim("line").alias("payload")).filter("payload <> ''")
 
 
 def events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects): known types get an event_index per file that counts kept lines only; rejects say why (malformed, unknown type)."""
-    from pyspark.sql import Window
+    """(events, rejects): known types get an event_index per file that counts kept lines only; rejects say why (malformed, unknown type).
 
+    A file's session is the id of its first event that has one, else the file's name.
+    """
     v = lines.withColumn("v", F.try_parse_json("payload"))
     is_object = F.schema_of_variant("v").startswith("OBJECT")
     e = v.withColumn("e", F.when(is_object, F.from_json("payload", EVENT)))
     reason = F.when(F.col("v").isNull() | ~F.coalesce(is_object, F.lit(False)), "malformed").when(~F.coalesce(F.col("e.type").isin(*EVENT_TYPES), F.lit(False)), "unknown_type")
-    e = e.withColumn("reason", reason)
-    kept = e.filter("reason is null").withColumn("event_index", F.row_number().over(Window.partitionBy("file_name").orderBy("line_no")).cast("long") - 1)
-    session = F.first("e.sessionId", True).over(Window.partitionBy("file_name").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    e = e.select("file_name", "line_no", "payload", "e", reason.alias("reason"))
+    kept = running(e.filter("reason is null").drop("reason"), ["file_name"], ["line_no"], position="event_index")
+    first = kept.filter("e.sessionId is not null").groupBy(F.col("file_name").alias("_f")).agg(F.min_by("e.sessionId", "line_no").alias("_s"))
     stem = F.regexp_replace("file_name", r"\.jsonl$", "")
-    out = kept.select("file_name", "line_no", "event_index", F.coalesce(session, stem).alias("session_id"), "e.*", "payload").drop("sessionId")
+    out = kept.join(first, F.col("file_name") == F.col("_f"), "left").select("file_name", "line_no", "event_index", F.coalesce("_s", stem).alias("session_id"), "e.*", "payload").drop("sessionId")
     return out, e.filter("reason is not null").select("file_name", "line_no", "reason", F.col("e.type").alias("type"), "payload")
 
 
