@@ -93,3 +93,36 @@ def test_segments(spark):
         assert [r.segment for r in df.orderBy("turn").collect()] == [0, 0, 0, 0, 1, 1, 2, 2]
     full = C.with_texts(C.conversations(frame(spark, rows), split=True), frame(spark, rows)).collect()
     assert len(full) == 8 and {r.msg_text for r in full} == {"x"}
+
+
+def resumed(n, rest):
+    """n sessions of ten messages, pauses of 2, 7 and 61 s, each resumed after ``rest`` seconds."""
+    rows = []
+    for s in range(n):
+        t = 0
+        for i in range(10):
+            t += rest if i == 6 else (2, 7, 61)[(i + s) % 3]
+            rows.append((f"s{s}", f"m{i}", None, ("user", "assistant")[i % 2], ts(t), "x"))
+    return rows
+
+
+def test_calibrated_segments(spark):
+    for rest in (3700, 9 * 3600):  # inside a slice, and over its edge
+        got = C.conversations(frame(spark, resumed(20, rest)), split=True).collect()
+        assert len(got) == 200 and all(r.segment == (r.turn >= 6) for r in got)
+    stray = [("far", "a", None, "user", ts(0), "x"), ("far", "b", None, "assistant", ts(9 * 10**8), "x")]
+    got = C.conversations(frame(spark, resumed(20, 9 * 3600) + stray), split=True).collect()
+    assert sum(r.segment for r in got) == 81
+    assert {r.segment for r in C.conversations(frame(spark, resumed(20, 7)), split=True).collect()} == {0}
+    assert C.conversations(frame(spark, []), split=True).count() == 0
+
+
+def test_pauses_over_slice_edges(spark):
+    rows = [("s", f"m{i}", None, ("user", "assistant")[i % 2], ts(t), "x") for i, t in enumerate([0, 10, 50_000, 50_010, 50_030])]
+    turns = C.messages(frame(spark, rows)).withColumn("slice", C.F.floor(C.F.col("instant") / 21_600_000_000))
+    turns = turns.withColumn("pause", C.F.col("instant") - C.F.lag("instant").over(C.Window.partitionBy("session_id", "slice").orderBy("instant")))
+    assert sorted(r.pause // 10**6 for r in C.pauses(turns).collect()) == [10, 10, 20, 49_990]
+
+
+def test_valley():
+    assert C.valley({0: 500, 1: 400, 8: 3, 16: 500, 90: 1}) == 9 and C.valley({0: 500, 1: 400, 2: 90}) is None and C.valley({}) is None

@@ -21,6 +21,8 @@ _UNSEEN = r"\s\p{Z}\x{85}\x{1C}-\x{1F}\x{AD}\x{180E}\x{200B}-\x{200F}\x{2060}-\x
 SLICE_SECONDS = 6 * 3600
 #: A shorter pause never splits a session.
 LEAST_GAP_SECONDS = 1800
+#: Log pauses are counted in bins, so many to a factor of e; the valley between two modes: bins it has at least, and their share of what lies beyond.
+BINS_A_UNIT, VALLEY_BINS, VALLEY_SHARE = 4, 4, 0.01
 
 
 def canonical_role(raw: Column) -> Column:
@@ -89,10 +91,41 @@ def _tie_depths(linked: DataFrame) -> DataFrame:
     return edges.select("session_id", "msg_uuid", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("circle"))
 
 
+def pauses(turns: DataFrame) -> DataFrame:
+    """Every pause of a session (microseconds): those inside the slices, and from each slice's end to the next one's begin."""
+    edges = turns.groupBy("session_id", "slice").agg(F.min("instant").alias("begin"), F.max("instant").alias("end"))
+    jump = F.col("begin") - F.lag("end").over(Window.partitionBy("session_id").orderBy("slice"))
+    return turns.select("pause").unionByName(edges.select(jump.alias("pause"))).filter("pause is not null")
+
+
+def valley(bins: dict[int, int]) -> float | None:
+    """The middle of the lowest valley above the median of a histogram (bin -> count), in bins; None if it has none.
+
+    A valley is a run of at least VALLEY_BINS bins, each with under VALLEY_SHARE of what lies beyond it, so that neither stray pauses
+    in it nor a lone one far above move it.
+    """
+    beyond, below, n, run = sum(bins.values()), 0, sum(bins.values()), 0
+    for b in range(min(bins), max(bins) + 1) if bins else ():
+        k = bins.get(b, 0)
+        beyond -= k
+        thin = 2 * below >= n and k <= VALLEY_SHARE * beyond
+        if not thin and run >= VALLEY_BINS:
+            return b - run / 2
+        run, below = run + 1 if thin else 0, below + k
+    return None
+
+
 def calibrated_gap(turns: DataFrame, least_seconds: int = LEAST_GAP_SECONDS, reach: float = 3.0) -> float:
-    """Seconds of silence that end a stretch of talk: the upper fence of the pauses' log distribution over all sessions."""
-    pause = F.log(F.col("pause") / 1e6)
-    q = turns.filter("pause > 0").select(F.percentile_approx(pause, [0.25, 0.75], 1000).alias("q")).first().q
+    """Seconds of silence that end a stretch of talk: between the modes of the log pauses of all sessions, slice edges included.
+
+    Pauses that show no second mode (see ``valley``) are taken by the upper fence of their log distribution.
+    """
+    log = F.log(F.col("pause") / 1e6)
+    positive = pauses(turns).filter("pause > 0")
+    at = valley({r.bin: r.n for r in positive.groupBy(F.floor(log * BINS_A_UNIT).alias("bin")).agg(F.count("*").alias("n")).collect()})
+    if at is not None:
+        return max(float(least_seconds), math.exp(at / BINS_A_UNIT))
+    q = positive.select(F.percentile_approx(log, [0.25, 0.75], 1000).alias("q")).first().q
     return max(float(least_seconds), math.exp(q[1] + reach * (q[1] - q[0]))) if q else float(least_seconds)
 
 
