@@ -1,5 +1,7 @@
 import datetime
 import json
+import random
+from collections import Counter
 
 from tracemill.operators import drift as D
 
@@ -48,3 +50,30 @@ def test_ingest_and_replay(spark):
 def test_likeness():
     assert D.name_likeness("sessionId", "session_id") == 1 and D.name_likeness("blockIndex", "blkIdx") > 0.8 and D.name_likeness("cwd", "tags") == 0
     assert D.match_renames({"flag": [("true", 5), ("false", 5)]}, {"other": [("true", 5), ("false", 5)]}) == []
+
+
+def test_renames_of_unlike_sizes_and_long_values(spark):
+    few = [{"note": f"alpha {i} beta"} for i in range(600)]
+    many = [{"remark": f"alpha {i} beta"} for i in range(6000)]
+    assert {tuple(r) for r in D.found(frame(spark, [("f1", few), ("f2", many)])).collect()} == {("f2", "renamed", "remark", "note")}
+    same = "word " * 60  # values that differ after 300 characters only
+    old, new = ([{name: f"{same} {i} beta"} for i in range(30)] for name in ("abc", "xyz"))
+    other = [{"qrs": f"{same} tail {i} end"} for i in range(30)]
+    assert {tuple(r) for r in D.found(frame(spark, [("f1", old), ("f2", new)])).collect()} == {("f2", "renamed", "xyz", "abc")}
+    assert {tuple(r) for r in D.found(frame(spark, [("f1", old), ("f2", other)])).collect()} == {("f2", "removed", "abc", ""), ("f2", "added", "qrs", "")}
+
+
+def test_pairs_equal_lists(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choices("abcdef", k=n))
+    make = {"t": lambda: word(2), "u": lambda: f"{word(3)}-{word(3)}-{word(3)}", "n": lambda: r.gauss(5, 2), "b": lambda: r.random() < 0.3, "s": lambda: str(r.randint(0, 30)), "l": lambda: [word(1), word(1)]}
+    one = [{f"{k}0": f() for k, f in make.items()} for _ in range(150)]
+    two = [{f"{k}1": f() for k, f in make.items()} for _ in range(400)]
+    df = frame(spark, [("f1", one), ("f2", two)])
+    side = spark.createDataFrame([("s", "f2", "f1", f, "removed") for f in one[0]] + [("s", "f2", "f2", f, "added") for f in two[0]], "export_stream string, export_file string, source string, field string, side string")
+    values = lambda rows, f: list(Counter(D._shown(v) for x in rows for v in (x[f] if isinstance(x[f], list) else [x[f]])).items())
+    want = {(a, b): D.data_likeness(values(one, a), values(two, b)) for a in one[0] for b in two[0]}
+    for most in (100, 3):
+        got = {(p.old, p.new): D.judged(p.asDict()) for p in D.pair_likeness(df, side, most).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from tracemill.runtime import checkpointed
 
-#: Distinct values kept per field and file: the k of smallest hash, a uniform sample that merges exactly.
-SKETCH_K = 64
-#: Sketched texts are compared up to this many characters; the hash is of the whole value.
-SHOWN = 120
+#: Changed fields up to this number (files x fields) are told to the Python workers; more are joined.
+MOST_TOLD = 50_000
+#: Fields of unlike size hold the same data if so many distinct values, and this share of the smaller one's, occur in both.
+LEAST_SHARED, LEAST_WITHIN = 20, 0.8
 
-PROFILE = "export_stream string, export_file string, exported_at timestamp, field string, kind string, h bigint, shown string, n bigint"
+PROFILE = "export_stream string, export_file string, exported_at timestamp, field string, kind string, n bigint"
+VALUES = "export_stream string, export_file string, field string, h bigint, shape bigint, structured boolean, truth boolean, number double, n bigint"
 LEAVES = "record_id bigint, export_stream string, export_file string, exported_at timestamp, readable boolean, leaves map<string,struct<kind:string,text:string>>"
 FOUND = "export_file string, change_kind string, field_name string, old_field_name string"
 
@@ -51,60 +52,69 @@ def _decode(text: str | None) -> dict | None:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial profiles: a row for each kind of each field (h null: the count) and one for each sketched value."""
+    """Partial profiles: a row for each file (field null) and for each kind of each field, with the count of its values."""
     for batch in batches:
         seen: dict[tuple, Counter] = {}
-        values: dict[tuple, dict[int, list]] = {}
         cols = [batch.column(c).to_pylist() for c in ("export_stream", "export_file", "payload")]
         at = batch.column("exported_at")
         first: dict[tuple, int] = {}
         for i, (stream, file, text) in enumerate(zip(*cols, strict=True)):
             first.setdefault((stream, file), i)
             for field, value in leaves(_decode(text) or {}):
-                key = (stream, file, field)
-                kind = kind_of(value)
-                seen.setdefault(key, Counter())[kind] += 1
-                mine = values.setdefault(key, {})
-                for v in value if kind == "array" else (value,):
-                    shown = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-                    h = xxhash.xxh3_64_intdigest(shown.encode("utf-8", "surrogatepass")) >> 1
-                    if h in mine:
-                        mine[h][1] += 1
-                    else:
-                        mine[h] = [shown, 1]
-                if len(mine) > 8 * SKETCH_K:
-                    for h in sorted(mine)[SKETCH_K:]:
-                        del mine[h]
-        rows = [(s, f, None, None, None, None, 0, first[s, f]) for s, f in first]
-        for (s, f, field), kinds in seen.items():
-            rows += [(s, f, field, kind, None, None, n, first[s, f]) for kind, n in kinds.items()]
-            mine = values[s, f, field]
-            rows += [(s, f, field, None, h, mine[h][0][:SHOWN].encode("utf-8", "replace").decode(), mine[h][1], first[s, f]) for h in sorted(mine)[:SKETCH_K]]
-        c = list(zip(*rows, strict=True)) if rows else [()] * 8
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), at.take(pa.array(c[7], pa.int64())), pa.array(c[2], pa.string()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.string()), pa.array(c[6], pa.int64())],
-            names=["export_stream", "export_file", "exported_at", "field", "kind", "h", "shown", "n"],
-        )
+                seen.setdefault((stream, file, field), Counter())[kind_of(value)] += 1
+        rows = [(s, f, None, None, 0, first[s, f]) for s, f in first]
+        rows += [(s, f, field, kind, n, first[s, f]) for (s, f, field), kinds in seen.items() for kind, n in kinds.items()]
+        c = list(zip(*rows, strict=True)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), at.take(pa.array(c[5], pa.int64())), pa.array(c[2], pa.string()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int64())], names=["export_stream", "export_file", "exported_at", "field", "kind", "n"])
 
 
 def field_profiles(exports: DataFrame) -> DataFrame:
-    """One row per stream, file and field: number of values, majority kind and a bottom-k sketch of the values with counts.
+    """One row per stream, file and field: number of values and majority kind.
 
-    Batches are profiled before the shuffle, so what is shuffled is bounded by files x fields x k a batch, however large or hot a
+    Batches are profiled before the shuffle, so what is shuffled is bounded by files x fields a batch, however large or hot a
     file is. A file without any readable record still has one row, with a null field. Kinds that tie go by name.
     """
     part = exports.select("export_stream", "export_file", "exported_at", "payload").mapInArrow(_profile, PROFILE)
     file = ["export_stream", "export_file"]
-    merged = part.groupBy(*file, "field", "kind", "h").agg(F.min("exported_at").alias("exported_at"), F.sum("n").alias("n"), F.min("shown").alias("shown"))
-    least = F.slice(F.sort_array(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "shown", "n")))), 1, SKETCH_K)
+    merged = part.groupBy(*file, "field", "kind").agg(F.min("exported_at").alias("exported_at"), F.sum("n").alias("n"))
     return merged.groupBy(*file, "field").agg(
         F.min("exported_at").alias("exported_at"),
         F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("n_values"),
         F.min_by("kind", F.when(F.col("kind").isNotNull(), F.struct(-F.col("n"), F.col("kind")))).alias("kind"),
-        least.alias("sketch"),
     )
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _shown(value) -> str:
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def _traits(text: str) -> tuple:
+    """What likeness asks of a value in lower case: hashes of the whole value and of its shape, whether that is structured, its truth and number."""
+    shape = _shape(text)
+    return _hash(text), _hash(shape), len(re.findall(r"[^w\s]", shape)) >= 2, True if text in _TRUE else False if text in _FALSE else None, _number(text)
+
+
+def _values(batches: Iterator[pa.RecordBatch], wanted: set[tuple] | None) -> Iterator[pa.RecordBatch]:
+    """Every distinct value of the wanted fields (of all, if None) of each file with its count, a batch at a time."""
+    for batch in batches:
+        seen: dict[tuple, Counter] = {}
+        for stream, file, text in zip(*(batch.column(c).to_pylist() for c in ("export_stream", "export_file", "payload")), strict=True):
+            for field, value in leaves(_decode(text) or {}):
+                key = (stream or "", file, field)
+                if wanted is None or key in wanted:
+                    mine = seen.setdefault(key, Counter())
+                    for v in value if isinstance(value, list) else (value,):
+                        mine[_shown(v).lower()] += 1
+        rows = [(*key, *_traits(v), n) for key, mine in seen.items() for v, n in mine.items()]
+        c = list(zip(*rows, strict=True)) if rows else [()] * 9
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["export_stream", "export_file", "field", "h", "shape", "structured", "truth", "number", "n"])
+
+
 def _tokens(name: str) -> list[str]:
     return [t.lower() for t in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name.rpartition(".")[2])]
 
@@ -149,48 +159,61 @@ def _share(a: Counter, b: Counter) -> float:
     return sum(min(v / na, b[k] / nb) for k, v in a.items()) if na and nb else 0.0
 
 
+def judged(p: dict) -> tuple[float, bool]:
+    """How far two fields hold the same data (0 to 1), and whether that alone can tell one from another.
+
+    Of each side (0, 1): n values, d distinct ones, n_truth and n_true, n_number, n_structured. Of both: exact and forms, the shares that values
+    and shapes have in common; ks, the distance of the numbers' distributions; shared, the distinct values in both; within, their share of
+    the side with fewer distinct values.
+    """
+    n = p["n0"], p["n1"]
+    if p["n_truth0"] == n[0] and p["n_truth1"] == n[1]:
+        return 1 - abs(p["n_true0"] / n[0] - p["n_true1"] / n[1]), False
+    if all(p[f"n_number{i}"] > 0.8 * n[i] for i in (0, 1)):
+        return max(p["exact"], 1 - p["ks"]), False
+    structured = p["n_structured0"] > 0.5 * n[0]
+    many = min(p["d0"] / n[0], p["d1"] / n[1]) > 0.4
+    if many and structured and p["forms"] > 0.7:
+        return max(p["exact"], p["forms"]), True
+    if p["shared"] >= LEAST_SHARED and p["within"] >= LEAST_WITHIN:
+        return max(p["exact"], p["within"]), True
+    return max(p["exact"], 0.6 * p["forms"]), p["exact"] >= 0.35
+
+
 def data_likeness(a: list, b: list) -> tuple[float, bool]:
-    """How far two value sketches hold the same data (0 to 1), and whether that alone can tell one field from another."""
-    x = Counter({s: 0 for s, _ in a})
-    y = Counter({s: 0 for s, _ in b})
-    for s, n in a:
-        x[s.lower()] += n
-    for s, n in b:
-        y[s.lower()] += n
+    """``judged`` for two lists of (value, count)."""
+    x, y = Counter(), Counter()
+    for z, c in ((a, x), (b, y)):
+        for s, n in z:
+            c[s.lower()] += n
     x, y = +x, +y
     if not x or not y:
         return 0.0, False
-    if set(x) <= _FALSE | _TRUE and set(y) <= _FALSE | _TRUE:
-        p, q = (sum(n for s, n in z.items() if s in _TRUE) / sum(z.values()) for z in (x, y))
-        return 1 - abs(p - q), False
-    exact = _share(x, y)
-    v, w = ([(f, n) for s, n in z.items() if (f := _number(s)) is not None] for z in (x, y))
-    if sum(n for _, n in v) > 0.8 * sum(x.values()) and sum(n for _, n in w) > 0.8 * sum(y.values()):
-        p, q = (np.sort(np.repeat([f for f, _ in z], [n for _, n in z])) for z in (v, w))
-        grid = np.concatenate([p, q])
-        ks = np.abs(np.searchsorted(p, grid, "right") / len(p) - np.searchsorted(q, grid, "right") / len(q)).max()
-        return max(exact, 1 - ks), False
-    shapes = [Counter() for _ in range(2)]
-    for z, c in zip((x, y), shapes, strict=True):
+    p, shapes, numbers = {}, [Counter(), Counter()], []
+    for i, z in enumerate((x, y)):
+        traits = [(*_traits(s)[2:], n) for s, n in z.items()]
+        p |= {f"n{i}": sum(z.values()), f"d{i}": len(z), f"n_truth{i}": sum(n for _, t, _, n in traits if t is not None), f"n_true{i}": sum(n for _, t, _, n in traits if t), f"n_structured{i}": sum(n for k, _, _, n in traits if k)}
+        numbers.append([(f, n) for _, _, f, n in traits if f is not None])
+        p[f"n_number{i}"] = sum(n for _, n in numbers[i])
         for s, n in z.items():
-            c[_shape(s)] += n
-    forms = _share(*shapes)
-    structured = sum(n for s, n in shapes[0].items() if len(re.findall(r"[^w\s]", s)) >= 2) > 0.5 * sum(x.values())
-    many = min(len(x) / sum(x.values()), len(y) / sum(y.values())) > 0.4
-    if many and structured and forms > 0.7:
-        return max(exact, forms), True
-    return max(exact, 0.6 * forms), exact >= 0.35
-
-
-def match_renames(removed: dict[str, list], added: dict[str, list]) -> list[tuple[str, str]]:
+            shapes[i][_shape(s)] += n
+    ks = 1.0
+    if all(numbers):
+        v, w = (np.sort(np.repeat([f for f, _ in z], [n for _, n in z])) for z in numbers)
+        grid = np.concatenate([v, w])
+        ks = np.abs(np.searchsorted(v, grid, "right") / len(v) - np.searchsorted(w, grid, "right") / len(w)).max()
+    both = set(x) & set(y)
+    small = x if len(x) <= len(y) else y
+    return judged(p | {"exact": _share(x, y), "forms": _share(*shapes), "ks": ks, "shared": len(both), "within": sum(small[s] for s in both) / sum(small.values())})
+
+
+def best_pairs(likeness: Iterable[tuple[str, str, float, bool]]) -> list[tuple[str, str]]:
     """Pairs (old, new) that hold the same data, best first, each name in one pair at most."""
     scored = []
-    for old, x in removed.items():
-        for new, y in added.items():
-            data, telling = data_likeness(x, y)
-            name = name_likeness(old, new)
-            if (telling and data >= 0.4) or (name >= 0.3 and data >= 0.45):
-                scored.append((-(data + name), old, new))
+    for old, new, data, telling in likeness:
+        name = name_likeness(old, new)
+        if (telling and data >= 0.4) or (name >= 0.3 and data >= 0.45):
+            scored.append((-round(data + name, 9), old, new))
     pairs, gone = [], set()
     for _, old, new in sorted(scored):
         if ("-", old) not in gone and ("+", new) not in gone:
@@ -199,19 +222,60 @@ def match_renames(removed: dict[str, list], added: dict[str, list]) -> list[tupl
     return pairs
 
 
-def _changes_of_file(pdf: pd.DataFrame) -> pd.DataFrame:
-    stream, file = pdf["export_stream"].iloc[0], pdf["export_file"].iloc[0]
-    sketch = lambda s: [(r["shown"], r["n"]) for r in s]
-    removed = {r.field: sketch(r.sketch) for r in pdf.itertuples() if r.side == "removed"}
-    added = {r.field: sketch(r.sketch) for r in pdf.itertuples() if r.side == "added"}
-    kind = {(r.side, r.field): r.kind for r in pdf.itertuples()}
-    out, pairs = [], match_renames(removed, added)
-    for old, new in pairs:
+def match_renames(removed: dict[str, list], added: dict[str, list]) -> list[tuple[str, str]]:
+    """The renames among fields given by lists of (value, count)."""
+    return best_pairs((old, new, *data_likeness(x, y)) for old, x in removed.items() for new, y in added.items())
+
+
+def pair_likeness(exports: DataFrame, side: DataFrame, most_told: int = MOST_TOLD) -> DataFrame:
+    """What ``judged`` asks of every pair (old, new) of a removed and an added field of a file, from counts of all their values.
+
+    ``side`` (export_stream, export_file, source, field, side) names the changed fields and the file that holds their values. Values are
+    counted by the hash of the whole value and joined by it, so nothing is sampled or cut; texts don't leave the batch they are read in.
+    """
+    told = {(r[0], r[1], r[2]) for r in side.select("export_stream", "source", "field").limit(most_told + 1).collect()}
+    wanted = told if len(told) <= most_told and side.count() <= most_told else None
+    raw = exports.select("export_stream", "export_file", "payload").mapInArrow(lambda b: _values(b, wanted), VALUES).withColumnRenamed("export_file", "source")
+    file, of = ["export_stream", "export_file"], ["export_stream", "export_file", "side", "field"]
+    if wanted is None:
+        raw = raw.join(side.select("export_stream", "source", "field").distinct(), ["export_stream", "source", "field"], "left_semi")
+    counted = raw.groupBy("export_stream", "source", "field", "h").agg(F.first("shape").alias("shape"), F.first("structured").alias("structured"), F.first("truth").alias("truth"), F.first("number").alias("number"), F.sum("n").alias("n"))
+    values = checkpointed(counted.join(side.select(*of, "source"), ["export_stream", "source", "field"]).drop("source"))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    totals = checkpointed(values.groupBy(*of).agg(F.sum("n").alias("n"), F.count("*").alias("d"), total(F.col("truth").isNotNull()).alias("n_truth"), total(F.col("truth")).alias("n_true"), total(F.col("number").isNotNull()).alias("n_number"), total(F.col("structured")).alias("n_structured")))
+    half = lambda df, i: df.filter(F.col("side") == ("removed", "added")[i]).drop("side").select(*file, F.col("field").alias(("old", "new")[i]), *(F.col(c).alias(f"{c}{i}") for c in df.columns if c not in of))
+    pairs = half(totals, 0).join(half(totals, 1), file)
+    pair, sizes = [*file, "old", "new"], pairs.select(*file, "old", "new", "n0", "n1", "d0", "d1")
+
+    def common(key: str) -> DataFrame:
+        k = values.groupBy(*of, key).agg(F.sum("n").alias("m"))
+        k = half(k, 0).withColumnRenamed(f"{key}0", key).join(half(k, 1).withColumnRenamed(f"{key}1", key), [*file, key])
+        return k.join(sizes, pair)
+
+    least = F.sum(F.least(F.col("m0") / F.col("n0"), F.col("m1") / F.col("n1")))
+    exact = common("h").groupBy(*pair).agg(least.alias("exact"), F.count("*").alias("shared"), F.sum(F.when(F.col("d0") <= F.col("d1"), F.col("m0") / F.col("n0")).otherwise(F.col("m1") / F.col("n1"))).alias("within"))
+    forms = common("shape").groupBy(*pair).agg(least.alias("forms"))
+    truths = (F.col("n_truth0") == F.col("n0")) & (F.col("n_truth1") == F.col("n1"))
+    numeric = pairs.filter((F.col("n_number0") > 0.8 * F.col("n0")) & (F.col("n_number1") > 0.8 * F.col("n1")) & ~truths).select(*pair, "n_number0", "n_number1")
+    numbers = values.filter("number is not null").groupBy(*of, "number").agg(F.sum("n").alias("m"))
+    steps = [half(numbers, i).join(numeric, [*file, ("old", "new")[i]]).select(*pair, F.col(f"number{i}").alias("number"), ((1 - 2 * i) * F.col(f"m{i}") / F.col(f"n_number{i}")).alias("step")) for i in (0, 1)]
+    climb = steps[0].unionByName(steps[1]).groupBy(*pair, "number").agg(F.sum("step").alias("step"))
+    apart = climb.withColumn("apart", F.abs(F.sum("step").over(Window.partitionBy(*pair).orderBy("number").rowsBetween(Window.unboundedPreceding, 0))))
+    ks = apart.groupBy(*pair).agg(F.max("apart").alias("ks"))
+    return pairs.join(exact, pair, "left").join(forms, pair, "left").join(ks, pair, "left").na.fill(0, ["exact", "shared", "within", "forms"]).na.fill(1.0, ["ks"])
+
+
+def _changes_of_file(key: tuple, fields: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    stream, file = key
+    kind = {(r.side, r.field): r.kind for r in fields.itertuples()}
+    found = best_pairs((p["old"], p["new"], *judged(p)) for p in pairs.to_dict("records"))
+    out = []
+    for old, new in found:
         out.append((stream, file, "renamed", new, old))
         if kind["removed", old] != kind["added", new]:
             out.append((stream, file, "retyped", new, old))
-    olds, news = {p[0] for p in pairs}, {p[1] for p in pairs}
-    out += [(stream, file, "added", f, "") for f in added if f not in news] + [(stream, file, "removed", f, "") for f in removed if f not in olds]
+    gone = {("removed", p[0]) for p in found} | {("added", p[1]) for p in found}
+    out += [(stream, file, side, f, "") for side, f in kind if (side, f) not in gone]
     return pd.DataFrame(out, columns=["export_stream", "export_file", "change_kind", "field_name", "old_field_name"])
 
 
@@ -220,21 +284,24 @@ def file_changes(exports: DataFrame) -> DataFrame:
 
     Files of a stream go by exported_at, then name. ``renamed`` and also ``retyped`` rows of one field carry the former name; a
     plain ``retyped`` row has ''. Rows with a null stream are a stream of their own; null or unreadable payloads hold no fields; an
-    empty table gives no rows. The profile is written once to the checkpoint folder, as four branches read it. After the profile everything is files x fields in size; only one file's changed fields meet in a task.
+    empty table gives no rows. The profile is written once to the checkpoint folder, as four branches read it. Renames are decided by all
+    values of the fields that come and go (see ``pair_likeness``), which are read in a second pass over the payloads; all else is files x fields in size.
     """
     prof = checkpointed(field_profiles(exports).withColumn("export_stream", F.coalesce("export_stream", F.lit(""))))
     file = ["export_stream", "export_file"]
     order = Window.partitionBy("export_stream").orderBy("exported_at", "export_file")
     files = prof.groupBy(*file).agg(F.min("exported_at").alias("exported_at")).withColumn("previous", F.lag("export_file").over(order)).withColumn("next", F.lead("export_file").over(order))
-    fields = prof.filter("field is not null").select(*file, "field", "kind", "sketch")
+    fields = prof.filter("field is not null").select(*file, "field", "kind")
     cur = fields.join(files.filter("previous is not null").select(*file), file)
-    old = fields.join(files.filter("next is not null").select(*file, "next"), file).select("export_stream", F.col("next").alias("export_file"), "field", F.col("kind").alias("old_kind"), F.col("sketch").alias("old_sketch"))
+    old = fields.join(files.filter("next is not null").select(*file, "next"), file).select("export_stream", F.col("next").alias("export_file"), "field", F.col("kind").alias("old_kind"))
     both = cur.join(old, [*file, "field"], "full_outer")
     plain = both.filter("kind <> old_kind").select(*file, F.lit("retyped").alias("change_kind"), F.col("field").alias("field_name"), F.lit("").alias("old_field_name"))
-    side = both.filter("kind is null or old_kind is null").select(
-        *file, "field", F.when(F.col("kind").isNull(), "removed").otherwise("added").alias("side"), F.coalesce("kind", "old_kind").alias("kind"), F.coalesce("sketch", "old_sketch").alias("sketch")
-    )
-    moved = side.groupBy(*file).applyInPandas(_changes_of_file, f"export_stream string, {FOUND}")
+    side = both.filter("kind is null or old_kind is null").select(*file, "field", F.when(F.col("kind").isNull(), "removed").otherwise("added").alias("side"), F.coalesce("kind", "old_kind").alias("kind"))
+    side = side.join(files.select(*file, "previous"), file).withColumn("source", F.when(F.col("side") == "removed", F.col("previous")).otherwise(F.col("export_file"))).drop("previous")
+    side = checkpointed(side)
+    turned = side.groupBy(*file).agg(F.countDistinct("side").alias("n")).filter("n = 2").select(*file)
+    pairs = pair_likeness(exports, checkpointed(side.join(turned, file)))
+    moved = side.groupBy(*file).cogroup(pairs.withColumnsRenamed({c: f"of_{c}" for c in file}).groupBy(*(f"of_{c}" for c in file))).applyInPandas(_changes_of_file, f"export_stream string, {FOUND}")
     return plain.unionByName(moved)
 
 
