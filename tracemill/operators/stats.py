@@ -22,6 +22,8 @@ def median_mad(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def robust_z(raw: Column, median: Column, mad: Column) -> Column:
+    """Robust z of any baseline: a median or MAD that is null or NaN counts as 0, a MAD of 0 or less gives 0; only raw may make it null or NaN."""
+    median, mad = (F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)) for c in (median, mad))
     return F.when(mad <= 0, F.lit(0.0)).otherwise((raw - median) / (Z_FACTOR * mad))
 
 

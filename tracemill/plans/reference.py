@@ -274,11 +274,24 @@ def nearest(s: SparkSession, d: str) -> DataFrame:
     return e.filter(is_("error")).select("event_id", F.col("nearest_path").alias("path"), F.col("nearest_distance").alias("distance"), F.col("nearest_direction").alias("direction"))
 
 
-def nearest_rank(s: SparkSession, d: str) -> DataFrame:
+def nearest_rank(sig: DataFrame) -> DataFrame:
     n = F.col("n")
     pos = lambda p: F.bround(p * (n - 1), 0)
-    g = stats.index_percentiles(signals(s, d).filter("source is not null"), ["source"], "length_words", {f"q{int(p * 100)}": pos(p) for p in (0.1, 0.5, 0.9)})
-    return g
+    return stats.index_percentiles(sig, ["source"], "length_words", {f"q{int(p * 100)}": pos(p) for p in (0.1, 0.5, 0.9)})
+
+
+#: Measures of the sources. The query of the name leaves out documents without a source, as its SQL does; name_whole has them as a group.
+_BY_SOURCE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "median_mad_by_source": lambda sig: stats.median_mad(sig.withColumn("v", F.col("length_words").cast("double")), ["source"], "v"),
+    "presence_intensity": lambda sig: stats.presence_intensity(sig, ["source"], "markers_per_100w").select("source", r6("presence_rate"), r6("intensity_median"), "n", "n_positive", "low_confidence"),
+    "topk_excerpts": lambda sig: scoring.top_per_group(sig.select("source", "doc_id", "marker_count"), "source", [F.desc_nulls_last("marker_count"), F.col("doc_id")], 5).select("source", "doc_id", "marker_count", "rank"),
+    "nearest_rank_quantiles": nearest_rank,
+}
+
+
+def robust_z_whole(s: SparkSession, d: str) -> DataFrame:
+    """The z of every baseline, unrounded: extreme ones are to be compared by relative error."""
+    return table(s, d, "baseline_stats").select("stat_id", stats.robust_z(F.lit(1.0), F.col("median"), F.col("mad")).alias("z"))
 
 
 def tool_call_summary(s: SparkSession, d: str) -> DataFrame:
@@ -329,12 +342,12 @@ QUERIES: dict[str, Query] = {
     "carry_forward_state": lambda s, d: windows.carry_forward(indexed(s, d), "user_id", F.when(is_("purchase"), (F.col("k") % 10).cast("string")), "open_path").filter(is_("error")).select("event_id", "open_path"),
     "block_signals": block_signals,
     "marker_clusters": lambda s, d: text.clusters(text.marker_positions(documents(s, d), "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_markers"), F.max("cluster_index").alias("last_cluster")),
-    "median_mad_by_source": lambda s, d: stats.median_mad(signals(s, d).withColumn("v", F.col("length_words").cast("double")).filter("source is not null"), ["source"], "v"),
-    "presence_intensity": lambda s, d: stats.presence_intensity(signals(s, d).filter("source is not null"), ["source"], "markers_per_100w").select("source", r6("presence_rate"), r6("intensity_median"), "n", "n_positive", "low_confidence"),
+    **{n: (lambda s, d, f=f: f(signals(s, d).filter("source is not null"))) for n, f in _BY_SOURCE.items()},
+    **{f"{n}_whole": (lambda s, d, f=f: f(signals(s, d))) for n, f in _BY_SOURCE.items()},
+    "robust_z_whole": robust_z_whole,
     "file_score_topk": file_score_topk,
     "corpus_mode": lambda s, d: scoring.corpus_mode(scores(s, d).withColumn("score", F.round("score", 6))),
     "noise_in_top": lambda s, d: scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).agg(F.count_if(scoring.noisy(F.col("path"))).alias("n_noise"), F.count_if(scoring.ignored(F.col("path"))).alias("n_ignored"), F.count("*").alias("n")),
-    "topk_excerpts": lambda s, d: scoring.top_per_group(signals(s, d).filter("source is not null").select("source", "doc_id", "marker_count"), "source", [F.desc_nulls_last("marker_count"), F.col("doc_id")], 5).select("source", "doc_id", "marker_count", "rank"),
     "path_tokens": lambda s, d: documents(s, d).select("doc_id", F.explode(text.path_tokens(F.col("text"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents")),
     "home_redaction": lambda s, d: documents(s, d).select("doc_id", F.sha2(text.redact_home(F.concat(F.lit("/home/someone/"), F.col("text"))), 256).alias("hash")),
     "model_distribution": lambda s, d: table(s, d, "chat_messages").groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.count("*").alias("n_events"), F.countDistinct("session_id").alias("n_sessions")),
@@ -345,7 +358,6 @@ QUERIES: dict[str, Query] = {
     "alternation_census": lambda s, d: units.alternation(messages(s, d), "session_id", "row_id", is_action()),
     "systematic_sample": lambda s, d: sampling.systematic(table(s, d, "documents").select("doc_id"), "doc_id"),
     "stratified_sample": lambda s, d: sampling.stratified(table(s, d, "documents").filter("block_kind is not null").select("block_kind", "doc_id"), "block_kind", "doc_id", 10),
-    "nearest_rank_quantiles": nearest_rank,
     "index_percentiles": lambda s, d: stats.index_percentiles(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p10": F.floor(F.col("n") / 10), "p50": F.floor(F.col("n") / 2)}),
     "label_confusion": lambda s, d: stats.confusion(kappa_pairs(s, d), "human", "judge", _CATS),
     "label_agreement": lambda s, d: kappa_pairs(s, d).groupBy(F.abs(F.col("judge") - F.col("human")).alias("distance")).agg(F.count("*").alias("n")),
@@ -447,3 +459,4 @@ SQL: dict[str, str] = {
     "symbol_histogram": "select symbol, count(*) as n from (select unnest(string_split(p_name, ' ')) as symbol from part) where symbol <> '' group by 1",
 }
 SQL["last_first_title"] = "select session_id, arg_min(title, (mtime, title)) filter (title is not null) as first_value, arg_max(title, (mtime, title)) filter (title is not null) as last_value from active_sessions group by 1"
+SQL |= {f"{n}_whole": SQL[n].replace(" where source is not null", "") for n in _BY_SOURCE}
