@@ -105,3 +105,18 @@ def test_report(spark, tmp_path):
     assert report.load_baselines(spark, str(tmp_path / "b")).count() == 1 and report.load_baselines(spark, str(tmp_path / "none")) is None
     r = report.squarify([6, 6, 4, 3, 2, 2, 1], 0, 0, 6, 4)
     assert abs(sum(w * h for _, _, w, h in r) - 24) < 1e-9 and all(x >= 0 and y >= 0 and x + w <= 6 + 1e-9 and y + h <= 4 + 1e-9 for x, y, w, h in r)
+
+
+def test_shell_commands_of_all_turns(spark):
+    use = lambda c: {"type": "tool_use", "name": "Bash", "input": {"command": c}}
+    turn = lambda *items: {"content": list(items)}
+    records = [
+        {"type": "assistant", "message": turn(use("top"), {"type": "text", "text": "x"}, {"type": "tool_use", "input": {"path": "p"}})},
+        {"type": "progress", "data": {"type": "agent_progress", "message": {"message": turn(use("agent"))}}},
+        {"type": "assistant", "message": json.dumps(turn(use("text")))},
+        {"type": "user", "message": turn({"type": "tool_result", "content": [use("nested"), {"type": "tool_result", "content": [use("deep")]}]})},
+        {"type": "progress", "data": {"type": "other", "message": {"message": turn(use("no turn"))}}},
+        {"type": "assistant", "message": turn({"type": "tool_use", "input": json.dumps({"command": "input as text"})}, {"type": "text", "input": {"command": "no tool"}})},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, None), (10, "{")], "record_id long, payload string")
+    assert {tuple(r) for r in session_log.shell_commands(df).collect()} == {(0, "top"), (1, "agent"), (2, "text"), (3, "nested"), (3, "deep"), (5, "input as text")}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 RECORD_SCHEMA = "record_id bigint, record_type string, session_id string, event_uuid string, parent_uuid string, event_time string, cwd string, agent_sourced boolean, n_items int, readable boolean"
 LINKS_SCHEMA = "record_id bigint, block_path string, parent_path string, block_type string"
-BLOCK_SCHEMA = f"{LINKS_SCHEMA}, depth int, block_text string, tool_name string, tool_use_id string"
+BLOCK_SCHEMA = f"{LINKS_SCHEMA}, depth int, block_text string, tool_name string, tool_use_id string, command string"
 _LOST = object()
 
 
@@ -61,6 +61,12 @@ def _text(items: list, *keys: str) -> pa.Array:
     return pa.array([next((v for k in keys if isinstance(v := b.get(k), str)), None) for b in items], pa.large_string())
 
 
+def _command(block: dict) -> str | None:
+    """The command of a block's input; one that is no text, as JSON."""
+    command = _member(block.get("input"), "command")
+    return command if command is None or isinstance(command, str) else json.dumps(command, ensure_ascii=False)
+
+
 def flatten_blocks(ids: pa.Array, contents: list[list | None], detail: bool = True) -> pa.Table:
     """All blocks of a batch, level by level.
 
@@ -87,13 +93,13 @@ def flatten_blocks(ids: pa.Array, contents: list[list | None], detail: bool = Tr
         keys = pc.take(keys, parent)
         level = {"record_id": keys, "block_path": path, "parent_path": above, "block_type": _text(blocks, "type")}
         if detail:
-            level |= {"depth": pa.array(np.full(len(keep), depth, np.int32)), "block_text": _text(blocks, "text", "thinking", "content"), "tool_name": _text(blocks, "name"), "tool_use_id": _text(blocks, "id", "tool_use_id")}
+            level |= {"depth": pa.array(np.full(len(keep), depth, np.int32)), "block_text": _text(blocks, "text", "thinking", "content"), "tool_name": _text(blocks, "name"), "tool_use_id": _text(blocks, "id", "tool_use_id"), "command": pa.array([_command(b) for b in blocks], pa.large_string())}
         levels.append(pa.table(level))
         paths, depth = path, depth + 1
         lists = [c if isinstance(c := b.get("content"), list) else None for b in blocks]
     if not levels:
-        text, names = pa.large_string(), ("record_id", "block_path", "parent_path", "block_type", "depth", "block_text", "tool_name", "tool_use_id")
-        kinds = (pa.int64(), text, text, text, pa.int32(), text, text, text)
+        text, names = pa.large_string(), ("record_id", "block_path", "parent_path", "block_type", "depth", "block_text", "tool_name", "tool_use_id", "command")
+        kinds = (pa.int64(), text, text, text, pa.int32(), text, text, text, text)
         return pa.table({n: pa.array([], t) for n, t in list(zip(names, kinds, strict=True))[: None if detail else 4]})
     return pa.concat_tables(levels)
 

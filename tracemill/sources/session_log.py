@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.nested import blocks_table
 from tracemill.operators.schema import EVENT_TYPES
 from tracemill.operators.windows import running
 
@@ -51,10 +52,8 @@ def titles(ev: DataFrame) -> DataFrame:
 
 
 def shell_commands(records: DataFrame) -> DataFrame:
-    """(record_id, command) of the shell tool uses at the top level of assistant turns."""
-    item = "array<struct<type:string,name:string,input:struct<command:string>>>"
-    c = records.select("record_id", F.from_json(F.get_json_object("payload", "$.message.content"), item).alias("items"))
-    return c.select("record_id", F.explode("items").alias("b")).filter("b.type = 'tool_use' and b.input.command is not null").select("record_id", F.col("b.input.command").alias("command"))
+    """(record_id, command) of every tool use with a command: of turns, sub-agent turns and messages written as JSON text, nested blocks too."""
+    return blocks_table(records).filter("block_type = 'tool_use' and command is not null").select("record_id", "command")
 
 
 def listing(spark: SparkSession, path: str, within_hours: float | None = None) -> DataFrame:
