@@ -86,6 +86,26 @@ def path_tokens(text: Column) -> Column:
     return F.array_distinct(path_mentions(text))
 
 
+#: What ends a run of the whole scan, inside of a character class, and how a rooted path begins in it (fixed values).
+SCAN_STOPS = r"\s\x{1C}-\x{1F}'\"`;|&<>$()\[\]{}*?:"
+_ROOTED = r"(?:/|\./|\.\./)"
+
+
+def path_scan(text: Column) -> Column:
+    """Path-like words in order by the whole scan: rooted ones (/, ./ or ../, not within a word) whatever their ending, and those with a known ending.
+
+    A run that begins rooted is one word; else it is taken up to its last known ending, and what follows, or a run without one, from
+    its first rooted place. Runs are cut first, so the cost stays linear. Trailing ,;: go; the tails of addresses (//) are no paths.
+    """
+    runs = F.filter(F.split(text, f"(?U)[{SCAN_STOPS}]+"), lambda w: w.contains("/") | w.contains("."))
+    rooted = lambda w: w.rlike(f"^{_ROOTED}")
+    ended = F.transform(runs, lambda w: F.struct(w.alias("run"), F.when(rooted(w), w).otherwise(F.regexp_extract(w, r"(?Us)^(.+\.(?:" + _ENDINGS + r"))\b", 1)).alias("head")))
+    rest = lambda r: F.substr(r["run"], F.length(r["head"]) + 1)
+    inner = lambda r: F.when(r["head"] == "", F.regexp_extract(r["run"], r"(?Us)(?<!\w)" + _ROOTED + ".*", 0)).otherwise(F.regexp_extract(rest(r), r"(?Us)^.+?(?<!\w)(" + _ROOTED + ".*)$", 1))
+    words = F.flatten(F.transform(ended, lambda r: F.array(r["head"], inner(r))))
+    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[,;:]+$", "")), lambda w: (w != "") & ~w.startswith("//"))
+
+
 def redact_home(text: Column) -> Column:
     return F.regexp_replace(text, r"/(?:Users|home)/[^/\s]+", "~")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +17,24 @@ def session_paths(events: DataFrame, session: str, path: str) -> DataFrame:
     return p.withColumn("base", F.element_at(parts, -1)).withColumn("tail", F.when(F.size(parts) > 1, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))))
 
 
-def mentions(blocks: DataFrame, session: str, block: str, text: str) -> DataFrame:
+def mentions(blocks: DataFrame, session: str, block: str, text: str, scan: Callable[[Column], Column] = T.path_scan) -> DataFrame:
     """(session, block, nth, token, base, tails): path-like words of each block in order, with every end of two parts they contain."""
-    words = T.path_mentions(F.col(text))
+    words = scan(F.col(text))
     m = blocks.select(session, block, F.posexplode(words).alias("nth", "token"))
     parts = F.split("token", "/")
     tail = F.when(F.size(parts) > 1, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)))
     return m.withColumn("base", F.element_at(parts, -1)).withColumn("tail", tail)
 
 
-def attribute(blocks: DataFrame, events: DataFrame, session: str = "session_id", block: str = "block_id", text: str = "text", path: str = "path", proximity: DataFrame | None = None) -> DataFrame:
+def attribute(blocks: DataFrame, events: DataFrame, session: str = "session_id", block: str = "block_id", text: str = "text", path: str = "path", proximity: DataFrame | None = None, scan: Callable[[Column], Column] = T.path_scan) -> DataFrame:
     """(session, block, tier, confidence, file_paths): tier 1 exact path, else 2 unique basename, else 3 the nearest event's path.
 
     An exact path is found by the equality of its last two parts with those of a word, so no pattern is built per row and nothing is
     crossed. A basename counts if one path of the session bears it. ``proximity`` brings (block, nearest_path) for tier 3.
+    ``scan`` finds the words.
     """
     paths = session_paths(events, session, path)
-    words = mentions(blocks, session, block, text)
+    words = mentions(blocks, session, block, text, scan)
     exact = words.filter("tail is not null").join(paths.filter("tail is not null").select(session, "tail", "path"), [session, "tail"])
     t1 = exact.groupBy(session, block).agg(F.sort_array(F.collect_set("path")).alias("p1"))
     unique = paths.groupBy(session, "base").agg(F.count("*").alias("n"), F.max("path").alias("path")).filter("n = 1")

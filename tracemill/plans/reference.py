@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import complexity, judge, shell, text
@@ -18,6 +18,7 @@ from tracemill.runtime import checkpointed, spread, table
 from tracemill.sources import session_log
 
 Query = Callable[[SparkSession, str], DataFrame]
+Scan = Callable[[Column], Column]
 KEYS = ["user_id", "segment_id"]
 
 _EV = """
@@ -115,9 +116,9 @@ def block_signals(s: SparkSession, d: str) -> DataFrame:
     return signals(s, d).select("doc_id", "length_words", "length_chars", "marker_count", r6("question_rate_per_100w"), r6("markers_per_100w"))
 
 
-def attributed(s: SparkSession, d: str) -> DataFrame:
+def attributed(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
     """Document blocks with the paths they name and their signals, written once as several branches read them; tool results count as coupled."""
-    sig = signals(s, d).select("doc_id", "session_id", "block_kind", "text", "length_words", "marker_count", "markers_per_100w").withColumn("paths", text.path_tokens(F.col("text"))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
+    sig = signals(s, d).select("doc_id", "session_id", "block_kind", "text", "length_words", "marker_count", "markers_per_100w").withColumn("paths", F.array_distinct(scan(F.col("text")))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
     return checkpointed(sig.drop("text"))
 
 
@@ -152,14 +153,14 @@ def baselines(counts: dict[str, DataFrame]) -> DataFrame:
     return one
 
 
-def scores(s: SparkSession, d: str) -> DataFrame:
-    blocks = attributed(s, d)
+def scores(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
+    blocks = attributed(s, d, scan)
     c = {n: checkpointed(x) for n, x in _counts(blocks).items()}
     return scoring.file_scores(scoring.block_aggregate(blocks), c, baselines(c))
 
 
-def file_score_topk(s: SparkSession, d: str) -> DataFrame:
-    return scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).select("path", "tangle_count", r6("markers"), r6("resolution_rate"), "reread_bursts", "edit_churn", "score")
+def file_score_topk(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
+    return scoring.ranked(scores(s, d, scan).withColumn("score", F.round("score", 6))).select("path", "tangle_count", r6("markers"), r6("resolution_rate"), "reread_bursts", "edit_churn", "score")
 
 
 _SCORES = f"""
@@ -307,11 +308,11 @@ def answers(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy(judge.outcome(F.col("p"), F.col("stop_reason")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def attributed_tiers(s: SparkSession, d: str) -> DataFrame:
+def attributed_tiers(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
     """Thinking blocks against the paths that the tool results of their session name."""
     docs = documents(s, d).filter("session_id is not null")
-    ev = docs.filter("block_kind = 'tool_result'").select("session_id", F.explode(text.path_tokens(F.col("text"))).alias("path"))
-    a = attribution.attribute(docs.filter("block_kind = 'thinking'").withColumnRenamed("doc_id", "block_id"), ev)
+    ev = docs.filter("block_kind = 'tool_result'").select("session_id", F.explode(F.array_distinct(scan(F.col("text")))).alias("path"))
+    a = attribution.attribute(docs.filter("block_kind = 'thinking'").withColumnRenamed("doc_id", "block_id"), ev, scan=scan)
     return a.filter("tier is not null").select("session_id", "block_id", "tier", F.size("file_paths").cast("long").alias("n_paths"))
 
 
@@ -327,6 +328,18 @@ def latency(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "attempts").groupBy("pass_id").agg(F.min("latency_s").alias("low"), F.median("latency_s").alias("middle"), F.max("latency_s").alias("high"), F.count("*").alias("n"), F.sum("infra_retries").alias("retries"))
 
 
+def path_tokens(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
+    return documents(s, d).select("doc_id", F.explode(F.array_distinct(scan(F.col("text")))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents"))
+
+
+def user_ignore(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
+    paths = documents(s, d).select(F.explode(F.array_distinct(scan(F.col("text")))).alias("path")).distinct()
+    return paths.filter(attribution.user_ignored(F.col("path"), ["*.md", "tests/", "!tests/**/*.md", "/src/*.py", "# note"]))
+
+
+#: Queries over the paths of texts. The query of the name has those with a known ending, as its SQL does; name_whole those of the whole scan.
+_BY_PATH = {"path_tokens": path_tokens, "user_ignore": user_ignore, "file_score_topk": file_score_topk, "attribution_tiers": attributed_tiers}
+
 QUERIES: dict[str, Query] = {
     "event_ordinal_segments": lambda s, d: indexed(s, d).select("event_id", "user_id", "event_index", "segment_id"),
     "reread_bursts": _burst("view"),
@@ -345,10 +358,10 @@ QUERIES: dict[str, Query] = {
     **{n: (lambda s, d, f=f: f(signals(s, d).filter("source is not null"))) for n, f in _BY_SOURCE.items()},
     **{f"{n}_whole": (lambda s, d, f=f: f(signals(s, d))) for n, f in _BY_SOURCE.items()},
     "robust_z_whole": robust_z_whole,
-    "file_score_topk": file_score_topk,
+    **_BY_PATH,
+    **{f"{n}_whole": (lambda s, d, f=f: f(s, d, text.path_scan)) for n, f in _BY_PATH.items()},
     "corpus_mode": lambda s, d: scoring.corpus_mode(scores(s, d).withColumn("score", F.round("score", 6))),
     "noise_in_top": lambda s, d: scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).agg(F.count_if(scoring.noisy(F.col("path"))).alias("n_noise"), F.count_if(scoring.ignored(F.col("path"))).alias("n_ignored"), F.count("*").alias("n")),
-    "path_tokens": lambda s, d: documents(s, d).select("doc_id", F.explode(text.path_tokens(F.col("text"))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents")),
     "home_redaction": lambda s, d: documents(s, d).select("doc_id", F.sha2(text.redact_home(F.concat(F.lit("/home/someone/"), F.col("text"))), 256).alias("hash")),
     "model_distribution": lambda s, d: table(s, d, "chat_messages").groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.count("*").alias("n_events"), F.countDistinct("session_id").alias("n_sessions")),
     "last_first_title": lambda s, d: joins.first_last(table(s, d, "active_sessions"), "session_id", "mtime", "title"),
@@ -380,9 +393,7 @@ QUERIES: dict[str, Query] = {
     "thinking_blocks": lambda s, d: session_blocks(s, d).filter("block_type = 'thinking' and session_id is not null").groupBy("session_id").agg(F.count("*").alias("n_blocks"), F.count_if("agent_sourced").alias("n_agent")),
     "shell_paths": lambda s, d: session_log.shell_commands(table(s, d, "session_records")).select(F.split_part("command", F.lit(" "), F.lit(1)).alias("program"), shell.shell_paths(F.concat(F.lit("cat src/a.py && "), "command")).alias("paths")).groupBy("program").agg(F.count("*").alias("n_commands"), F.sum(F.size("paths")).alias("n_paths")),
     "json_first_object": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(judge.first_json_object(F.concat(F.lit("{ props: "), "props", F.lit(" }"))), "$.k").cast("long").alias("k")),
-    "attribution_tiers": attributed_tiers,
     "source_measures": source_measures,
-    "user_ignore": lambda s, d: documents(s, d).select(F.explode(text.path_tokens(F.col("text"))).alias("path")).distinct().filter(attribution.user_ignored(F.col("path"), ["*.md", "tests/", "!tests/**/*.md", "/src/*.py", "# note"])),
     "symbol_histogram": lambda s, d: joins.symbols(table(s, d, "part").select(F.col("p_name").alias("t")), "t"),
 }
 
