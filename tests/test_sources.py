@@ -120,3 +120,14 @@ def test_shell_commands_of_all_turns(spark):
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, None), (10, "{")], "record_id long, payload string")
     assert {tuple(r) for r in session_log.shell_commands(df).collect()} == {(0, "top"), (1, "agent"), (2, "text"), (3, "nested"), (3, "deep"), (5, "input as text")}
+
+
+def test_whole_report(spark, tmp_path):
+    sc = spark.range(1203).selectExpr("concat('p', id) as path", "cast(id as double) as score")
+    base = spark.range(1100).selectExpr("concat('s', id) as signal", "'robust_z' as kind", "1.0D as median", "1.0D as mad", "3L as n", "true as low_confidence")
+    got = json.loads(report.report_json(sc, base))
+    assert got["meta"]["n_files"] == 1203 and len(got["files"]) == got["meta"]["n_shown"] == 1000 and len(got["baselines"]) == 1100
+    report.write_report(sc, base, str(tmp_path))
+    files = spark.read.json(f"{tmp_path}/files").collect()
+    assert {r.path for r in files} == {f"p{i}" for i in range(1203)} and spark.read.json(f"{tmp_path}/baselines").count() == 1100
+    assert spark.read.json(f"{tmp_path}/meta").first().n_files == 1203

@@ -14,10 +14,21 @@ _BASE = "signal string, kind string, median double, mad double, n long, low_conf
 
 
 def report_json(scores: DataFrame, baselines: DataFrame, most: int = 1000) -> str:
-    """The report of the leading files and their baselines; what reaches the driver is bounded by ``most`` rows."""
+    """The report for a page: the ``most`` leading files (``n_shown``) of ``n_files`` in all, and every baseline, one row a signal.
+
+    All files are in the report that ``write_report`` leaves.
+    """
     files = [r.asDict(recursive=True) for r in scores.orderBy(F.desc("score"), "path").limit(most).collect()]
-    base = [r.asDict(recursive=True) for r in baselines.limit(most).collect()]
-    return json.dumps({"meta": {"schema_version": SCHEMA_VERSION, "n_files": len(files)}, "baselines": base, "files": files}, ensure_ascii=False, default=str)
+    base = [r.asDict(recursive=True) for r in baselines.orderBy(*(c for c in ("signal", "kind") if c in baselines.columns)).collect()]
+    n = scores.count() if len(files) >= most else len(files)
+    return json.dumps({"meta": {"schema_version": SCHEMA_VERSION, "n_files": n, "n_shown": len(files)}, "baselines": base, "files": files}, ensure_ascii=False, default=str)
+
+
+def write_report(scores: DataFrame, baselines: DataFrame, path: str) -> None:
+    """The whole report as JSON lines below ``path``: meta (one line), baselines and files, every one, written by the executors, nulls kept."""
+    meta = scores.agg(F.count("*").alias("n_files")).select(F.lit(SCHEMA_VERSION).alias("schema_version"), "n_files")
+    for name, rows in (("meta", meta), ("baselines", baselines), ("files", scores.orderBy(F.desc("score"), "path"))):
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
 def page(report: str, template: str, marker: str = "__REPORT__") -> str:
