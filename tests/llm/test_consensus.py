@@ -59,3 +59,13 @@ def test_alpha(spark):
     do = (0 + 2 + 0) / 6
     de = sum(a != b for i, a in enumerate(x) for j, b in enumerate(x) if i != j) / (6 * 5)
     assert abs(r.alpha_nominal - (1 - do / de)) < 1e-9 and r.n_units == 3
+
+
+def test_both_paths_stop_alike(spark):
+    r = np.random.default_rng(4)
+    rows = [(f"u{i}", f"r{j}", int(np.clip(i % 4 + r.choice([-1, 0, 0, 0, 1]), 0, 3))) for i in range(60) for j in r.choice(9, 3, replace=False)]
+    labels = spark.createDataFrame(rows, "unit string, rater string, label int")
+    a, b = C.fit(labels, rounds=6, tolerance=0.1), C.fit(labels, rounds=6, tolerance=0.1, max_broadcast=0)
+    assert 1 < a.rounds == b.rounds < 6
+    x, y = ({u.unit: u.posterior for u in f.units.collect()} for f in (a, b))
+    assert x.keys() == y.keys() and all(np.allclose(x[u], y[u], atol=1e-6) for u in x)

@@ -181,6 +181,15 @@ def fit(labels: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, m
     return Fitted(units.mapInArrow(judge, _UNIT), spark.createDataFrame(rows, _RATER) if n_raters else spark.createDataFrame([], _RATER), model, done)
 
 
+def _moved(counts: DataFrame, former: DataFrame) -> float:
+    """Movement of the raters' counts relative to their sum: what ends the rounds, however many raters there are."""
+    both = counts.join(former.select("rater", F.col("counts").alias("old")), "rater", "left")
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    old = F.coalesce("old", F.transform("counts", lambda x: F.lit(0.0)))
+    got = both.agg(F.sum(add(F.zip_with("counts", old, lambda x, y: F.abs(x - y)))), F.sum(add(F.col("counts")))).first()
+    return float(got[0] / max(1.0, got[1])) if got[0] is not None else 0.0
+
+
 def _fit_joined(labels: DataFrame, names: DataFrame, rounds: int, tolerance: float) -> Fitted:
     """The same updates with the raters' matrices as a table of their own, for more raters than may be broadcast."""
     labels, model = checkpointed(labels.select("unit", "rater", "label")), Model()
@@ -201,20 +210,20 @@ def _fit_joined(labels: DataFrame, names: DataFrame, rounds: int, tolerance: flo
                 r, log_matrix, mean = model.raters(c)
                 yield pd.DataFrame({"rater": pdf["rater"], "counts": list(c.reshape(len(c), -1)), "log_matrix": list(log_matrix.reshape(len(c), -1)), "r": list(r), "mean": list(mean.reshape(len(c), -1))})
 
-    shape, done, before = "rater string, counts array<double>, log_matrix array<double>, r array<double>, mean array<double>", 0, None
+    shape, done = "rater string, counts array<double>, log_matrix array<double>, r array<double>, mean array<double>", 0
     for done in range(1, rounds + 1):
         post = checkpointed(posteriors(params))
         pair = labels.join(post, "unit")
         counts = checkpointed(pair.groupBy("rater").agg(F.array(*(F.sum(F.when(F.col("label") == x, F.element_at("posterior", k + 1)).otherwise(0.0)) for k in range(CLASSES) for x in range(CLASSES))).alias("counts")))
+        moved = _moved(counts, params)
         classes = np.array(post.select(*(F.sum(F.element_at("posterior", k + 1)) for k in range(CLASSES))).first(), float)
         fitted = counts.mapInPandas(lambda b, m=model: matrices(b, m), shape)
         n = len(model.shares)
         sums = fitted.select(*(F.sum(F.element_at("r", c + 1)) for c in range(n)), *(F.sum(F.element_at("r", c + 1) * F.element_at("counts", i + 1)) for c in range(n) for i in range(CLASSES**2))).first()
-        change = model.update(np.array(sums[n:], float).reshape(n, CLASSES, CLASSES), np.array(sums[:n], float), classes)
+        model.update(np.array(sums[n:], float).reshape(n, CLASSES, CLASSES), np.array(sums[:n], float), classes)
         params = checkpointed(counts.mapInPandas(lambda b, m=Model(model.communities, model.shares, model.prior): matrices(b, m), shape))
-        if before is not None and change < tolerance:
+        if moved < tolerance:
             break
-        before = change
     post = posteriors(params)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
     prior = model.prior
