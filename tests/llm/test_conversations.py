@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime, timezone
 
@@ -81,7 +82,7 @@ def test_random_sessions_equal_brute_force(spark):
             prev = u
     r.shuffle(rows)
     want = brute(rows)
-    assert want and got(spark, rows, slice_seconds=7) == want == got(spark, rows)
+    assert want and got(spark, rows, slice_rows=3) == want == got(spark, rows)
 
 
 def test_segments(spark):
@@ -89,9 +90,9 @@ def test_segments(spark):
     for i, t in enumerate([0, 10, 20, 30, 100_000, 100_010, 300_000, 300_005]):
         rows.append(("s", f"m{i}", None, ("user", "assistant")[i % 2], ts(t), "x"))
     for size in (3, 10**6):
-        df = C.conversations(frame(spark, rows), slice_seconds=size, split=True, gap_seconds=3600)
+        df = C.conversations(frame(spark, rows), slice_rows=size, gap_seconds=3600)
         assert [r.segment for r in df.orderBy("turn").collect()] == [0, 0, 0, 0, 1, 1, 2, 2]
-    full = C.with_texts(C.conversations(frame(spark, rows), split=True), frame(spark, rows)).collect()
+    full = C.with_texts(C.conversations(frame(spark, rows)), frame(spark, rows)).collect()
     assert len(full) == 8 and {r.msg_text for r in full} == {"x"}
 
 
@@ -108,21 +109,36 @@ def resumed(n, rest):
 
 def test_calibrated_segments(spark):
     for rest in (3700, 9 * 3600):  # inside a slice, and over its edge
-        got = C.conversations(frame(spark, resumed(20, rest)), split=True).collect()
+        got = C.conversations(frame(spark, resumed(20, rest))).collect()
         assert len(got) == 200 and all(r.segment == (r.turn >= 6) for r in got)
     stray = [("far", "a", None, "user", ts(0), "x"), ("far", "b", None, "assistant", ts(9 * 10**8), "x")]
-    got = C.conversations(frame(spark, resumed(20, 9 * 3600) + stray), split=True).collect()
+    got = C.conversations(frame(spark, resumed(20, 9 * 3600) + stray)).collect()
     assert sum(r.segment for r in got) == 81
-    assert {r.segment for r in C.conversations(frame(spark, resumed(20, 7)), split=True).collect()} == {0}
-    assert C.conversations(frame(spark, []), split=True).count() == 0
+    assert {r.segment for r in C.conversations(frame(spark, resumed(20, 7))).collect()} == {0}
+    assert C.conversations(frame(spark, [])).count() == 0
 
 
 def test_pauses_over_slice_edges(spark):
-    rows = [("s", f"m{i}", None, ("user", "assistant")[i % 2], ts(t), "x") for i, t in enumerate([0, 10, 50_000, 50_010, 50_030])]
-    turns = C.messages(frame(spark, rows)).withColumn("slice", C.F.floor(C.F.col("instant") / 21_600_000_000))
-    turns = turns.withColumn("pause", C.F.col("instant") - C.F.lag("instant").over(C.Window.partitionBy("session_id", "slice").orderBy("instant")))
+    rows = [("s", i // 2, ts_) for i, ts_ in enumerate([0, 10, 50_000, 50_010, 50_030])]
+    turns = spark.createDataFrame([(s, k, t * 10**6) for s, k, t in rows], "s string, slice int, instant long")
+    turns = turns.withColumn("pause", C.F.col("instant") - C.F.lag("instant").over(C.Window.partitionBy("s", "slice").orderBy("instant")))
     assert sorted(r.pause // 10**6 for r in C.pauses(turns).collect()) == [10, 10, 20, 49_990]
 
 
+def test_segments_do_not_depend_on_slices(spark):
+    rows = resumed(20, 9 * 3600)
+    rows += [("hot", f"h{i:03d}", None, ("user", "assistant")[i % 2], ts(40 * i + (i // 50) * 90_000), "x") for i in range(300)]
+    whole, cut = ({(r.session_id, r.turn, r.segment, r.msg_uuid) for r in C.conversations(frame(spark, rows), slice_rows=n).collect()} for n in (10**6, 7))
+    assert whole == cut and len(whole) == 500 and {s for i, _, s, _ in whole if i == "hot"} == set(range(6))
+    assert {r.segment for r in C.conversations(frame(spark, rows), gap_seconds=math.inf, slice_rows=7).collect()} == {0}
+
+
+def test_packed_keys_come_back(spark):
+    texts = ["cb85e361-b923-4886-9d2f-0123456789ab", "CB85e361-b923-4886-9d2f-0123456789ab", "", "a", "exactly 16 bytes", "é" * 8, "0" * 17]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.packed(C.F.col("t")).alias("k"))
+    rows = df.select("t", "k", C.unpacked(C.F.col("k")).alias("b")).collect()
+    assert [r.b for r in rows] == texts and len({bytes(r.k) for r in rows}) == len(texts) and len(rows[0].k) == 16
+
+
 def test_valley():
     assert C.valley({0: 500, 1: 400, 8: 3, 16: 500, 90: 1}) == 9 and C.valley({0: 500, 1: 400, 2: 90}) is None and C.valley({}) is None

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_turns(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chat_messages")
-    return conversations.with_texts(conversations.conversations(rows, split=True), rows)
+    return conversations.with_texts(conversations.conversations(rows), rows)
 
 
 def p4_block_length_percentiles(s: SparkSession, d: str) -> DataFrame:
