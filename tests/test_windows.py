@@ -103,9 +103,9 @@ def test_units(spark):
 def test_attribution_and_ignore(spark):
     ev = spark.createDataFrame([("s", "/w/src/a.py"), ("s", "/w/lib/b.py"), ("s", "/w/x/b.py"), ("s", "/w/only.md")], "session_id string, path string")
     bl = spark.createDataFrame([("s", 1, "see src/a.py and b.py"), ("s", 2, "only.md, then a.py"), ("s", 3, "nothing"), ("t", 4, "src/a.py"), ("s", 5, None)], "session_id string, block_id int, text string")
-    prox = spark.createDataFrame([(3, "/w/z.py")], "block_id int, nearest_path string")
+    prox = spark.createDataFrame([(3, ["/w/z.py", "/w/y.py"]), (4, [])], "block_id int, nearest_paths array<string>")
     got = {r.block_id: (r.tier, r.file_paths) for r in attribution.attribute(bl, ev, proximity=prox).collect()}
-    assert got == {1: ("exact_path", ["/w/src/a.py"]), 2: ("unique_basename", ["/w/only.md", "/w/src/a.py"]), 3: ("temporal_proximity", ["/w/z.py"]), 4: (None, None), 5: (None, None)}
+    assert got == {1: ("exact_path", ["/w/src/a.py"]), 2: ("unique_basename", ["/w/only.md", "/w/src/a.py"]), 3: ("temporal_proximity", ["/w/z.py", "/w/y.py"]), 4: (None, None), 5: (None, None)}
     paths = spark.createDataFrame([("a/b.log",), ("logs/x.txt",), ("keep.log",), ("src/gen/z.py",), ("deep/src/gen/z.py",), ("docs/a/b/c.md",)], "p string")
     out = [r.p for r in paths.filter(attribution.user_ignored(F.col("p"), ["*.log", "!keep.log", "logs/", "/src/gen", "docs/**/c.md", "", "# x"])).collect()]
     assert out == ["a/b.log", "logs/x.txt", "src/gen/z.py", "docs/a/b/c.md"]

@@ -12,24 +12,35 @@ CLUSTER_GAP, EXCERPT_MARGIN = 200, 50
 SUFFIXES = ("py", "js", "ts", "jsx", "tsx", "md", "yaml", "yml", "toml", "json", "sh", "sql", "html", "css", "rs", "go")
 
 
+def _phrases(markers: tuple[str, ...]) -> str:
+    return "|".join(sorted(markers, key=lambda m: (-len(m), m)))
+
+
 def marker_pattern(markers: tuple[str, ...] = MARKERS) -> str:
     """Longest phrase first; a boundary before the phrase only, so longer words that begin with it count."""
-    phrases = "|".join(sorted(markers, key=lambda m: (-len(m), m)))
-    return f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{phrases})"
+    return f"(?i)(?<![\\p{{L}}\\p{{N}}_])(?:{_phrases(markers)})"
+
+
+def marker_pattern_without_lookaround(markers: tuple[str, ...] = MARKERS) -> str:
+    """The same for engines without lookaround: it takes the character before along, so texts need their commas doubled first."""
+    return f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{_phrases(markers)})"
 
 
-#: What ends a run of path characters, inside of a character class (fixed values).
-PATH_STOPS = r"\s'\"`;|&<>$()\[\]{}*?:,"
 _ENDINGS = "|".join(sorted(SUFFIXES, key=lambda s: (-len(s), s)))
 
 
-def path_pattern() -> str:
-    """The same as one pattern, for engines without backtracking."""
-    return f"[^{PATH_STOPS}]*\\.(?:{_ENDINGS})\\b"
+_FENCE = r"(?md)^```[\s\S]*?^```"
 
 
 def strip_fences(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?md)^```[\s\S]*?^```", "")
+    return F.regexp_replace(text, _FENCE, "")
+
+
+def mask_fences(text: Column) -> Column:
+    """The text with every character of its fenced blocks that is no white space made a backquote: the same words and places, but no markers."""
+    inside = F.transform(F.regexp_extract_all(text, F.lit(f"({_FENCE})")), lambda f: F.regexp_replace(f, r"(?U)[^\s\x{1C}-\x{1F}]", "`"))
+    outside = F.split(text, _FENCE)
+    return F.when(text.contains("```"), F.array_join(F.flatten(F.zip_with(outside, inside, lambda o, i: F.array(o, F.coalesce(i, F.lit(""))))), "")).otherwise(text)
 
 
 def word_count(text: Column) -> Column:
@@ -42,29 +53,33 @@ def marker_count(text: Column, markers: tuple[str, ...] = MARKERS) -> Column:
 
 
 def signals(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add length_words, length_chars, question_rate_per_100w, marker_count, markers_per_100w; rates per 100 words outside of fences."""
-    bare = documents.withColumn("_bare", strip_fences(F.col(text)))
-    words = F.greatest(word_count(F.col("_bare")), F.lit(1))
-    out = bare.withColumn("length_words", word_count(F.col(text)).cast("long")).withColumn("length_chars", F.length(text).cast("long"))
-    out = out.withColumn("marker_count", marker_count(F.col("_bare")).cast("long")).withColumn("question_rate_per_100w", F.regexp_count("_bare", F.lit(r"\?")) * 100.0 / words)
-    return out.withColumn("markers_per_100w", F.col("marker_count") * 100.0 / words).drop("_bare")
+    """Add length_words, length_chars, question_rate_per_100w, marker_count, markers_per_100w, all of them from outside of fences."""
+    bare = documents.withColumn("_bare", strip_fences(F.col(text))).withColumn("length_words", word_count(F.col("_bare")).cast("long"))
+    words = F.greatest(F.col("length_words"), F.lit(1))
+    out = bare.withColumn("length_chars", F.length("_bare").cast("long")).withColumn("marker_count", marker_count(mask_fences(F.col(text))).cast("long"))
+    return out.withColumn("question_rate_per_100w", F.regexp_count("_bare", F.lit(r"\?")) * 100.0 / words).withColumn("markers_per_100w", F.col("marker_count") * 100.0 / words).drop("_bare")
 
 
 def marker_positions(documents: DataFrame, key: str, text: str = "text", markers: tuple[str, ...] = MARKERS) -> DataFrame:
-    """(key, nth, word_index, marker) of every marker outside of fences, word_index counting from 0; one row a marker, in JVM code.
+    """(key, nth, word_index, start, end, marker) of every marker outside of fences, in words (from 0) and code points of the whole text.
 
-    The text is cut at the markers; the words up to a marker are the running sum of the pieces' words.
+    One row a marker, in JVM code: the text is cut at the markers; what lies before a marker is the running sum of the pieces'
+    words and lengths. A marker inside of a word has that word's index.
     """
-    bare = documents.select(key, strip_fences(F.col(text)).alias("t"))
+    whole = documents.select(key, mask_fences(F.col(text)).alias("t"))
     p = marker_pattern(markers)
-    cut = bare.select(key, F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1)).alias("m"), F.split(F.regexp_replace("t", f"({p})", "\u0001$1"), "\u0001").alias("s")).filter(F.size("m") > 0)
+    cut = whole.select(key, F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1)).alias("m"), F.split(F.regexp_replace("t", f"({p})", "\u0001$1"), "\u0001").alias("s")).filter(F.size("m") > 0)
     pieces = cut.select(key, "m", F.posexplode("s").alias("nth", "piece"))
-    lead = pieces.select(key, (F.col("nth") - 1).alias("nth"), F.try_element_at("m", F.when(F.col("nth") > 0, F.col("nth")).otherwise(10**6)).alias("marker"), word_count(F.col("piece")).alias("words"), F.col("piece").rlike(r"(?U)^[\s\x{1C}-\x{1F}]").alias("opens"), F.col("piece").rlike(r"(?U)[^\s\x{1C}-\x{1F}]\z").alias("closes"))
+    lead = pieces.select(
+        key, (F.col("nth") - 1).alias("nth"), F.try_element_at("m", F.when(F.col("nth") > 0, F.col("nth")).otherwise(10**6)).alias("marker"), F.length("piece").alias("size"), word_count(F.col("piece")).alias("words"),
+        F.col("piece").rlike(r"(?U)^[\s\x{1C}-\x{1F}]").alias("opens"), F.col("piece").rlike(r"(?U)[^\s\x{1C}-\x{1F}]\z").alias("closes"),
+    )
     w = Window.partitionBy(key).orderBy("nth")
     # a piece that begins inside a word joins the last word of the piece before
     joined = lead.withColumn("glued", (~F.col("opens")) & F.coalesce(F.lag("closes").over(w), F.lit(False)))
-    total = joined.withColumn("before", F.coalesce(F.sum(F.col("words") - F.col("glued").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return total.filter("nth >= 0").select(key, F.col("nth").cast("long").alias("nth"), (F.col("before") - F.col("glued").cast("int")).cast("long").alias("word_index"), F.lower(F.regexp_replace("marker", r"^[^A-Za-z]", "")).alias("marker"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    total = joined.withColumn("before", F.coalesce(F.sum(F.col("words") - F.col("glued").cast("int")).over(before), F.lit(0))).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return total.filter("nth >= 0").select(key, F.col("nth").cast("long").alias("nth"), (F.col("before") - F.col("glued").cast("int")).cast("long").alias("word_index"), "start", (F.col("start") + F.length("marker")).alias("end"), F.lower("marker").alias("marker"))
 
 
 def clusters(positions: DataFrame, key: str, gap: int = CLUSTER_GAP) -> DataFrame:
@@ -74,16 +89,31 @@ def clusters(positions: DataFrame, key: str, gap: int = CLUSTER_GAP) -> DataFram
     return positions.withColumn("_new", new).withColumn("cluster_index", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def path_mentions(text: Column) -> Column:
-    """Path-like words in order: each run of path characters up to its last known ending. Runs are cut first, so the cost stays linear."""
-    runs = F.filter(F.split(text, "[" + PATH_STOPS + "]+"), lambda w: w.contains("."))
-    found = F.transform(runs, lambda w: F.regexp_extract(w, r"^(.*\.(?:" + _ENDINGS + r"))\b", 1))
-    return F.filter(found, lambda w: w != "")
+def excerpts(documents: DataFrame, key: str, text: str = "text", gap: int = CLUSTER_GAP, margin: int = EXCERPT_MARGIN) -> DataFrame:
+    """(key, cluster_index, cluster_count, text, highlights): each cluster of markers with ``margin`` words on both sides, from the whole text.
 
-
-def path_tokens(text: Column) -> Column:
-    """Path-like words in order of mention, each once."""
-    return F.array_distinct(path_mentions(text))
+    highlights are structs of start, end and marker, relative to the excerpt, in order. A text without markers gives no rows. The word spans are
+    found by cutting the text, so that all of it stays in JVM code.
+    """
+    c = clusters(marker_positions(documents, key, text), key, gap).groupBy(key, "cluster_index").agg(
+        F.min("word_index").alias("first"), F.max("word_index").alias("last"), F.array_sort(F.collect_list(F.struct("start", "end", "marker"))).alias("hits")
+    )
+    c = c.withColumn("cluster_count", F.count("*").over(Window.partitionBy(key)))
+    spaced = F.translate(F.col(text), "\x1c\x1d\x1e\x1f", "    ")
+    j = c.join(documents.select(key, F.col(text).alias("_t"), spaced.alias("_s")), key)
+    low = F.greatest(F.col("first") - margin, F.lit(0)).cast("int")
+    # every word with the white space before it
+    j = j.withColumn("_w", F.regexp_extract_all("_s", F.lit(r"(?U)\s*\S+"), F.lit(0)))
+    part = lambda at, n: F.array_join(F.slice("_w", at, n), "")
+    body = part(low + 1, (F.col("last") - low + margin + 1).cast("int"))
+    j = j.withColumn("_body", F.regexp_replace(body, r"(?U)\A\s+", "")).withColumn("_at", F.length(part(F.lit(1), low)) + F.length(body) - F.length("_body"))
+    lit = F.transform("hits", lambda h: F.struct((h["start"] - F.col("_at")).alias("start"), (h["end"] - F.col("_at")).alias("end"), F.substr(F.col("_t"), (h["start"] + 1).cast("int"), (h["end"] - h["start"]).cast("int")).alias("marker")))
+    return j.select(key, "cluster_index", "cluster_count", F.substr("_t", F.col("_at") + 1, F.length("_body")).alias("text"), lit.alias("highlights"))
+
+
+def cluster_weight(cluster_count: Column) -> Column:
+    """A block's weight by its number of clusters: 1 + 0.2 for each beyond the first."""
+    return F.lit(1.0) + 0.2 * F.greatest(cluster_count - 1, F.lit(0))
 
 
 #: What ends a run of the whole scan, inside of a character class, and how a rooted path begins in it (fixed values).

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,37 +9,66 @@ from tracemill.functions import text as T
 
 
 def session_paths(events: DataFrame, session: str, path: str) -> DataFrame:
-    """(session, path, tail, base): every path of a session once; tail is parent/basename, the shortest end that names it exactly."""
+    """(session, path, base, key, odd): every path of a session once.
+
+    Whatever longer end of a path a text names, it names parent/basename too; ``key`` is what of that has no white space around its slash
+    (all of it, unless the path is ``odd``), and null for a bare name.
+    """
     p = events.select(session, F.col(path).alias("path")).filter("path is not null and path <> ''").distinct()
     parts = F.split("path", "/")
-    return p.withColumn("base", F.element_at(parts, -1)).withColumn("tail", F.when(F.size(parts) > 1, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))))
+    parent, base = F.element_at(parts, -2), F.element_at(parts, -1)
+    p = p.withColumn("base", base).withColumn("tail", F.when(F.size(parts) > 1, F.concat_ws("/", parent, base)))
+    p = p.withColumn("odd", F.coalesce(F.col("tail").rlike(r"(?U)\s"), F.lit(False)))
+    bare = F.concat_ws("/", F.regexp_extract(parent, r"(?U)\S*\z", 0), F.regexp_extract(base, r"(?U)\A\S*", 0))
+    return p.withColumn("key", F.when(F.col("tail").isNotNull(), F.when(F.col("odd"), bare).otherwise(F.col("tail"))))
+
+
+def slash_keys(text: Column) -> Column:
+    """What could be parent/basename at each slash of a text: from any place after a boundary to any place before one, nothing white between.
+
+    A boundary is where no word character and no hyphen stands on the other side, so 'b/c.py-old' gives b/c and b/c.py-old, not b/c.py.
+    """
+    runs = F.filter(F.split(text, r"(?U)\s+"), lambda r: r.contains("/"))
+
+    def of_run(run: Column) -> Column:
+        parts = F.split(run, "/")
+
+        def at(i: Column) -> Column:
+            # pieces that begin after (end before) a character that is neither of a word nor a hyphen
+            left, right = F.split(F.element_at(parts, i), r"(?U)(?<=[^\w-])"), F.split(F.element_at(parts, i + 1), r"(?U)(?=[^\w-])")
+            starts = F.transform(F.sequence(F.lit(1), F.size(left)), lambda k: F.array_join(F.slice(left, k, F.size(left)), ""))
+            ends = F.transform(F.sequence(F.lit(1), F.size(right)), lambda k: F.array_join(F.slice(right, F.lit(1), k), ""))
+            return F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: F.concat(s, F.lit("/"), e))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), at))
+
+    return F.array_distinct(F.flatten(F.transform(runs, of_run)))
 
 
-def mentions(blocks: DataFrame, session: str, block: str, text: str, scan: Callable[[Column], Column] = T.path_scan) -> DataFrame:
-    """(session, block, nth, token, base, tails): path-like words of each block in order, with every end of two parts they contain."""
-    words = scan(F.col(text))
-    m = blocks.select(session, block, F.posexplode(words).alias("nth", "token"))
-    parts = F.split("token", "/")
-    tail = F.when(F.size(parts) > 1, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)))
-    return m.withColumn("base", F.element_at(parts, -1)).withColumn("tail", tail)
+#: A bare file name in a text.
+BASENAME = r"(?U)\b\w[\w.-]*\.(?:" + "|".join(sorted(T.SUFFIXES, key=lambda s: (-len(s), s))) + r")\b"
 
 
-def attribute(blocks: DataFrame, events: DataFrame, session: str = "session_id", block: str = "block_id", text: str = "text", path: str = "path", proximity: DataFrame | None = None, scan: Callable[[Column], Column] = T.path_scan) -> DataFrame:
-    """(session, block, tier, confidence, file_paths): tier 1 exact path, else 2 unique basename, else 3 the nearest event's path.
+def attribute(blocks: DataFrame, events: DataFrame, session: str = "session_id", block: str = "block_id", text: str = "text", path: str = "path", proximity: DataFrame | None = None) -> DataFrame:
+    """(session, block, tier, confidence, file_paths): tier 1 exact path, else 2 unique basename, else 3 the nearest event's paths.
 
-    An exact path is found by the equality of its last two parts with those of a word, so no pattern is built per row and nothing is
-    crossed. A basename counts if one path of the session bears it. ``proximity`` brings (block, nearest_path) for tier 3.
-    ``scan`` finds the words.
+    A text names a path exactly if an end of it with a slash stands between boundaries (see ``slash_keys``): texts and paths meet by
+    equality of such keys, so no pattern is built per row and nothing is crossed; only paths with white space are then searched
+    for in the texts that bear their key. A basename counts if one path of the session bears it. ``proximity`` brings (block, nearest_paths).
+    Blocks without session or text, and those that no tier reaches, have nulls.
     """
     paths = session_paths(events, session, path)
-    words = mentions(blocks, session, block, text, scan)
-    exact = words.filter("tail is not null").join(paths.filter("tail is not null").select(session, "tail", "path"), [session, "tail"])
-    t1 = exact.groupBy(session, block).agg(F.sort_array(F.collect_set("path")).alias("p1"))
+    keys = blocks.select(session, block, F.explode(slash_keys(F.col(text))).alias("key"))
+    exact = keys.join(paths.filter("key is not null").select(session, "key", "path", "tail", "odd"), [session, "key"])
+    there = F.regexp_like(F.col(text), F.concat(F.lit("(?U)(?<![\\w-])\\Q"), F.col("tail"), F.lit("\\E(?![\\w-])")))
+    odd = exact.filter("odd").select(session, block, "path", "tail").distinct().join(blocks.select(block, text), block).filter(there)
+    t1 = exact.filter("not odd").select(session, block, "path").unionByName(odd.select(session, block, "path")).groupBy(session, block).agg(F.sort_array(F.collect_set("path")).alias("p1"))
+    names = blocks.select(session, block, F.posexplode(F.regexp_extract_all(text, F.lit(BASENAME), F.lit(0))).alias("nth", "base"))
     unique = paths.groupBy(session, "base").agg(F.count("*").alias("n"), F.max("path").alias("path")).filter("n = 1")
-    hit = words.join(unique.select(session, "base", "path"), [session, "base"]).groupBy(session, block, "path").agg(F.min("nth").alias("nth"))
+    hit = names.join(unique.select(session, "base", "path"), [session, "base"]).groupBy(session, block, "path").agg(F.min("nth").alias("nth"))
     t2 = hit.groupBy(session, block).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]).alias("p2"))
     out = blocks.select(session, block).join(t1, [session, block], "left").join(t2, [session, block], "left")
-    out = out.join(proximity.select(block, F.array("nearest_path").alias("p3")).filter("p3[0] is not null"), block, "left") if proximity is not None else out.withColumn("p3", F.lit(None).cast("array<string>"))
+    out = out.join(proximity.select(block, F.col("nearest_paths").alias("p3")).filter("size(p3) > 0"), block, "left") if proximity is not None else out.withColumn("p3", F.lit(None).cast("array<string>"))
     tier = F.when(F.col("p1").isNotNull(), "exact_path").when(F.col("p2").isNotNull(), "unique_basename").when(F.col("p3").isNotNull(), "temporal_proximity")
     sure = F.when(F.col("p1").isNotNull(), "high").when(F.col("p2").isNotNull(), "medium").when(F.col("p3").isNotNull(), "low")
     return out.select(session, block, tier.alias("tier"), sure.alias("confidence"), F.coalesce("p1", "p2", "p3").alias("file_paths"))

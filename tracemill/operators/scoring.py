@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,18 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, IGNORED_DIRS))) | F.element_at(parts, -1).rlike(IGNORED_NAMES)
 
 
+#: Endings, names and directories of generated or vendored files (fixed values).
+NOISE_ENDINGS = (".lock", ".min.js", ".min.css", ".snap", ".map")
+NOISE_NAMES = ("package-lock.json", "pnpm-lock.yaml")
+NOISE_DIRS = ("vendor", "dist", "generated")
+
+
 def noisy(path: Column) -> Column:
-    """Lock files, minified or generated files."""
+    """Lock files, minified or generated files, and all below folders of such."""
     parts = F.split(path, "/")
-    return F.element_at(parts, -1).rlike(r"\.(lock|min\.js|min\.css|snap|map)$") | F.arrays_overlap(parts, F.array(F.lit("vendor"), F.lit("dist"), F.lit("generated")))
+    name = F.element_at(F.filter(parts, lambda p: p != ""), -1)
+    ends = reduce(lambda a, b: a | b, (name.endswith(e) for e in NOISE_ENDINGS))
+    return F.coalesce(ends | name.isin(*NOISE_NAMES), F.lit(False)) | F.arrays_overlap(parts, F.array(*map(F.lit, NOISE_DIRS)))
 
 
 def block_aggregate(blocks: DataFrame, paths: str = "paths") -> DataFrame:

@@ -18,7 +18,6 @@ from tracemill.runtime import checkpointed, spread, table
 from tracemill.sources import session_log
 
 Query = Callable[[SparkSession, str], DataFrame]
-Scan = Callable[[Column], Column]
 KEYS = ["user_id", "segment_id"]
 
 _EV = """
@@ -85,18 +84,29 @@ def _burst_sql(kind: str) -> str:
 
 _SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WORD = f"[^{_SPACE}]+"
-_MARK = text.marker_pattern()
-_BARE = r"regexp_replace(text, '(?m)^```(?s:.*?)^```', '', 'g')"
-_MARK_SQL = _MARK.replace("'", "''")
+_MARK_SQL = text.marker_pattern_without_lookaround().replace("'", "''")
+_FENCE_SQL = "(?m)^```(?s:.*?)^```"
+_BARE = f"regexp_replace(text, '{_FENCE_SQL}', '', 'g')"
+_COUNT_WORDS = f"len(regexp_extract_all(bare, '{_WORD}'))"
+# fences with backquotes for their words, and commas doubled, as the marker pattern takes the character before along
+_MASKED = f"case when text is not null then replace(array_to_string(list_transform(list_zip(string_split_regex(text, '{_FENCE_SQL}'), regexp_extract_all(text, '{_FENCE_SQL}')), lambda x: concat(x[1], regexp_replace(coalesce(x[2], ''), '[^{_SPACE}]', '`', 'g'))), ''), ',', ',,') end"
 _SIG = f"""
-sig0 as (select *, {_BARE} as bare from documents),
+sig0 as (select *, {_BARE} as bare, {_MASKED} as masked from documents),
 sig as (
-  select doc_id, source, lang, session_id, block_index, block_kind, text, cast(len(regexp_extract_all(text, '{_WORD}')) as bigint) as length_words, cast(length(text) as bigint) as length_chars,
-    cast(len(regexp_extract_all(bare, '{_MARK_SQL}')) as bigint) as marker_count,
-    len(regexp_extract_all(bare, '\\?')) * 100.0 / greatest(len(regexp_extract_all(bare, '{_WORD}')), 1) as question_rate_per_100w,
-    len(regexp_extract_all(bare, '{_MARK_SQL}')) * 100.0 / greatest(len(regexp_extract_all(bare, '{_WORD}')), 1) as markers_per_100w
+  select doc_id, source, lang, session_id, block_index, block_kind, text, cast({_COUNT_WORDS} as bigint) as length_words, cast(length(bare) as bigint) as length_chars,
+    cast(len(regexp_extract_all(masked, '{_MARK_SQL}')) as bigint) as marker_count,
+    len(regexp_extract_all(bare, '\\?')) * 100.0 / greatest({_COUNT_WORDS}, 1) as question_rate_per_100w,
+    len(regexp_extract_all(masked, '{_MARK_SQL}')) * 100.0 / greatest({_COUNT_WORDS}, 1) as markers_per_100w
   from sig0
 )"""
+_CLUSTERS = f"""
+sig0 as (select doc_id, {_MASKED} as masked from documents),
+cut as (select doc_id, masked, string_split_regex(masked, '{_MARK_SQL}') as pieces, regexp_extract_all(masked, '{_MARK_SQL}') as marks from sig0),
+nth as (select *, unnest(range(1, len(marks) + 1)) as i from cut),
+place as (select doc_id, i, masked[1 : length(array_to_string(pieces[1:i], '')) + length(array_to_string(marks[1:i - 1], '')) + case when regexp_matches(marks[i], '(?i)^[a-z]') then 0 else 1 end] as before from nth),
+marker as (select doc_id, i, len(regexp_extract_all(before, '{_WORD}')) - cast(regexp_matches(before, '{_WORD}$') as integer) as word_index from place),
+jump as (select doc_id, i, case when word_index - lag(word_index) over (partition by doc_id order by i) > 200 then 1 else 0 end as jumped from marker),
+clustered as (select doc_id, i, sum(jumped) over (partition by doc_id order by i) as cluster_index from jump)"""
 
 
 def documents(s: SparkSession, d: str) -> DataFrame:
@@ -116,17 +126,38 @@ def block_signals(s: SparkSession, d: str) -> DataFrame:
     return signals(s, d).select("doc_id", "length_words", "length_chars", "marker_count", r6("question_rate_per_100w"), r6("markers_per_100w"))
 
 
-def attributed(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
+def attributed(s: SparkSession, d: str) -> DataFrame:
     """Document blocks with the paths they name and their signals, written once as several branches read them; tool results count as coupled."""
-    sig = signals(s, d).select("doc_id", "session_id", "block_kind", "text", "length_words", "marker_count", "markers_per_100w").withColumn("paths", F.array_distinct(scan(F.col("text")))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
+    sig = signals(s, d).select("doc_id", "session_id", "block_kind", "text", "length_words", "marker_count", "markers_per_100w").withColumn("paths", F.array_distinct(text.path_scan(F.col("text")))).withColumn("coupled", F.coalesce(F.col("block_kind") == "tool_result", F.lit(False)))
     return checkpointed(sig.drop("text"))
 
 
-_PATHS = text.path_pattern()
-_PATHS_SQL = _PATHS.replace("'", "''")
+_END = "(?:" + "|".join(sorted(text.SUFFIXES, key=lambda s: (-len(s), s))) + ")"
+_STOP = _SPACE + r"\x27\x22`;|&<>$()\[\]{}*?:"
+# a run of path characters; its words: whole if it begins rooted, else up to the last known ending, and from the first rooted place in what is left
+_SCAN = f"""
+runs as (select doc_id, unnest(regexp_extract_all(text, '[^{_STOP}]*[./][^{_STOP}]*')) as run from documents),
+heads as (select doc_id, run, case when regexp_matches(run, '^(/|[.]/|[.][.]/)') then run else regexp_extract(run, '^((?s:.+)[.]{_END})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1) end as head from runs),
+tails as (select doc_id, head, case when head = '' then regexp_extract(run, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:/|[.]/|[.][.]/)(?s:.*))$', 1) else regexp_extract(run[length(head) + 1 :], '[^\\p{{L}}\\p{{N}}_]((?:/|[.]/|[.][.]/)(?s:.*))$', 1) end as tail from heads),
+words as (select doc_id, regexp_replace(unnest([head, tail]), '[,;:]+$', '') as path from tails),
+scan as (select distinct doc_id, path from words where path <> '' and not starts_with(path, '//'))"""
+_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def _sql_pattern(table: dict[tuple, str], ext: str) -> str:
+    """A fixed pattern with the classes of characters that RE2 has for ASCII only written out."""
+    p = next(p for endings, p in table.items() if ext in endings)
+    return "(?m)" + p.replace(r"\s", f"[{_SPACE}]").replace(r"\w", r"[\p{L}\p{N}_]")
+
+
+_EXCERPTS = f"""
+{_CLUSTERS}, hit as (select c.doc_id, i, cluster_index, word_index, max(cluster_index) over (partition by c.doc_id) + 1 as cluster_count from clustered c join marker m using (doc_id, i)),
+cl as (select doc_id, cluster_index, any_value(cluster_count) as cluster_count, greatest(min(word_index) - 50, 0) as low, max(word_index) + 50 as high, count(*) as n_highlights from hit group by 1, 2),
+excerpt as (select doc_id, cast(cluster_index as bigint) as cluster_index, cast(cluster_count as bigint) as cluster_count, n_highlights,
+  regexp_replace(array_to_string(regexp_extract_all(text, '[{_SPACE}]*{_WORD}')[low + 1 : high + 1], ''), '^[{_SPACE}]+', '') as excerpt from cl join documents using (doc_id))"""
 _ATTR = f"""
-{_SIG}, attr as (
-  select *, list_distinct(regexp_extract_all(text, '{_PATHS_SQL}')) as paths, coalesce(block_kind = 'tool_result', false) as coupled from sig
+{_SIG}, {_SCAN}, attr as (
+  select sig.*, coalesce(block_kind = 'tool_result', false) as coupled, p.paths from sig left join (select doc_id, list(path) as paths from scan group by 1) p using (doc_id)
 ), exploded as (
   select *, 1.0 / len(paths) as share, unnest(paths) as path from attr
 ), agg as (
@@ -153,14 +184,14 @@ def baselines(counts: dict[str, DataFrame]) -> DataFrame:
     return one
 
 
-def scores(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
-    blocks = attributed(s, d, scan)
+def scores(s: SparkSession, d: str) -> DataFrame:
+    blocks = attributed(s, d)
     c = {n: checkpointed(x) for n, x in _counts(blocks).items()}
     return scoring.file_scores(scoring.block_aggregate(blocks), c, baselines(c))
 
 
-def file_score_topk(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
-    return scoring.ranked(scores(s, d, scan).withColumn("score", F.round("score", 6))).select("path", "tangle_count", r6("markers"), r6("resolution_rate"), "reread_bursts", "edit_churn", "score")
+def file_score_topk(s: SparkSession, d: str) -> DataFrame:
+    return scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).select("path", "tangle_count", r6("markers"), r6("resolution_rate"), "reread_bursts", "edit_churn", "score")
 
 
 _SCORES = f"""
@@ -281,7 +312,7 @@ def nearest_rank(sig: DataFrame) -> DataFrame:
     return stats.index_percentiles(sig, ["source"], "length_words", {f"q{int(p * 100)}": pos(p) for p in (0.1, 0.5, 0.9)})
 
 
-#: Measures of the sources. The query of the name leaves out documents without a source, as its SQL does; name_whole has them as a group.
+#: Measures of the sources; documents without one are a group.
 _BY_SOURCE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "median_mad_by_source": lambda sig: stats.median_mad(sig.withColumn("v", F.col("length_words").cast("double")), ["source"], "v"),
     "presence_intensity": lambda sig: stats.presence_intensity(sig, ["source"], "markers_per_100w").select("source", r6("presence_rate"), r6("intensity_median"), "n", "n_positive", "low_confidence"),
@@ -290,7 +321,7 @@ _BY_SOURCE: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def robust_z_whole(s: SparkSession, d: str) -> DataFrame:
+def robust_z_stats(s: SparkSession, d: str) -> DataFrame:
     """The z of every baseline, unrounded: extreme ones are to be compared by relative error."""
     return table(s, d, "baseline_stats").select("stat_id", stats.robust_z(F.lit(1.0), F.col("median"), F.col("mad")).alias("z"))
 
@@ -308,37 +339,40 @@ def answers(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy(judge.outcome(F.col("p"), F.col("stop_reason")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def attributed_tiers(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
+def attributed_tiers(s: SparkSession, d: str) -> DataFrame:
     """Thinking blocks against the paths that the tool results of their session name."""
     docs = documents(s, d).filter("session_id is not null")
-    ev = docs.filter("block_kind = 'tool_result'").select("session_id", F.explode(F.array_distinct(scan(F.col("text")))).alias("path"))
-    a = attribution.attribute(docs.filter("block_kind = 'thinking'").withColumnRenamed("doc_id", "block_id"), ev, scan=scan)
+    ev = docs.filter("block_kind = 'tool_result'").select("session_id", F.explode(F.array_distinct(text.path_scan(F.col("text")))).alias("path"))
+    a = attribution.attribute(docs.filter("block_kind = 'thinking'").withColumnRenamed("doc_id", "block_id"), ev)
     return a.filter("tier is not null").select("session_id", "block_id", "tier", F.size("file_paths").cast("long").alias("n_paths"))
 
 
 def source_measures(s: SparkSession, d: str) -> DataFrame:
-    """Texts as sources under an ending that goes by their id, with Python's branch counts where they parse."""
+    """Texts as sources under an ending that goes by their id."""
     end = F.element_at(F.array(*map(F.lit, ("py", "js", "go", "sql"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    f = documents(s, d).filter("text is not null").select("doc_id", F.concat(F.lit("src/d."), end).alias("path"), F.col("text").alias("content"))
-    m = complexity.measures(f).withColumn("c", complexity.cyclomatic(F.when(F.col("path").endswith(".py"), F.col("content"))))
-    return m.groupBy("path").agg(F.sum("loc").alias("loc"), F.sum("code_lines").alias("code_lines"), F.sum("n_functions").alias("n_functions"), F.count("c.n").alias("n_parsed"))
+    f = documents(s, d).filter("text is not null").select(F.concat(F.lit("src/d."), end).alias("path"), F.col("text").alias("content"))
+    return complexity.measures(f).groupBy("path").agg(*(F.sum(c).alias(c) for c in ("loc", "code_lines", "n_functions", "n_classes")))
+
+
+def python_complexity(s: SparkSession, d: str) -> DataFrame:
+    """Branch counts and Halstead volume of the texts that parse as Python."""
+    f = documents(s, d).select("doc_id", complexity.cyclomatic("text").alias("c"), complexity.halstead("text").alias("h"))
+    return f.filter("c.n is not null").select("doc_id", "c.max", "c.mean", "c.sum", F.col("h.volume").alias("volume"))
 
 
 def latency(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "attempts").groupBy("pass_id").agg(F.min("latency_s").alias("low"), F.median("latency_s").alias("middle"), F.max("latency_s").alias("high"), F.count("*").alias("n"), F.sum("infra_retries").alias("retries"))
 
 
-def path_tokens(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
-    return documents(s, d).select("doc_id", F.explode(F.array_distinct(scan(F.col("text")))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents"))
+def path_tokens(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).select("doc_id", F.explode(F.array_distinct(text.path_scan(F.col("text")))).alias("path")).groupBy("path").agg(F.count("*").alias("n_documents"))
 
 
-def user_ignore(s: SparkSession, d: str, scan: Scan = text.path_mentions) -> DataFrame:
-    paths = documents(s, d).select(F.explode(F.array_distinct(scan(F.col("text")))).alias("path")).distinct()
+def user_ignore(s: SparkSession, d: str) -> DataFrame:
+    paths = documents(s, d).select(F.explode(F.array_distinct(text.path_scan(F.col("text")))).alias("path")).distinct()
     return paths.filter(attribution.user_ignored(F.col("path"), ["*.md", "tests/", "!tests/**/*.md", "/src/*.py", "# note"]))
 
 
-#: Queries over the paths of texts. The query of the name has those with a known ending, as its SQL does; name_whole those of the whole scan.
-_BY_PATH = {"path_tokens": path_tokens, "user_ignore": user_ignore, "file_score_topk": file_score_topk, "attribution_tiers": attributed_tiers}
 
 QUERIES: dict[str, Query] = {
     "event_ordinal_segments": lambda s, d: indexed(s, d).select("event_id", "user_id", "event_index", "segment_id"),
@@ -355,11 +389,11 @@ QUERIES: dict[str, Query] = {
     "carry_forward_state": lambda s, d: windows.carry_forward(indexed(s, d), "user_id", F.when(is_("purchase"), (F.col("k") % 10).cast("string")), "open_path").filter(is_("error")).select("event_id", "open_path"),
     "block_signals": block_signals,
     "marker_clusters": lambda s, d: text.clusters(text.marker_positions(documents(s, d), "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_markers"), F.max("cluster_index").alias("last_cluster")),
-    **{n: (lambda s, d, f=f: f(signals(s, d).filter("source is not null"))) for n, f in _BY_SOURCE.items()},
-    **{f"{n}_whole": (lambda s, d, f=f: f(signals(s, d))) for n, f in _BY_SOURCE.items()},
-    "robust_z_whole": robust_z_whole,
-    **_BY_PATH,
-    **{f"{n}_whole": (lambda s, d, f=f: f(s, d, text.path_scan)) for n, f in _BY_PATH.items()},
+    **{n: (lambda s, d, f=f: f(signals(s, d))) for n, f in _BY_SOURCE.items()},
+    "path_tokens": path_tokens,
+    "user_ignore": user_ignore,
+    "file_score_topk": file_score_topk,
+    "attribution_tiers": attributed_tiers,
     "corpus_mode": lambda s, d: scoring.corpus_mode(scores(s, d).withColumn("score", F.round("score", 6))),
     "noise_in_top": lambda s, d: scoring.ranked(scores(s, d).withColumn("score", F.round("score", 6))).agg(F.count_if(scoring.noisy(F.col("path"))).alias("n_noise"), F.count_if(scoring.ignored(F.col("path"))).alias("n_ignored"), F.count("*").alias("n")),
     "home_redaction": lambda s, d: documents(s, d).select("doc_id", F.sha2(text.redact_home(F.concat(F.lit("/home/someone/"), F.col("text"))), 256).alias("hash")),
@@ -387,13 +421,15 @@ QUERIES: dict[str, Query] = {
     "reverse_gap_anti": lambda s, d: joins.reverse_gap(first_valid(s, d).select("session_id", "block_index").distinct(), table(s, d, "documents").select("session_id", "block_index"), ["session_id"], ["session_id", "block_index"]),
     "manifest_diff": lambda s, d: joins.manifest_diff(*manifest(s, d), "doc_id", "sha"),
     "sha_gate": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")),
-    "robust_z_stats": lambda s, d: table(s, d, "baseline_stats").filter("median is not null and mad is not null and not isnan(median) and not isnan(mad)").select("stat_id", F.round(stats.robust_z(F.lit(1.0), F.col("median"), F.col("mad")), 4).alias("z")).filter("abs(z) < 1e6"),
+    "robust_z_stats": robust_z_stats,
     "unknown_types": lambda s, d: nested.records_table(table(s, d, "session_records")).filter(~F.col("record_type").isin(*EVENT_TYPES)).groupBy("record_type").agg(F.count("*").alias("n")),
     "tool_call_summary": tool_call_summary,
     "thinking_blocks": lambda s, d: session_blocks(s, d).filter("block_type = 'thinking' and session_id is not null").groupBy("session_id").agg(F.count("*").alias("n_blocks"), F.count_if("agent_sourced").alias("n_agent")),
     "shell_paths": lambda s, d: session_log.shell_commands(table(s, d, "session_records")).select(F.split_part("command", F.lit(" "), F.lit(1)).alias("program"), shell.shell_paths(F.concat(F.lit("cat src/a.py && "), "command")).alias("paths")).groupBy("program").agg(F.count("*").alias("n_commands"), F.sum(F.size("paths")).alias("n_paths")),
     "json_first_object": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(judge.first_json_object(F.concat(F.lit("{ props: "), "props", F.lit(" }"))), "$.k").cast("long").alias("k")),
     "source_measures": source_measures,
+    "python_complexity": python_complexity,
+    "excerpts": lambda s, d: text.excerpts(documents(s, d), "doc_id").select("doc_id", "cluster_index", "cluster_count", F.sha2("text", 256).alias("text_hash"), F.size("highlights").cast("long").alias("n_highlights")),
     "symbol_histogram": lambda s, d: joins.symbols(table(s, d, "part").select(F.col("p_name").alias("t")), "t"),
 }
 
@@ -421,15 +457,17 @@ SQL: dict[str, str] = {
     "sessions_by_file": f"with {_EV} select path, count(distinct user_id) as n_sessions from ev group by 1",
     "carry_forward_state": f"with {_EV}, c as (select event_id, event_type, last_value(case when event_type = 'purchase' then cast(k % 10 as varchar) end ignore nulls) over (partition by user_id order by event_index rows unbounded preceding) as open_path from ev0) select event_id, open_path from c where event_type = 'error'",
     "block_signals": f"with {_SIG} select doc_id, length_words, length_chars, marker_count, round(question_rate_per_100w, 6) as question_rate_per_100w, round(markers_per_100w, 6) as markers_per_100w from sig",
-    "median_mad_by_source": f"with {_SIG} select source, coalesce(median(length_words), 0.0) as median, coalesce(mad(length_words), 0.0) as mad, count(length_words) as n, count(length_words) < 20 as low_confidence from sig where source is not null group by 1",
-    "presence_intensity": f"with {_SIG} select source, round(avg(case when markers_per_100w > 0 then 1.0 when markers_per_100w is not null then 0.0 end), 6) as presence_rate, round(coalesce(median(markers_per_100w) filter (markers_per_100w > 0), 0.0), 6) as intensity_median, count(markers_per_100w) as n, count(*) filter (markers_per_100w > 0) as n_positive, count(*) filter (markers_per_100w > 0) < 20 as low_confidence from sig where source is not null group by 1",
+    "median_mad_by_source": f"with {_SIG} select source, coalesce(median(length_words), 0.0) as median, coalesce(mad(length_words), 0.0) as mad, count(length_words) as n, count(length_words) < 20 as low_confidence from sig group by 1",
+    "presence_intensity": f"with {_SIG} select source, round(avg(case when markers_per_100w > 0 then 1.0 when markers_per_100w is not null then 0.0 end), 6) as presence_rate, round(coalesce(median(markers_per_100w) filter (markers_per_100w > 0), 0.0), 6) as intensity_median, count(markers_per_100w) as n, count(*) filter (markers_per_100w > 0) as n_positive, count(*) filter (markers_per_100w > 0) < 20 as low_confidence from sig group by 1",
     "file_score_topk": f"with {_SCORES} select path, tangle_count, round(markers, 6) as markers, round(resolution_rate, 6) as resolution_rate, reread_bursts, edit_churn, score from scored order by score desc, path limit 20",
     "corpus_mode": f"""with {_SCORES}, m as (select score, path, row_number() over (order by score desc, path) as rn, lead(score) over (order by score desc, path) as nxt, sum(score) over () as total from scored where score >= 0.1),
       x as (select (select count(*) from scored) as n_files, (select count(*) from m) as n_meaningful, (select min(rn) from m where rn <= 3 and score / nxt >= 2) as cliff,
         (select count(*) from (select rn, min(case when score / total >= 0.3 then 1 else 0 end) over (order by rn) as ok from m) where rn <= 3 and ok = 1) as dom)
       select case when n_meaningful = 0 then 'empty' when n_meaningful < 10 then 'calm' else 'healthy' end as mode, n_files, n_meaningful, case when n_meaningful >= 10 then coalesce(cliff, dom) else 0 end as n_standouts from x""",
-    "topk_excerpts": f"with {_SIG} select source, doc_id, marker_count, rank from (select source, doc_id, marker_count, row_number() over (partition by source order by marker_count desc nulls last, doc_id) as rank from sig where source is not null) where rank <= 5",
-    "path_tokens": f"with p as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '{_PATHS_SQL}'))) as path from documents) select path, count(*) as n_documents from p group by 1",
+    "topk_excerpts": f"with {_SIG} select source, doc_id, marker_count, rank from (select source, doc_id, marker_count, row_number() over (partition by source order by marker_count desc nulls last, doc_id) as rank from sig) where rank <= 5",
+    "path_tokens": f"with {_SCAN} select path, count(*) as n_documents from scan group by 1",
+    "marker_clusters": f"with {_CLUSTERS} select doc_id, count(*) as n_markers, cast(max(cluster_index) as bigint) as last_cluster from clustered group by 1",
+    "excerpts": f"with {_EXCERPTS} select doc_id, cluster_index, cluster_count, sha256(excerpt) as text_hash, n_highlights from excerpt",
     "home_redaction": r"select doc_id, sha256(regexp_replace('/home/someone/' || text, '/(?:Users|home)/[^/\s]+', '~', 'g')) as hash from documents",
     "model_distribution": "select coalesce(model, 'unknown') as model, count(*) as n_events, count(distinct session_id) as n_sessions from chat_messages group by 1",
     "anchored_units": f"""with {_UNIT} select f.session_id, unit, count(*) as n_fragments, sha256(string_agg(msg_text, chr(10) || chr(10) order by row_id)) as text_hash, case when unit >= max(n_steps) then 'terminal' else 'free-standing' end as emission_kind from frag f join steps using (session_id) group by 1, 2""",
@@ -438,7 +476,7 @@ SQL: dict[str, str] = {
     "alternation_census": f"with {_MSG}, a as (select session_id, row_id, {_ACT} as act, lag({_ACT}) over (partition by session_id order by row_id) as before from msg) select session_id, count(*) as n_events, count(*) filter (not act and not coalesce(before, true)) as n_consecutive, count(*) filter (act and coalesce(before, true)) as n_unpreceded, cast(not arg_max(act, row_id) as integer) as trailing from a group by 1",
     "systematic_sample": "with r as (select doc_id, row_number() over (order by doc_id) - 1 as i, count(*) over () as n from documents) select doc_id from r where i % cast(ceil(n / 50.0) as bigint) = 0",
     "stratified_sample": "select block_kind, doc_id, rank from (select block_kind, doc_id, row_number() over (partition by block_kind order by md5('18:' || doc_id), doc_id) as rank from documents where block_kind is not null) where rank <= 10",
-    "nearest_rank_quantiles": f"with {_SIG}, l as (select source, list_sort(list(length_words) filter (length_words is not null)) as x, count(length_words) as n from sig where source is not null group by 1) select source, n, " + ", ".join(f"x[cast(round_even({p} * (n - 1), 0) as integer) + 1] as q{int(p * 100)}" for p in (0.1, 0.5, 0.9)) + " from l where n > 0",
+    "nearest_rank_quantiles": f"with {_SIG}, l as (select source, list_sort(list(length_words) filter (length_words is not null)) as x, count(length_words) as n from sig group by 1) select source, n, " + ", ".join(f"x[cast(round_even({p} * (n - 1), 0) as integer) + 1] as q{int(p * 100)}" for p in (0.1, 0.5, 0.9)) + " from l where n > 0",
     "index_percentiles": "with l as (select o_orderpriority, list_sort(list(o_totalprice)) as x, count(*) as n from orders group by 1) select o_orderpriority, n, x[n // 10 + 1] as p10, x[n // 2 + 1] as p50 from l",
     "label_confusion": f"with {_PAIRS} select human, " + ", ".join(f"count(*) filter (judge = {c}) as c_{c}" for c in _CATS) + " from pairs group by 1",
     "label_agreement": f"with {_PAIRS} select abs(judge - human) as distance, count(*) as n from pairs group by 1",
@@ -455,19 +493,32 @@ SQL: dict[str, str] = {
     "reverse_gap_anti": f"with {_FIRST} select distinct session_id, block_index from fv where session_id in (select session_id from documents where session_id is not null) and not exists (select 1 from documents d where d.session_id = fv.session_id and d.block_index = fv.block_index)",
     "manifest_diff": "with e as (select doc_id, sha256(coalesce(text, '')) as sha from documents), f as (select doc_id, case when doc_id % 11 = 0 then sha256(sha) else sha end as sha from e where doc_id % 7 <> 0 union all select -doc_id - 1, sha from e where doc_id % 13 = 0) select coalesce(e.doc_id, f.doc_id) as doc_id, case when f.doc_id is null then 'missing' when e.doc_id is null then 'extra' else 'changed' end as status from e full outer join f on e.doc_id = f.doc_id where f.doc_id is null or e.doc_id is null or e.sha <> f.sha",
     "sha_gate": "select doc_id, sha256(text) as sha from documents",
-    "robust_z_stats": "select * from (select stat_id, round(case when mad <= 0 then 0.0 else (1.0 - median) / (1.4826 * mad) end, 4) as z from baseline_stats where median is not null and mad is not null and not isnan(median) and not isnan(mad)) where abs(z) < 1e6",
+    "robust_z_stats": "select stat_id, case when coalesce(case when not isnan(mad) then mad end, 0.0) <= 0 then 0.0 else (1.0 - coalesce(case when not isnan(median) then median end, 0.0)) / (1.4826 * mad) end as z from baseline_stats",
     "unknown_types": "select payload->>'$.type' as record_type, count(*) as n from session_records where payload->>'$.type' not in (" + ", ".join(f"'{t}'" for t in EVENT_TYPES) + ") group by 1",
     "json_first_object": "select event_id, cast(props->>'$.k' as bigint) as k from events",
-    "attribution_tiers": f"""with docs as (select * from documents where session_id is not null),
-      paths as (select distinct session_id, path, regexp_extract(path, '[^/]*$') as base, regexp_extract(path, '[^/]+/[^/]*$') as tail from (select session_id, unnest(regexp_extract_all(text, '{_PATHS_SQL}')) as path from docs where block_kind = 'tool_result') where path <> ''),
-      words as (select session_id, doc_id, token, regexp_extract(token, '[^/]*$') as base, regexp_extract(token, '[^/]+/[^/]*$') as tail from (select session_id, doc_id, unnest(regexp_extract_all(text, '{_PATHS_SQL}')) as token from docs where block_kind = 'thinking')),
-      t1 as (select w.doc_id, count(distinct path) as n from words w join paths p on w.session_id = p.session_id and w.tail = p.tail where w.tail <> '' group by 1),
+    "attribution_tiers": f"""with {_SCAN}, docs as (select * from documents where session_id is not null),
+      paths as (select distinct session_id, path, regexp_extract(path, '[^/]*$') as base, regexp_extract(path, '[^/]*/[^/]*$') as tail from docs join scan using (doc_id) where block_kind = 'tool_result'),
+      blocks as (select doc_id, session_id, text from docs where block_kind = 'thinking'),
+      t1 as (select doc_id, count(distinct path) as n from blocks b join paths p on b.session_id = p.session_id and p.tail <> '' and contains(b.text, p.tail)
+        where regexp_matches(b.text, '(^|[^\\p{{L}}\\p{{N}}_-])' || regexp_escape(p.tail) || '($|[^\\p{{L}}\\p{{N}}_-])') group by 1),
       u as (select session_id, base, max(path) as path from paths group by 1, 2 having count(*) = 1),
-      t2 as (select w.doc_id, count(distinct path) as n from words w join u on w.session_id = u.session_id and w.base = u.base group by 1)
-      select d.session_id, d.doc_id as block_id, case when t1.n is not null then 'exact_path' else 'unique_basename' end as tier, coalesce(t1.n, t2.n) as n_paths from docs d left join t1 on d.doc_id = t1.doc_id left join t2 on d.doc_id = t2.doc_id where d.block_kind = 'thinking' and coalesce(t1.n, t2.n) is not null""",
-    "user_ignore": f"""select distinct path from (select unnest(regexp_extract_all(text, '{_PATHS_SQL}')) as path from documents)
+      names as (select distinct doc_id, session_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.-]*[.]{_END}\\b')) as base from blocks),
+      t2 as (select doc_id, count(distinct path) as n from names w join u on w.session_id = u.session_id and w.base = u.base group by 1)
+      select b.session_id, b.doc_id as block_id, case when t1.n is not null then 'exact_path' else 'unique_basename' end as tier, coalesce(t1.n, t2.n) as n_paths from blocks b left join t1 using (doc_id) left join t2 using (doc_id) where coalesce(t1.n, t2.n) is not null""",
+    "user_ignore": f"""with {_SCAN} select distinct path from scan
       where case when regexp_matches(path, '^src/[^/]*[.]py(/|$)') then true when regexp_matches(path, '^tests/(.+/)?[^/]*[.]md(/|$)') then false when regexp_matches(path, '(^|/)tests/') then true else regexp_matches(path, '[.]md(/|$)') end""",
+    "noise_in_top": f"""with {_SCORES}, top as (select path, string_split(path, '/') as parts from scored order by score desc, path limit 20)
+      select count(*) filter (regexp_matches(path, '([.]lock|[.]min[.]js|[.]min[.]css|[.]snap|[.]map|(^|/)package-lock[.]json|(^|/)pnpm-lock[.]yaml)/*$') or list_has_any(parts, ['vendor', 'dist', 'generated'])) as n_noise,
+        count(*) filter (list_has_any(parts[1:-2], ['.git', '__pycache__', 'node_modules', '.venv', 'venv', 'dist', 'build', '.next', '.cache', '.claude']) or regexp_matches(parts[-1], '[.]pyc$|^[.]env$|^[.]env[.]|^[.]DS_Store$')) as n_ignored, count(*) as n from top""",
+    "source_measures": f"""with f as (select ['py', 'js', 'go', 'sql'][doc_id % 4 + 1] as ext, text from documents where text is not null),
+      l as (select ext, text, string_split_regex(text, '{_LINE_END}') as lines from f), k as (select ext, text, case when lines[-1] = '' then lines[1:-2] else lines end as lines from l),
+      m as (select ext, len(lines) as loc, len(list_filter(lines, lambda x: regexp_matches(x, '[^{_SPACE}]') and not (ext = 'py' and regexp_matches(x, '^[{_SPACE}]*#')) and not (ext in ('js', 'go') and regexp_matches(x, '^[{_SPACE}]*//')))) as code_lines,
+        case ext when 'py' then len(regexp_extract_all(text, '{_sql_pattern(complexity.FUNCTIONS, "py")}')) when 'js' then len(regexp_extract_all(text, '{_sql_pattern(complexity.FUNCTIONS, "js")}')) when 'go' then len(regexp_extract_all(text, '{_sql_pattern(complexity.FUNCTIONS, "go")}')) else 0 end as n_functions,
+        case ext when 'py' then len(regexp_extract_all(text, '{_sql_pattern(complexity.CLASSES, "py")}')) when 'js' then len(regexp_extract_all(text, '{_sql_pattern(complexity.CLASSES, "js")}')) when 'go' then len(regexp_extract_all(text, '{_sql_pattern(complexity.CLASSES, "go")}')) else 0 end as n_classes from k)
+      select 'src/d.' || ext as path, cast(sum(loc) as bigint) as loc, cast(sum(code_lines) as bigint) as code_lines, cast(sum(n_functions) as bigint) as n_functions, cast(sum(n_classes) as bigint) as n_classes from m group by 1""",
+    "session_age": r"""with a as (select 1780000000.0 - mtime as age, regexp_replace(trim(split_part(regexp_replace(title, '^\s+', ''), chr(10), 1)), '^# +', '') as line from active_sessions),
+      b as (select age, case when length(line) > 60 then 60 else length(line) end as n, cast(floor(age / case when age < 3600 then 60 else 3600 end) as bigint) as k from a)
+      select case when age < 60 then 'just now' else k || case when age < 3600 then ' minute' else ' hour' end || case when k = 1 then '' else 's' end || ' ago' end as age, count(*) as n, max(n) as longest from b group by 1""",
     "symbol_histogram": "select symbol, count(*) as n from (select unnest(string_split(p_name, ' ')) as symbol from part) where symbol <> '' group by 1",
 }
 SQL["last_first_title"] = "select session_id, arg_min(title, (mtime, title)) filter (title is not null) as first_value, arg_max(title, (mtime, title)) filter (title is not null) as last_value from active_sessions group by 1"
-SQL |= {f"{n}_whole": SQL[n].replace(" where source is not null", "") for n in _BY_SOURCE}
