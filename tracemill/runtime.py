@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -39,13 +40,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; only where none is set (tests) a folder is made."""
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``. Only in local mode, as in tests, one is made where none is set: on
+    a cluster a folder of this machine is none that the executors could read, so that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracemill-ckpt"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracemill-ckpt"))
     return df.checkpoint(eager=eager)
 
 
-def small(df: DataFrame, max_bytes: int = 32 << 20) -> bool:
-    """Whether Catalyst's size estimate proves that a frame may be broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= max_bytes
+#: Rows of a lookup table that are broadcast; with more, both sides are shuffled.
+MOST_SENT, SALTS = 200_000, 32
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], most: int = MOST_SENT) -> DataFrame:
+    """Inner join of many rows with a checkpointed table of one row a key; null keys meet null keys.
+
+    The table is counted. Up to ``most`` rows it is broadcast, so the rows stay where they are; beyond, they are shuffled with a salt and
+    the table is repeated for each, so that a key that a third of the rows bear goes to many tasks.
+    """
+    key = lambda df: F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in on), *(F.col(c).isNull().alias(f"_{c}") for c in on))
+    if table.count() <= most:
+        t = table.select(key(table).alias("_key"), *(c for c in table.columns if c not in on))
+        return rows.withColumn("_key", key(rows)).join(F.broadcast(t), "_key").drop("_key")
+    t = table.select(key(table).alias("_key"), *(c for c in table.columns if c not in on), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_key", key(rows)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(t, ["_key", "_salt"]).drop("_key", "_salt")
