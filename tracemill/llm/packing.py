@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -14,8 +15,8 @@ from tracemill.runtime import checkpointed
 
 #: Windows kept open at once in a partition, for each capacity.
 OPEN_WINDOWS = 64
-#: Leftover windows merged in one task.
-MERGE_ROWS = 50_000
+#: Leftover windows whose items are packed anew in one task, and items at most; windows filled less than this then are so once more.
+MERGE_ROWS, MERGE_ITEMS, FULL = 2_000, 200_000, 0.97
 
 
 class OpenWindows:
@@ -74,6 +75,9 @@ def pack_partition(rows: Iterator[tuple[int, int]], windows: dict[str, int], par
 
     for item, size in rows:
         for name, p in packs.items():
+            if size <= 0:
+                out.append((name, p.capacity, None, item, 0, 0, 0, False))
+                continue
             start = piece = 0
             while True:
                 take = min(size - start, p.capacity)
@@ -98,25 +102,27 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _PLACED_ARROW = pa.schema([("window_name", pa.string()), ("capacity", pa.int64()), ("window_id", pa.string()), ("item_id", pa.int64()), ("piece", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("leftover", pa.bool_())])
-_MOVED_ARROW = pa.schema([("window_name", pa.string()), ("window_id", pa.string()), ("merged_id", pa.string()), ("leftover", pa.bool_())])
 
 
-def _merge_round(leftovers: DataFrame, groups: int, step: int) -> DataFrame:
-    """Leftover windows (window_name, capacity, window_id, n_tokens) as items, largest first, into windows of a round."""
+def _repacked(leftovers: DataFrame, step: int) -> DataFrame:
+    """Leftover items in new windows, largest first and each in the fullest window that takes it, in tasks of like size; windows that are
+    not ``FULL`` are leftovers again."""
+    held = leftovers.agg(F.countDistinct("window_name", "window_id").alias("w"), F.count("*").alias("n")).first()
+    groups = max(1, -(-held.w // MERGE_ROWS), -(-held.n // MERGE_ITEMS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: dict[str, OpenWindows] = {}
         held: list[tuple] = []
         for batch in batches:
-            for name, cap, wid, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = packs.setdefault(name, OpenWindows(cap, f"{name}-m{step}-{_task():06d}", limit=MERGE_ROWS))
-                held.append((name, wid, p.place(n)))
-        still = {(name, w) for name, p in packs.items() for _, w in p.room}
-        yield _batch([(name, wid, packs[name].name(w), (name, w) in still) for name, wid, w in held], _MOVED_ARROW)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = packs.setdefault(r[0], OpenWindows(r[1], f"{r[0]}-m{step}-{_task():06d}", limit=1 << 62))
+                held.append((r, p.place(r[6])))
+                p.closed.clear()
+        again = {(name, w) for name, p in packs.items() for free, w in p.room if free > (1 - FULL) * p.capacity}
+        yield _batch([(*r[:2], packs[r[0]].name(w), *r[3:7], (r[0], w) in again) for r, w in held], _PLACED_ARROW)
 
-    keyed = leftovers.repartition(groups, "window_id") if groups > 1 else leftovers.repartition(1)
-    ordered = keyed.sortWithinPartitions("window_name", F.desc("n_tokens"), "window_id")
-    return ordered.mapInArrow(run, "window_name string, window_id string, merged_id string, leftover boolean")
+    dealt = leftovers.repartition(groups, F.xxhash64("item_id", "piece", "window_name"))
+    return checkpointed(dealt.sortWithinPartitions("window_name", F.desc("n_tokens"), "item_id", "piece").mapInArrow(run, _PLACED))
 
 
 def pack(sizes: DataFrame, windows: dict[str, int]) -> DataFrame:
@@ -125,8 +131,9 @@ def pack(sizes: DataFrame, windows: dict[str, int]) -> DataFrame:
     Comes out: window_name, capacity, window_id, item_id, piece, start_token, n_tokens. An item is one piece unless it is larger
     than the capacity, when all its pieces but the last fill a window each. Items of 0 or null tokens need no room: they come out with
     a null window_id; repeated items are packed each time; no items give no windows. One narrow pass packs the partitions as they lie (64 open
-    windows for each capacity); the windows still open at their ends, a number that grows with the partitions only, are repacked
-    largest first, in as many tasks as their count asks for and then in one. Small ones are a bounded part of all rows.
+    windows for each capacity). The items of the windows still open at their ends, a number that grows with the partitions only, are
+    dealt to tasks of some ``MERGE_ROWS`` windows' worth and packed anew, largest first; the few windows a task then leaves unfilled go
+    through this once more. That is two shuffles of small parts, however many partitions there are.
     """
     source = sizes.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"))
 
@@ -135,24 +142,10 @@ def pack(sizes: DataFrame, windows: dict[str, int]) -> DataFrame:
         for out in pack_partition(rows, windows, _task()):
             yield _batch(out, _PLACED_ARROW)
 
-    placed = checkpointed(source.filter("n_tokens > 0").mapInArrow(run, _PLACED))
-    open_ = placed.filter("leftover").groupBy("window_name", "capacity", "window_id").agg(F.sum("n_tokens").alias("n_tokens"))
-    open_ = checkpointed(open_)
-    groups, step, moved = -(-open_.count() // MERGE_ROWS), 0, None
-    while True:
-        step += 1
-        one = checkpointed(_merge_round(open_, max(1, groups), step))
-        moved = one if moved is None else moved.alias("a").join(one.alias("b"), (F.col("a.window_name") == F.col("b.window_name")) & (F.col("a.merged_id") == F.col("b.window_id")), "left").select("a.window_name", "a.window_id", F.coalesce("b.merged_id", "a.merged_id").alias("merged_id"), F.lit(False).alias("leftover"))
-        if groups <= 1:
-            break
-        sums = open_.join(one.filter("leftover"), ["window_name", "window_id"]).groupBy("window_name", "capacity", F.col("merged_id").alias("window_id")).agg(F.sum("n_tokens").alias("n_tokens"))
-        open_ = checkpointed(sums)
-        groups = min(groups - 1, -(-open_.count() // MERGE_ROWS))
-    final = placed.filter("leftover").join(moved.select("window_name", "window_id", "merged_id"), ["window_name", "window_id"], "left")
-    cols = ["window_name", "capacity", "window_id", "item_id", "piece", "start_token", "n_tokens"]
-    named = F.explode(F.array(*(F.struct(F.lit(n).alias("window_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in windows.items())))
-    empty = source.filter("n_tokens <= 0").withColumn("w", named).select("w.*", F.lit(None).cast("string").alias("window_id"), "item_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start_token"), F.lit(0).cast("bigint").alias("n_tokens"))
-    return placed.filter("not leftover").select(cols).unionByName(final.withColumn("window_id", F.coalesce("merged_id", "window_id")).select(cols)).unionByName(empty)
+    placed = checkpointed(source.mapInArrow(run, _PLACED))
+    first = _repacked(placed.filter("leftover"), 1)
+    parts = (placed.filter("not leftover"), first.filter("not leftover"), _repacked(first.filter("leftover"), 2))
+    return reduce(DataFrame.unionByName, parts).drop("leftover")
 
 
 def fill_report(placed: DataFrame) -> DataFrame:
