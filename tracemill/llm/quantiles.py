@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.runtime import checkpointed, small
+from tracemill.runtime import checkpointed, looked_up
 
 #: Size of a digest: no cluster spans more than one unit of the scale function, which has this many.
 DELTA = 400
@@ -136,18 +136,15 @@ def percentiles(values: DataFrame, dimensions: list[str], probabilities: tuple[f
     ``values`` holds ``value`` DOUBLE and one string column for each dimension; null, NaN and infinite values are left out, null keys are
     a group of their own. The second pass counts, for each estimate, the values below and up to it: its true ranks are rank_low to
     rank_high, rank_error is how far n p lies outside of them as a share of n, and certified says whether that is within
-    ``BOUND`` or one row. The estimates join the values as one array a group, broadcast only if the size estimate proves them
-    small, and counts are summed before they are shuffled. ``built`` takes digests made earlier, e.g. merged from days.
+    ``BOUND`` or one row. The estimates join the values as one array a group, broadcast only if they are counted to be
+    few (see ``looked_up``), and counts are summed before they are shuffled. ``built`` takes digests made earlier, e.g. merged from days.
     """
     clean = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
     made = digests(clean, dimensions) if built is None else built
     est = checkpointed(made.mapInPandas(lambda b: _estimates(b, probabilities), "dimension string, group_key string, estimates array<double>"))
-    long = clean.select("value", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("group_key")) for d in dimensions))).alias("g")).select("value", "g.dimension", F.col("g.group_key").alias("k"))
-    side = est.withColumnRenamed("group_key", "k").withColumnRenamed("dimension", "dim")
-    if small(side, 64 << 20):
-        side = F.broadcast(side)
-    pair = long.join(side, (F.col("dimension") == side["dim"]) & long["k"].eqNullSafe(side["k"]))
-    counts = pair.groupBy(long["dimension"], long["k"].alias("group_key")).agg(
+    long = clean.select("value", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("k")) for d in dimensions))).alias("g")).select("value", "g.dimension", "g.k")
+    pair = looked_up(long, est.withColumnRenamed("group_key", "k"), ["dimension", "k"])
+    counts = pair.groupBy("dimension", F.col("k").alias("group_key")).agg(
         F.count("*").alias("n"), *(F.count_if(F.col("value") < F.col("estimates")[i]).alias(f"lo{i}") for i in range(len(probabilities))), *(F.count_if(F.col("value") <= F.col("estimates")[i]).alias(f"hi{i}") for i in range(len(probabilities)))
     )
     all_ = counts.alias("c").join(est.alias("e"), (F.col("c.dimension") == F.col("e.dimension")) & F.col("c.group_key").eqNullSafe(F.col("e.group_key")))
@@ -186,7 +183,7 @@ def mad(values: DataFrame, dimension: str) -> DataFrame:
     """Median and median absolute deviation per group, both from digests."""
     med = percentiles(values, [dimension], (0.5,)).select("group_key", F.col("estimate").alias("median"), F.col("n"), F.col("rank_error").alias("median_rank_error"))
     clean = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
-    v = clean.join(F.broadcast(med) if small(med, 64 << 20) else med, clean[dimension].eqNullSafe(med["group_key"])).select(F.abs(F.col("value") - F.col("median")).alias("value"), dimension)
+    v = looked_up(clean, checkpointed(med.select(F.col("group_key").alias(dimension), "median")), [dimension]).select(F.abs(F.col("value") - F.col("median")).alias("value"), dimension)
     dev = percentiles(v, [dimension], (0.5,)).select(F.col("group_key").alias("gk"), F.col("estimate").alias("mad"), F.col("rank_error").alias("mad_rank_error"))
     return med.join(dev, med["group_key"].eqNullSafe(dev["gk"])).drop("gk")
 
