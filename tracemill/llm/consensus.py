@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.runtime import checkpointed
+from tracemill.runtime import checkpointed, looked_up
 
 #: Scores run from 0 to CLASSES - 1.
 CLASSES = 4
-#: Raters whose matrices are broadcast (16 doubles each, so 26 MB); with more, matrices are joined to the labels instead.
-MAX_BROADCAST_RATERS = 200_000
+#: Raters whose matrices are broadcast (16 doubles each, so 3 MB) and whose counts come to the driver each round; with more, both stay tables.
+MAX_BROADCAST_RATERS = 20_000
 ROUNDS, TOLERANCE = 40, 1e-3
 
 
@@ -197,7 +197,7 @@ def _fit_joined(labels: DataFrame, names: DataFrame, rounds: int, tolerance: flo
     params = names.select("rater", F.lit(None).cast("array<double>").alias("counts"), F.array(*map(F.lit, start.ravel().tolist())).alias("log_matrix"))
 
     def posteriors(params: DataFrame) -> DataFrame:
-        seen = labels.join(params.select("rater", "log_matrix"), "rater")
+        seen = looked_up(labels, params.select("rater", "log_matrix"), ["rater"], most=0)
         at = lambda k: F.sum(F.element_at("log_matrix", F.col("label") + k * CLASSES + 1)) + F.lit(float(np.log(model.prior[k])))
         ll = seen.groupBy("unit").agg(F.array(*map(at, range(CLASSES))).alias("ll"), F.count("*").cast("int").alias("n_raters"))
         e = F.transform("ll", lambda x: F.exp(x - F.array_max("ll")))
