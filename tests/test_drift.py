@@ -77,3 +77,21 @@ def test_pairs_equal_lists(spark):
         got = {(p.old, p.new): D.judged(p.asDict()) for p in D.pair_likeness(df, side, most).collect()}
         assert got.keys() == want.keys()
         assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def ingested(spark, rows, target):
+    df = spark.createDataFrame([(i, "s", f, datetime.datetime(2026, 1, k), p) for i, (k, f, p) in enumerate(rows)], "record_id long, export_stream string, export_file string, exported_at timestamp, payload string")
+    changes = spark.createDataFrame([("s", "f2", "renamed", "b", "a"), ("s", "f3", "renamed", "c", "b"), ("s", "f3", "added", "a", ""), ("s", "f4", "renamed", "d", "a")], "export_stream string, export_file string, change_kind string, field_name string, old_field_name string")
+    return [(r, json.loads(r.rescued) if r.rescued else {}) for r in D.ingest(df, target, changes).orderBy("record_id").collect()]
+
+
+def test_two_fields_of_one_first_name(spark):
+    rows = [(1, "f1", '{"a": 1}'), (2, "f2", '{"b": 2}'), (3, "f3", '{"c": 3, "a": 4}'), (4, "f4", '{"c": 5, "d": 6}')]
+    got = ingested(spark, rows, {"a": "bigint"})
+    assert [r.a for r, _ in got] == [1, 2, 4, 5]
+    assert [{k: v["text"] for k, v in x.items()} for _, x in got] == [{}, {}, {"c": "3"}, {"d": "6"}]
+
+
+def test_nothing_is_lost(spark):
+    got = ingested(spark, [(1, "f1", "{broken"), (1, "f1", '{"x.y": 1, "x": {"y": 2}}'), (1, "f1", None), (1, "f1", "[1]")], {"a": "bigint"})
+    assert [{k: v["text"] for k, v in x.items()} for _, x in got] == [{"": "{broken"}, {"x.y": "1", "x.y#2": "2"}, {}, {"": "[1]"}]

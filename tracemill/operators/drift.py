@@ -43,6 +43,15 @@ def leaves(value: dict) -> Iterator[tuple[str, object]]:
                 yield prefix + k, v
 
 
+#: JSON types by Python's.
+KINDS = {bool: "boolean", int: "number", float: "number", list: "array", str: "string"}
+
+
+def _signature(value: dict) -> tuple:
+    """Leaf names with the classes of their values."""
+    return tuple((k, type(v)) for k, v in leaves(value))
+
+
 def _decode(text: str | None) -> dict | None:
     try:
         o = json.loads(text) if text is not None else None
@@ -54,16 +63,21 @@ def _decode(text: str | None) -> dict | None:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial profiles: a row for each file (field null) and for each kind of each field, with the count of its values."""
     for batch in batches:
-        seen: dict[tuple, Counter] = {}
         cols = [batch.column(c).to_pylist() for c in ("export_stream", "export_file", "payload")]
         at = batch.column("exported_at")
         first: dict[tuple, int] = {}
+        alike: dict[tuple, Counter] = {}
         for i, (stream, file, text) in enumerate(zip(*cols, strict=True)):
             first.setdefault((stream, file), i)
-            for field, value in leaves(_decode(text) or {}):
-                seen.setdefault((stream, file, field), Counter())[kind_of(value)] += 1
+            # records of one file mostly have the same fields and kinds, so these are counted as a whole
+            alike.setdefault((stream, file), Counter())[_signature(_decode(text) or {})] += 1
         rows = [(s, f, None, None, 0, first[s, f]) for s, f in first]
-        rows += [(s, f, field, kind, n, first[s, f]) for (s, f, field), kinds in seen.items() for kind, n in kinds.items()]
+        for (s, f), signatures in alike.items():
+            kinds: Counter = Counter()
+            for signature, n in signatures.items():
+                for x in signature:
+                    kinds[x] += n
+            rows += [(s, f, field, KINDS.get(kind, "string"), n, first[s, f]) for (field, kind), n in kinds.items()]
         c = list(zip(*rows, strict=True)) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), at.take(pa.array(c[5], pa.int64())), pa.array(c[2], pa.string()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int64())], names=["export_stream", "export_file", "exported_at", "field", "kind", "n"])
 
@@ -99,7 +113,7 @@ def _traits(text: str) -> tuple:
 
 
 def _values(batches: Iterator[pa.RecordBatch], wanted: set[tuple] | None) -> Iterator[pa.RecordBatch]:
-    """Every distinct value of the wanted fields (of all, if None) of each file with its count, a batch at a time."""
+    """Every distinct value of the unknown fields (of all, if None) of each file with its count, a batch at a time."""
     for batch in batches:
         seen: dict[tuple, Counter] = {}
         for stream, file, text in zip(*(batch.column(c).to_pylist() for c in ("export_stream", "export_file", "payload")), strict=True):
@@ -227,19 +241,28 @@ def match_renames(removed: dict[str, list], added: dict[str, list]) -> list[tupl
     return best_pairs((old, new, *data_likeness(x, y)) for old, x in removed.items() for new, y in added.items())
 
 
-def pair_likeness(exports: DataFrame, side: DataFrame, most_told: int = MOST_TOLD) -> DataFrame:
-    """What ``judged`` asks of every pair (old, new) of a removed and an added field of a file, from counts of all their values.
+def rescued_values(exports: DataFrame, unknown: DataFrame, most_told: int = MOST_TOLD) -> DataFrame:
+    """(export_stream, source, field, h, ..., n): the values that ingesting each file under its neighbours' schemas rescues, counted.
 
-    ``side`` (export_stream, export_file, source, field, side) names the changed fields and the file that holds their values. Values are
-    counted by the hash of the whole value and joined by it, so nothing is sampled or cut; texts don't leave the batch they are read in.
+    ``unknown`` (export_stream, source, field) names the fields of a file (source) that the schema of the file before or after it doesn't know. Values
+    go by the hash of the whole value, so nothing is sampled or cut; texts don't leave the batch they are read in.
     """
-    told = {(r[0], r[1], r[2]) for r in side.select("export_stream", "source", "field").limit(most_told + 1).collect()}
-    wanted = told if len(told) <= most_told and side.count() <= most_told else None
+    told = {(r[0], r[1], r[2]) for r in unknown.limit(most_told + 1).collect()}
+    wanted = told if len(told) <= most_told else None
     raw = exports.select("export_stream", "export_file", "payload").mapInArrow(lambda b: _values(b, wanted), VALUES).withColumnRenamed("export_file", "source")
-    file, of = ["export_stream", "export_file"], ["export_stream", "export_file", "side", "field"]
     if wanted is None:
-        raw = raw.join(side.select("export_stream", "source", "field").distinct(), ["export_stream", "source", "field"], "left_semi")
-    counted = raw.groupBy("export_stream", "source", "field", "h").agg(F.first("shape").alias("shape"), F.first("structured").alias("structured"), F.first("truth").alias("truth"), F.first("number").alias("number"), F.sum("n").alias("n"))
+        raw = raw.join(unknown, ["export_stream", "source", "field"], "left_semi")
+    return raw.groupBy("export_stream", "source", "field", "h").agg(F.first("shape").alias("shape"), F.first("structured").alias("structured"), F.first("truth").alias("truth"), F.first("number").alias("number"), F.sum("n").alias("n"))
+
+
+def pair_likeness(exports: DataFrame, side: DataFrame, most_told: int = MOST_TOLD) -> DataFrame:
+    """What ``judged`` asks of every pair (old, new) of a removed and an added field of a file, from all values that ingestion rescues of them.
+
+    ``side`` (export_stream, export_file, source, field, side) names the changed fields and the file that holds their values: an added field is rescued
+    from its file under the schema of the file before, a removed one from that file under the schema of this one.
+    """
+    counted = rescued_values(exports, side.select("export_stream", "source", "field").distinct(), most_told)
+    file, of = ["export_stream", "export_file"], ["export_stream", "export_file", "side", "field"]
     values = checkpointed(counted.join(side.select(*of, "source"), ["export_stream", "source", "field"]).drop("source"))
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
     totals = checkpointed(values.groupBy(*of).agg(F.sum("n").alias("n"), F.count("*").alias("d"), total(F.col("truth").isNotNull()).alias("n_truth"), total(F.col("truth")).alias("n_true"), total(F.col("number").isNotNull()).alias("n_number"), total(F.col("structured")).alias("n_structured")))
@@ -310,6 +333,14 @@ def found(exports: DataFrame) -> DataFrame:
     return c.select("export_file", "change_kind", "field_name", "old_field_name").distinct()
 
 
+def _named_once(found: Iterable[tuple[str, object]]) -> Iterator[tuple[str, object]]:
+    """Leaves with names of their own: where 'a.b' stands beside {"a": {"b": ...}}, the second is 'a.b#2'."""
+    seen: Counter = Counter()
+    for k, v in found:
+        seen[k] += 1
+        yield (k if seen[k] == 1 else f"{k}#{seen[k]}"), v
+
+
 def _leaf_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     item = pa.struct([("kind", pa.string()), ("text", pa.string())])
     for batch in batches:
@@ -317,8 +348,10 @@ def _leaf_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("payload").to_pylist():
             o = _decode(text)
             ok.append(o is not None)
-            last = dict(leaves(o or {}))
-            maps.append([(k, {"kind": kind_of(v), "text": v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)}) for k, v in last.items()])
+            if o is None:
+                maps.append([] if text is None else [("", {"kind": "unreadable", "text": text})])
+            else:
+                maps.append([(k, {"kind": kind_of(v), "text": _shown(v)}) for k, v in dict(_named_once(leaves(o))).items()])
         keep = [batch.column(c) for c in ("record_id", "export_stream", "export_file", "exported_at")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(ok), pa.array(maps, pa.map_(pa.string(), item))], names=["record_id", "export_stream", "export_file", "exported_at", "readable", "leaves"])
 
@@ -355,15 +388,19 @@ def ingest(exports: DataFrame, target: dict[str, str], changes: DataFrame | None
     """Every record once under the target schema (dotted field -> Spark type), with ``rescued``: JSON of what did not fit.
 
     Renamed fields arrive under their first name. A leaf that the target does not name, or whose value its type can't take, stays
-    in ``rescued`` under its canonical name with its kind, so that nothing is lost; columns are named with '_' for '.'.
+    in ``rescued`` under its canonical name with its kind, so that nothing is lost; columns are named with '_' for '.'. A payload that can't be
+    read is rescued whole, under the empty name. Where two fields of a record lead back to one first name, or that name is there itself,
+    one has it and the others keep their own.
     """
     maps = exports.select("record_id", "export_stream", "export_file", "exported_at", "payload").mapInArrow(_leaf_maps, LEAVES)
     names = canonical_names(exports, file_changes(exports) if changes is None else changes)
     j = maps.withColumn("stream_key", F.coalesce("export_stream", F.lit(""))).join(names.withColumnRenamed("export_stream", "stream_key"), ["stream_key", "export_file"], "left")
-    # two leaves that become one name: the one that carries it already stays, the other keeps its own
-    lead = F.transform(F.map_entries("leaves"), lambda e: F.struct(F.when(F.map_contains_key("leaves", F.coalesce(F.try_element_at("canonical", e.key), e.key)), e.key).otherwise(F.coalesce(F.try_element_at("canonical", e.key), e.key)).alias("key"), e["value"].alias("value")))
-    j = j.withColumn("leaves", F.map_from_entries(lead))
-    return _typed(j, target)
+    known = lambda x: F.map_contains_key("leaves", x)
+    moved = F.filter(F.map_entries(F.coalesce("canonical", F.create_map().cast("map<string,string>"))), lambda x: known(x["key"]) & ~known(x["value"]))
+    first = F.filter(moved, lambda x: ~F.exists(moved, lambda y: (y["value"] == x["value"]) & (y["key"] < x["key"])))
+    j = j.withColumn("led", F.map_from_entries(first))
+    lead = F.transform(F.map_entries("leaves"), lambda e: F.struct(F.coalesce(F.try_element_at("led", e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
+    return _typed(j.withColumn("leaves", F.map_from_entries(lead)), target)
 
 
 def _typed(j: DataFrame, target: dict[str, str]) -> DataFrame:
