@@ -37,17 +37,21 @@ def grep_reformulations(events: DataFrame, keys: list[str], reach: int = REACH)
     return e.filter(F.col("home") & (F.col("_n") > 0) & differs).drop("_lo", "_hi", "_n", "_known", "bucket", "home")
 
 
-def bash_retries(events: DataFrame, keys: list[str], reach: int = REACH) -> DataFrame:
+def bash_retries(events: DataFrame, keys: list[str], reach: int = REACH, carry: str | None = None) -> DataFrame:
     """Failed commands with the first retry: a later command within ``reach`` of the same first word that doesn't merely extend it.
 
-    Adds retry_index and retry_command. What lies ahead is at most ``reach`` events, gathered by a window.
+    Adds retry_index and retry_command, and with ``carry`` that column of the retry as retry_<carry>. What lies ahead is at most
+    ``reach`` events, gathered by a window. Commands of one event go by ``pos``, where there is such a column.
     """
-    word = F.split_part("command", F.lit(" "), F.lit(1))
+    word = F.regexp_extract("command", r"(?U)\S+", 0)
     e = with_halo(events.withColumn("_word", word), reach)
-    e = e.withColumn("_ahead", F.collect_list(F.struct("event_index", "command")).over(around([*keys, "_word"], 1, reach)))
+    seen = ["event_index", *(c for c in ("pos",) if c in events.columns), "command", *([carry] if carry else [])]
+    e = e.withColumn("_ahead", F.collect_list(F.struct(*seen)).over(around([*keys, "_word"], 1, reach)))
     fits = F.filter("_ahead", lambda b: ~(b["command"].startswith(F.col("command")) & (F.length(b["command"]) > F.length("command"))))
     e = e.withColumn("_first", F.try_element_at(F.array_sort(fits), F.lit(1)))
-    return e.filter("home and errored and _first is not null").withColumn("retry_index", F.col("_first.event_index")).withColumn("retry_command", F.col("_first.command")).drop("_word", "_ahead", "_first", "bucket", "home")
+    e = e.filter("home and errored and _first is not null").withColumn("retry_index", F.col("_first.event_index")).withColumn("retry_command", F.col("_first.command"))
+    e = e.withColumn(f"retry_{carry}", F.col(f"_first.{carry}")) if carry else e
+    return e.drop("_word", "_ahead", "_first", "bucket", "home")
 
 
 def rollup(detected: dict[str, DataFrame], key: str) -> DataFrame:

@@ -4,21 +4,61 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.windows import running
+from tracemill.runtime import checkpointed
 
 LOW_CONFIDENCE_N, Z_FACTOR = 20, 1.4826
+#: Distinct values of all groups that one task may sort.
+FEW_VALUES = 200_000
+
+
+def _same(keys: list[str], mark: str = "_k_") -> Column:
+    """Whether the keys of two sides are the same, nulls being equal."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{mark}{k}"))
+    return on
+
+
+def _marked(df: DataFrame, keys: list[str], *rest: str, mark: str = "_k_") -> DataFrame:
+    return df.select(*(F.col(k).alias(f"{mark}{k}") for k in keys), *rest)
+
+
+def medians(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, n): exact medians of the values that are there.
+
+    Equal values are counted first, their counts summed in order, and the two middle ones picked. Up to ``FEW_VALUES`` distinct ones that
+    is one window a group, beyond it goes over ranges of the whole table: no large group is held or sorted in one task.
+    """
+    counts = checkpointed(values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")))
+    if counts.count() <= FEW_VALUES:
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        j = counts.withColumn("_upto", F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(group))
+    else:
+        upto = running(counts, keys, [value], {"_upto": F.col("_c")}).drop("position")
+        n = _marked(upto.groupBy(*keys).agg(F.sum("_c").alias("n")), keys, "n")
+        j = upto.join(n, _same(keys)) if keys else upto.join(F.broadcast(n), F.lit(True))  # without keys one row
+    # both 0-based middle positions, which one value may cover
+    cover = lambda p: (F.col("_upto") - F.col("_c") <= p) & (p < F.col("_upto"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    x = F.col(value).cast("double")
+    return j.groupBy(*keys).agg(((F.max(F.when(cover(low), x)) + F.max(F.when(cover(high), x))) / 2).alias("median"), F.max("n").alias("n"))
 
 
 def median_mad(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median and MAD with n and low_confidence per group; no values give 0 and 0. For very large groups use digests."""
-    med = values.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("n"))
-    dev = values.join(med.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("median").alias("_m")), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    mad = dev.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad")).select(*(F.col(k).alias(f"_{k}") for k in keys), "mad")
-    out = med.join(mad, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
-    return out.select(*keys, F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("mad", F.lit(0.0)).alias("mad"), "n", (F.col("n") < LOW_CONFIDENCE_N).alias("low_confidence"))
+    """Exact median and MAD with n and low_confidence per group (see ``medians``); a group without values has 0, 0 and n 0."""
+    groups = values.select(*keys).distinct() if keys else None
+    med = checkpointed(medians(values, keys, value))
+    m = _marked(med, keys, F.col("median").alias("_m"))
+    dev = values.join(m, _same(keys)) if keys else values.join(F.broadcast(m), F.lit(True))  # without keys one row
+    mad = medians(dev.select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d")), keys, "_d")
+    out = med.join(_marked(mad, keys, F.col("median").alias("mad")), _same(keys), "left").select(*keys, "median", "mad", "n")
+    if groups is not None:
+        out = groups.join(_marked(out, keys, "median", "mad", "n"), _same(keys), "left")
+    return out.select(*keys, F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("mad", F.lit(0.0)).alias("mad"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) < LOW_CONFIDENCE_N).alias("low_confidence"))
 
 
 def robust_z(raw: Column, median: Column, mad: Column) -> Column:
@@ -28,9 +68,12 @@ def robust_z(raw: Column, median: Column, mad: Column) -> Column:
 
 
 def presence_intensity(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Share of positive values and the median of those, with both counts."""
+    """Share of positive values and the exact median of those, with both counts."""
     x = F.col(value)
-    return values.groupBy(*keys).agg(F.avg((x > 0).cast("double")).alias("presence_rate"), F.coalesce(F.median(F.when(x > 0, x)), F.lit(0.0)).alias("intensity_median"), F.count(x).alias("n"), F.count_if(x > 0).alias("n_positive")).withColumn("low_confidence", F.col("n_positive") < LOW_CONFIDENCE_N)
+    share = values.groupBy(*keys).agg(F.avg((x > 0).cast("double")).alias("presence_rate"), F.count(x).alias("n"), F.count_if(x > 0).alias("n_positive"))
+    mid = _marked(medians(values.filter(x > 0), keys, value), keys, F.col("median").alias("_m"))
+    out = share.join(mid, _same(keys), "left") if keys else share.join(F.broadcast(mid), F.lit(True), "left")  # without keys one row
+    return out.select(*keys, "presence_rate", F.coalesce("_m", F.lit(0.0)).alias("intensity_median"), "n", "n_positive", (F.col("n_positive") < LOW_CONFIDENCE_N).alias("low_confidence"))
 
 
 def confusion(pairs: DataFrame, a: str, b: str, categories: list[int], keys: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ searching or running; an action errs if the next event of its segment is 'error'
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -177,11 +178,10 @@ def _counts(blocks: DataFrame) -> dict[str, DataFrame]:
 
 
 def baselines(counts: dict[str, DataFrame]) -> DataFrame:
-    one = None
-    for name, c in counts.items():
-        m = stats.median_mad(c.withColumn("v", F.col("n").cast("double")).withColumn("g", F.lit(0)), ["g"], "v").select(F.col("median").alias(f"{name}_median"), F.col("mad").alias(f"{name}_mad"))
-        one = m if one is None else one.join(F.broadcast(m), F.lit(True), "full_outer")
-    return one
+    """One row with the median and MAD of each count."""
+    long = reduce(DataFrame.unionByName, (c.select(F.lit(n).alias("g"), F.col("n").cast("double").alias("v")) for n, c in counts.items()))
+    m = stats.median_mad(long, ["g"], "v")
+    return m.agg(*(F.max(F.when(F.col("g") == n, F.col(x))).alias(f"{n}_{x}") for n in counts for x in ("median", "mad")))
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
