@@ -288,18 +288,23 @@ def pair_likeness(exports: DataFrame, side: DataFrame, most_told: int = MOST_TOL
     return pairs.join(exact, pair, "left").join(forms, pair, "left").join(ks, pair, "left").na.fill(0, ["exact", "shared", "within", "forms"]).na.fill(1.0, ["ks"])
 
 
-def _changes_of_file(key: tuple, fields: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    stream, file = key
-    kind = {(r.side, r.field): r.kind for r in fields.itertuples()}
-    found = best_pairs((p["old"], p["new"], *judged(p)) for p in pairs.to_dict("records"))
-    out = []
-    for old, new in found:
-        out.append((stream, file, "renamed", new, old))
-        if kind["removed", old] != kind["added", new]:
-            out.append((stream, file, "retyped", new, old))
-    gone = {("removed", p[0]) for p in found} | {("added", p[1]) for p in found}
-    out += [(stream, file, side, f, "") for side, f in kind if (side, f) not in gone]
-    return pd.DataFrame(out, columns=["export_stream", "export_file", "change_kind", "field_name", "old_field_name"])
+def _changes_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Renames, and what else came, went or changed its type, from each file's fields and the pairs of them that ``judged`` is asked of."""
+    names = ["export_stream", "export_file", "change_kind", "field_name", "old_field_name"]
+    for batch in batches:
+        out = []
+        for file in batch.to_pylist():
+            at = file["export_stream"], file["export_file"]
+            kind = {(r["side"], r["field"]): r["kind"] for r in file["fields"]}
+            found = best_pairs((p["old"], p["new"], *judged(p)) for p in file["pairs"] or ())
+            for old, new in found:
+                out.append((*at, "renamed", new, old))
+                if kind["removed", old] != kind["added", new]:
+                    out.append((*at, "retyped", new, old))
+            gone = {("removed", p[0]) for p in found} | {("added", p[1]) for p in found}
+            out += [(*at, side, f, "") for side, f in kind if (side, f) not in gone]
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
 
 
 def file_changes(exports: DataFrame) -> DataFrame:
@@ -324,7 +329,9 @@ def file_changes(exports: DataFrame) -> DataFrame:
     side = checkpointed(side)
     turned = side.groupBy(*file).agg(F.countDistinct("side").alias("n")).filter("n = 2").select(*file)
     pairs = pair_likeness(exports, checkpointed(side.join(turned, file)))
-    moved = side.groupBy(*file).cogroup(pairs.withColumnsRenamed({c: f"of_{c}" for c in file}).groupBy(*(f"of_{c}" for c in file))).applyInPandas(_changes_of_file, f"export_stream string, {FOUND}")
+    fields_of = side.groupBy(*file).agg(F.collect_list(F.struct("side", "field", "kind")).alias("fields"))
+    pairs_of = pairs.groupBy(*file).agg(F.collect_list(F.struct(*(c for c in pairs.columns if c not in file))).alias("pairs"))
+    moved = fields_of.join(pairs_of, file, "left").mapInArrow(_changes_of_files, f"export_stream string, {FOUND}")
     return plain.unionByName(moved)
 
 
