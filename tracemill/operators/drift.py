@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.runtime import checkpointed
+from tracemill.runtime import checkpointed, ship
 
 #: Changed fields up to this number (files x fields) are told to the Python workers; more are joined.
 MOST_TOLD = 50_000
@@ -88,6 +88,7 @@ def field_profiles(exports: DataFrame) -> DataFrame:
     Batches are profiled before the shuffle, so what is shuffled is bounded by files x fields a batch, however large or hot a
     file is. A file without any readable record still has one row, with a null field. Kinds that tie go by name.
     """
+    ship(exports.sparkSession)
     part = exports.select("export_stream", "export_file", "exported_at", "payload").mapInArrow(_profile, PROFILE)
     file = ["export_stream", "export_file"]
     merged = part.groupBy(*file, "field", "kind").agg(F.min("exported_at").alias("exported_at"), F.sum("n").alias("n"))
@@ -247,6 +248,7 @@ def rescued_values(exports: DataFrame, unknown: DataFrame, most_told: int = MOST
     ``unknown`` (export_stream, source, field) names the fields of a file (source) that the schema of the file before or after it doesn't know. Values
     go by the hash of the whole value, so nothing is sampled or cut; texts don't leave the batch they are read in.
     """
+    ship(exports.sparkSession)
     told = {(r[0], r[1], r[2]) for r in unknown.limit(most_told + 1).collect()}
     wanted = told if len(told) <= most_told else None
     raw = exports.select("export_stream", "export_file", "payload").mapInArrow(lambda b: _values(b, wanted), VALUES).withColumnRenamed("export_file", "source")
@@ -399,6 +401,7 @@ def ingest(exports: DataFrame, target: dict[str, str], changes: DataFrame | None
     read is rescued whole, under the empty name. Where two fields of a record lead back to one first name, or that name is there itself,
     one has it and the others keep their own.
     """
+    ship(exports.sparkSession)
     maps = exports.select("record_id", "export_stream", "export_file", "exported_at", "payload").mapInArrow(_leaf_maps, LEAVES)
     names = canonical_names(exports, file_changes(exports) if changes is None else changes)
     j = maps.withColumn("stream_key", F.coalesce("export_stream", F.lit(""))).join(names.withColumnRenamed("export_stream", "stream_key"), ["stream_key", "export_file"], "left")

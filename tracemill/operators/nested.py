@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.runtime import ship
+
 RECORD_SCHEMA = "record_id bigint, record_type string, session_id string, event_uuid string, parent_uuid string, event_time string, cwd string, agent_sourced boolean, n_items int, readable boolean"
 LINKS_SCHEMA = "record_id bigint, block_path string, parent_path string, block_type string"
 BLOCK_SCHEMA = f"{LINKS_SCHEMA}, depth int, block_text string, tool_name string, tool_use_id string, command string"
@@ -140,16 +142,19 @@ def blocks_table(records: DataFrame) -> DataFrame:
     Of repeated keys in an object the last holds. Items that are no object or have no text ``type`` are no blocks, but count as
     positions; their own content is not entered. Repeated rows give their blocks again, under their own record_id. Narrow: no shuffle.
     """
+    ship(records.sparkSession)
     return records.select("record_id", "payload").mapInArrow(_blocks, BLOCK_SCHEMA)
 
 
 def records_table(records: DataFrame) -> DataFrame:
     """The parent table: one row per record, readable or not."""
+    ship(records.sparkSession)
     return records.select("record_id", "payload").mapInArrow(_records, RECORD_SCHEMA)
 
 
 def links(records: DataFrame) -> DataFrame:
     """The child table's keys and kinds alone: what isn't asked for is neither built nor sent from Python."""
+    ship(records.sparkSession)
     return records.select("record_id", "payload").mapInArrow(lambda b: _blocks(b, detail=False), LINKS_SCHEMA)
 
 

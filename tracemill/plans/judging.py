@@ -57,7 +57,7 @@ QUERIES: dict[str, Query] = {
     "payload_key_sets": lambda s, d: census.key_sets(table(s, d, "attribution_exports"), "payload"),
     "ledger_column_differences": lambda s, d: census.column_differences(*(first_valid(s, d).filter(F.col("pass_id") == p).drop("pass_id") for p in passes(s, d)), ["session_id", "block_index"], ["score", "sheet_position"]),
     "display_paths": lambda s, d: R.path_tokens(s, d).select("path", display.display_path(F.col("path"), F.lit("/srv/app")).alias("shown")),
-    "session_lookup": lambda s, d: display.match_session(table(s, d, "active_sessions").select("session_id", "title").distinct(), "parser"),
+    "session_lookup": lambda s, d: display.match_session(table(s, d, "active_sessions").select("session_id", "title").distinct(), "fix"),
 }
 
 
@@ -100,5 +100,5 @@ SQL: dict[str, str] = {
     "unit_census": "select case when grouping(s) = 1 then 'TOTAL' else s end as source, case when grouping(k) = 1 then 'TOTAL' else k end as block_kind, count(*) as n from (select coalesce(source, 'none') as s, coalesce(block_kind, 'none') as k from documents) group by rollup (s, k)",
     "fence_census": "with c as (select text, len(regexp_extract_all(text, '(?m)^```')) as f, len(regexp_extract_all(text, '<think>')) as a, len(regexp_extract_all(text, '</think>')) as b from documents) select count(text) as n_texts, count(*) filter (f > 0) as n_fenced, count(*) filter (f % 2 = 1) as n_unpaired, cast(coalesce(sum(a), 0) as bigint) as n_opened, cast(coalesce(sum(b), 0) as bigint) as n_closed, count(*) filter (a <> b) as n_unbalanced from c",
     "display_paths": f"with {R._SCAN}, p as (select distinct path from scan) select path, case when path = '/srv/app' then '' when starts_with(path, '/srv/app/') then path[10:] else regexp_replace(path, '/(?:Users|home)/[^/\\s]+', '~', 'g') end as shown from p",
-    "session_lookup": "select distinct session_id, title, 'title' as matched_by from active_sessions where contains(lower(title), 'parser')",
+    "session_lookup": "select distinct session_id, title, 'title' as matched_by from active_sessions where contains(lower(title), 'fix')",
 }

@@ -34,7 +34,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions for inputs with fewer than the cluster has cores; larger inputs stay as they are read, unshuffled."""
+    """More partitions for inputs with fewer than the cluster has cores; larger inputs stay as they are read, unshuffled. Python follows, so
+    the package is sent."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -42,6 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder of ``spark.checkpoint.dir``. Only in local mode, as in tests, one is made where none is set: on
     a cluster a folder of this machine is none that the executors could read, so that is an error."""
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -55,8 +58,8 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 MOST_SENT, SALTS = 200_000, 32
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str], most: int = MOST_SENT) -> DataFrame:
-    """Inner join of many rows with a checkpointed table of one row a key; null keys meet null keys.
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], most: int = MOST_SENT, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of many rows with a checkpointed table of one row a key; null keys meet null keys.
 
     The table is counted. Up to ``most`` rows it is broadcast, so the rows stay where they are; beyond, they are shuffled with a salt and
     the table is repeated for each, so that a key that a third of the rows bear goes to many tasks.
@@ -64,7 +67,7 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], most: int = MOST
     key = lambda df: F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in on), *(F.col(c).isNull().alias(f"_{c}") for c in on))
     if table.count() <= most:
         t = table.select(key(table).alias("_key"), *(c for c in table.columns if c not in on))
-        return rows.withColumn("_key", key(rows)).join(F.broadcast(t), "_key").drop("_key")
+        return rows.withColumn("_key", key(rows)).join(F.broadcast(t), "_key", how).drop("_key")
     t = table.select(key(table).alias("_key"), *(c for c in table.columns if c not in on), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = rows.withColumn("_key", key(rows)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return salted.join(t, ["_key", "_salt"]).drop("_key", "_salt")
+    return salted.join(t, ["_key", "_salt"], how).drop("_key", "_salt")
