@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.operators.schema import EVENT_TYPES
+from tracemill.runtime import checkpointed, looked_up, ship
 
 #: Columns a header may name; a header's delimiter is its first character that is neither of a name nor a quote.
 COLUMNS = ("type", "sessionId", "uuid", "timestamp", "content", "eventIndex", "model")
@@ -131,13 +132,14 @@ def read_delimited(lines: DataFrame) -> DataFrame:
     the first that applies of quoting, column_count, invalid_value) and, for failed records, the raw text in ``corrupt_record``.
     Null or white-space-only lines are blank. A file without a header row has no columns, so all its records that keep the
     quoting rules fail by column_count. Repeated records are kept, as line_id tells them apart. Extra input columns are ignored.
-    The headers are one row a file; the join is Catalyst's choice (broadcast only below its size threshold, else skew-split).
+    The headers are one row a file and are counted: few are broadcast, so that the records stay where they are (see ``looked_up``).
     """
+    ship(lines.sparkSession)
     base = lines.select("line_id", "file_name", "line_no", "raw_line")
     body = base.filter(F.coalesce(F.col("line_no"), F.lit(-1)) != 0).filter(F.col("raw_line").rlike(r"\S"))
-    h = headers(base)
+    h = checkpointed(headers(base))
     at = (F.array_position("names", F.lit("content")) - 1).cast("double")
-    split = body.join(h, "file_name", "left").withColumn("s", _split("raw_line", "delimiter", at))
+    split = looked_up(body, h, ["file_name"], how="left").withColumn("s", _split("raw_line", "delimiter", at))
     col = {c: F.try_element_at(F.col("s.fields"), F.when(F.array_contains("names", c), F.array_position("names", F.lit(c)).cast("int")).otherwise(F.lit(10**6))) for c in COLUMNS}
     split = split.select("*", *(col[c].alias(f"v_{c}") for c in COLUMNS))
     has = lambda c: F.array_contains("names", c)
