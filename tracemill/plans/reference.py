@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import complexity, judge, shell, text
 from tracemill.operators import attribution, behaviour, joins, nested, sampling, scoring, stats, units, windows
 from tracemill.operators.schema import EVENT_TYPES
+from tracemill.plans.training import _BLOCKS as _NESTED
 from tracemill.runtime import checkpointed, spread, table
 from tracemill.sources import session_log
 
@@ -425,7 +426,7 @@ QUERIES: dict[str, Query] = {
     "unknown_types": lambda s, d: nested.records_table(table(s, d, "session_records")).filter(~F.col("record_type").isin(*EVENT_TYPES)).groupBy("record_type").agg(F.count("*").alias("n")),
     "tool_call_summary": tool_call_summary,
     "thinking_blocks": lambda s, d: session_blocks(s, d).filter("block_type = 'thinking' and session_id is not null").groupBy("session_id").agg(F.count("*").alias("n_blocks"), F.count_if("agent_sourced").alias("n_agent")),
-    "shell_paths": lambda s, d: session_log.shell_commands(table(s, d, "session_records")).select(F.split_part("command", F.lit(" "), F.lit(1)).alias("program"), shell.shell_paths(F.concat(F.lit("cat src/a.py && "), "command")).alias("paths")).groupBy("program").agg(F.count("*").alias("n_commands"), F.sum(F.size("paths")).alias("n_paths")),
+    "shell_paths": lambda s, d: session_log.shell_commands(table(s, d, "session_records")).select(F.split_part("command", F.lit(" "), F.lit(1)).alias("program"), shell.shell_paths("command").alias("paths")).groupBy("program").agg(F.count("*").alias("n_commands"), F.sum(F.size("paths")).alias("n_paths")),
     "json_first_object": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(judge.first_json_object(F.concat(F.lit("{ props: "), "props", F.lit(" }"))), "$.k").cast("long").alias("k")),
     "source_measures": source_measures,
     "python_complexity": python_complexity,
@@ -522,3 +523,14 @@ SQL: dict[str, str] = {
     "symbol_histogram": "select symbol, count(*) as n from (select unnest(string_split(p_name, ' ')) as symbol from part) where symbol <> '' group by 1",
 }
 SQL["last_first_title"] = "select session_id, arg_min(title, (mtime, title)) filter (title is not null) as first_value, arg_max(title, (mtime, title)) filter (title is not null) as last_value from active_sessions group by 1"
+_CALLS = f"""
+with recursive {_NESTED}, placed as (
+  select payload->>'$.sessionId' as sid, b->>'$.type' as kind, case when json_type(b->'$.id') = 'VARCHAR' then b->>'$.id' when json_type(b->'$.tool_use_id') = 'VARCHAR' then b->>'$.tool_use_id' end as tid, case when json_type(b->'$.name') = 'VARCHAR' then b->>'$.name' end as tool_name,
+    row(coalesce(payload->>'$.timestamp', ''), record_id, block_path) as pos
+  from items join session_records using (record_id) where json_type(b) = 'OBJECT' and json_type(b->'$.type') = 'VARCHAR' and payload->>'$.sessionId' is not null
+), u as (select *, lead(pos) over (partition by sid, tid order by pos) as following from placed where kind = 'tool_use' and tid is not null),
+r as (select sid, tid, pos from placed where kind = 'tool_result')"""
+SQL["tool_call_summary"] = f"""{_CALLS}, c as (select tool_name, exists (select 1 from r where r.sid = u.sid and r.tid = u.tid and r.pos > u.pos and (u.following is null or r.pos < u.following)) as hit from u)
+  select tool_name, count(*) as n_calls, count(*) filter (hit) as n_results from c group by 1"""
+SQL["thinking_blocks"] = f"""with recursive {_NESTED} select payload->>'$.sessionId' as session_id, count(*) as n_blocks, count(*) filter (payload->>'$.type' = 'progress') as n_agent
+  from blocks join session_records using (record_id) where block_type = 'thinking' and payload->>'$.sessionId' is not null group by 1"""
