@@ -188,3 +188,11 @@ def test_whole_report(spark, tmp_path):
     files = spark.read.json(f"{tmp_path}/files").collect()
     assert {r.path for r in files} == {f"p{i}" for i in range(1203)} and spark.read.json(f"{tmp_path}/baselines").count() == 1100
     assert spark.read.json(f"{tmp_path}/meta").first().n_files == 1203
+
+
+def test_actions_and_arguments(spark):
+    assert shell.action_of("cd /w && str_replace_editor view src/a.py --range 1") == ("str_replace_editor", ["src/a.py"])
+    assert shell.action_of("str_replace_editor undo") == ("str_replace_editor", []) and shell.action_of("cat x.md; head -n 2 y.md") == ("bash", ["x.md", "y.md"]) and shell.action_of(None) == ("bash", [])
+    df = spark.createDataFrame([("bash", '{"command": "cat a.md"}', "cat b.md"), ("str_replace_editor", '{"path": "c.py", "command": "view"}', None), ("think", '{"path": "d.py"}', ""), ("bash", '{"command": 5}', "x"), ("bash", "{", "x"), (None, None, "x")], "t string, a string, s string")
+    got = [(r.p, r.c.tool, r.c.paths) for r in df.select(shell.paths_of_arguments("t", "a").alias("p"), shell.actions("s").alias("c")).collect()]
+    assert got == [(["a.md"], "bash", ["b.md"]), (["c.py"], "bash", []), ([], "bash", []), ([], "bash", []), ([], "bash", []), ([], "bash", [])]

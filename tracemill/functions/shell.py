@@ -148,3 +148,48 @@ def think_span(text: Column) -> Column:
     body = F.substr(text, start + 7, F.length(text))
     last = F.length(body) - F.locate(">kniht/<", F.reverse(body)) - 6
     return F.when(start > 0, F.when(body.contains("</think>"), F.substr(body, F.lit(1), last - 1)).otherwise(body))
+
+
+#: Tools whose ``path`` argument is a file, and those whose ``command`` is a command line (fixed values).
+EDITORS = ("str_replace_editor", "str_replace_based_edit_tool", "Str Replace Editor")
+SHELLS = ("bash", "execute_bash", "Run Command Line Tool")
+
+
+def argument_paths(tool: str | None, arguments: dict | None, editors: tuple[str, ...] = EDITORS, shells: tuple[str, ...] = SHELLS) -> list[str]:
+    """Files that a tool's arguments name: an editor's path, those of a shell's command; other tools and other types name none."""
+    value = (arguments or {}).get("path" if tool in editors else "command") if tool in editors or tool in shells else None
+    if not isinstance(value, str) or not value:
+        return []
+    return [value] if tool in editors else paths_of(value)
+
+
+def action_of(text: str | None, editor: str = EDITORS[0]) -> tuple[str, list[str]]:
+    """(tool, files) of an action written as text: the editor's name, its command and a path, or else a command line."""
+    words = [w for w, _ in simple_commands((text or "").strip()) if w and w[0] != "cd"]
+    if words and words[0][0] == editor:
+        path = words[0][2] if len(words[0]) > 2 and not words[0][2].startswith("-") else ""
+        return editor, [path] if path not in ("", ".") else []
+    return SHELLS[0], paths_of(text)
+
+
+_ACTION = T.StructType([T.StructField("tool", T.StringType()), T.StructField("paths", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_ACTION)
+def actions(texts: pd.Series) -> pd.DataFrame:
+    """``action_of`` each text."""
+    return pd.DataFrame([action_of(t) for t in texts], columns=["tool", "paths"])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def paths_of_arguments(tools: pd.Series, arguments: pd.Series) -> pd.Series:
+    """``argument_paths`` of arguments written as JSON objects; what is no object has none."""
+
+    def one(tool: str | None, text: str | None) -> list[str]:
+        try:
+            value = json.loads(text) if text else None
+        except (ValueError, RecursionError):
+            value = None
+        return argument_paths(tool, value if isinstance(value, dict) else None)
+
+    return pd.Series([one(t, a) for t, a in zip(tools, arguments, strict=True)], dtype=object)
