@@ -54,7 +54,7 @@ QUERIES: dict[str, Query] = {
     "p6_agreement": lambda s, d: consensus.agreement(_labels(s, d)),
     "p7_ids": lambda s, d: bpe.encode_corpus(table(s, d, "documents")),
     "p8_packed": lambda s, d: _packed(s, d).withColumnRenamed("item_id", "doc_id"),
-    "p9_found": lambda s, d: pii.find(table(s, d, "documents")).distinct(),
+    "p9_found": lambda s, d: pii.find(table(s, d, "documents")),
     "p9_redacted": lambda s, d: pii.redact(table(s, d, "documents")),
     "p9_counts": lambda s, d: pii.counts(pii.find(table(s, d, "documents"))),
     "p8_fill": lambda s, d: packing.fill_report(_packed(s, d)),
