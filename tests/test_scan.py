@@ -349,6 +349,18 @@ def test_report(both, spark):
     assert [r["rank"] for r in top] == [1, 2] and top[0].marker_count >= top[1].marker_count
 
 
+def test_titles_and_top_components(both, spark):
+    rows = [("a", 1, {"type": "ai-title", "aiTitle": "old", "timestamp": "2026-01-01T00:00:00Z"}), ("a", 0, {"type": "ai-title", "aiTitle": "new", "timestamp": "2026-01-02T00:00:00Z"}), ("a", 2, {"type": "ai-title", "aiTitle": " ", "timestamp": "2026-01-03T00:00:00Z"}),
+            ("b", 3, {"type": "last-prompt", "lastPrompt": "# " + "x" * 70 + "\ny"}), ("c", 4, {"type": "user"}), ("d", 5, {"type": "user", "aiTitle": "no"})]
+    df = spark.createDataFrame([(f, i, json.dumps(o)) for f, i, o in rows], "file_name string, record_id long, payload string")
+    assert {(r.session, r.title) for r in scan.Scan(df).titles().collect()} == {("a", "new"), ("b", "x" * 59 + "…"), ("c", "(untitled)"), ("d", "(untitled)")}
+    s, _ = both
+    full = {r.path: r for r in s.file_scores().collect()}
+    for r in s.top_components().collect():
+        give = {k: full[r.path][f"{k}_contribution"] for k in scan.SIGNALS}
+        assert abs(give[r.signal]) == max(map(abs, give.values())) and r.signal == next(k for k in scan.SIGNALS if abs(give[k]) == abs(give[r.signal]))
+
+
 def test_no_records(spark):
     s = scan.Scan(spark.createDataFrame([], "record_id long, file_name string, payload string, session string, type int"))
     assert s.file_scores().count() == 0 and s.session_baselines().count() == 0 and s.excerpts_by_file().count() == 0

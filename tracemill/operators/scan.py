@@ -319,6 +319,19 @@ class Scan:
         parts = F.split("path", "/")
         return j.withColumn("name", F.element_at(parts, -1)).withColumn("directory", F.concat(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"), F.lit("/"))).withColumn("normalized_by_loc", F.col("score") / F.greatest(F.col("loc"), F.lit(1)))
 
+    def top_components(self) -> DataFrame:
+        """Per file the signal that adds most to its score, by absolute contribution; ties go to the one named first."""
+        ranked = F.array_max(F.array(*(F.struct(F.abs(F.col(f"{k}_contribution")).alias("size"), F.lit(-i).alias("place"), F.lit(k).alias("signal"), F.col(f"{k}_contribution").alias("contribution")) for i, k in enumerate(SIGNALS))))
+        return self.file_scores().select("path", "score", ranked.alias("x")).select("path", "score", F.col("x.signal").alias("signal"), F.col("x.contribution").alias("contribution"))
+
+    def titles(self) -> DataFrame:
+        """(session, title): the last ai-title with text, else the first last-prompt's first line, else '(untitled)'."""
+        e = self.records.select(F.col(self.session).alias("session"), "record_id", F.try_parse_json("payload").alias("v"))
+        of = lambda kind, path: F.when((_string(F.col("v"), "$.type") == kind) & _string(F.col("v"), path).rlike(r"\S"), _string(F.col("v"), path))
+        e = e.select("session", F.struct(_string(F.col("v"), "$.timestamp").try_cast("timestamp").alias("at"), "record_id").alias("at"), of("ai-title", "$.aiTitle").alias("title"), of("last-prompt", "$.lastPrompt").alias("prompt"))
+        g = e.groupBy("session").agg(F.max(F.when(F.col("title").isNotNull(), F.struct("at", "title")))["title"].alias("title"), F.min(F.when(F.col("prompt").isNotNull(), F.struct("at", "prompt")))["prompt"].alias("prompt"))
+        return g.select("session", F.coalesce("title", T.fallback_title(F.col("prompt")), F.lit("(untitled)")).alias("title"))
+
     def models(self) -> DataFrame:
         """Events and sessions of each model; assistant events without one are 'unknown'."""
         e = self.events.filter("model is not null or assistant_like").select(F.coalesce("model", F.lit("unknown")).alias("model"), "session")

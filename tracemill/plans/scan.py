@@ -48,6 +48,8 @@ QUERIES: dict[str, Query] = {
     "file_scores_full": lambda s, d: r6(scanned(s, d).file_scores()),
     "excerpts_by_file": lambda s, d: scanned(s, d).excerpts_by_file().select("path", "session", "block_index", "cluster_index", "rank", F.sha2("text", 256).alias("text_hash")),
     "scan_report": scan_report,
+    "top_components": lambda s, d: r6(scanned(s, d).top_components()),
+    "session_titles": lambda s, d: scanned(s, d).titles(),
     "report_top": lambda s, d: scoring.ranked(scanned(s, d).report_files().select("path", F.round("score", 6).alias("score"))),
 }
 
@@ -71,6 +73,11 @@ ev as (
 SQL: dict[str, str] = {
     "scan_events": f"""with {_EVENTS}, n as (select record_id, count(*) as n from block group by 1)
       select session, turn.record_id, event_index, segment_id, type, case when type = 'assistant' then p->>'$.message.model' when assistant_like then p->>'$.data.message.message.model' end as model, assistant_like, agent_sourced, coalesce(n, 0) as n_blocks from turn left join n using (record_id)""",
+    "session_titles": """with r as (select file_name as session, row(coalesce(try_cast(p->>'$.timestamp' as timestamptz), timestamptz '0001-01-01'), record_id) as at_, p->>'$.type' as type, case when json_type(p->'$.aiTitle') = 'VARCHAR' then p->>'$.aiTitle' end as title, case when json_type(p->'$.lastPrompt') = 'VARCHAR' then p->>'$.lastPrompt' end as prompt
+        from (select file_name, record_id, try_cast(payload as json) as p from session_records)),
+      g as (select session, arg_max(title, at_) filter (type = 'ai-title' and regexp_matches(title, '\\S')) as title, arg_min(prompt, at_) filter (type = 'last-prompt' and regexp_matches(prompt, '\\S')) as prompt from r group by 1),
+      f as (select session, title, regexp_replace(trim(split_part(regexp_replace(prompt, '^\\s+', ''), chr(10), 1)), '^# +', '') as line from g)
+      select session, coalesce(title, case when length(line) > 60 then line[1:59] || '…' else line end, '(untitled)') as title from f""",
     "scan_models": f"""with {_EVENTS}, m as (select session, case when type = 'assistant' then p->>'$.message.model' when assistant_like then p->>'$.data.message.message.model' end as model, assistant_like from turn)
       select coalesce(model, 'unknown') as model, count(*) as n_events, count(distinct session) as n_sessions from m where model is not null or assistant_like group by 1""",
 }
