@@ -90,3 +90,46 @@ def test_short_names():
     links = ["ana", "ng", "", "", ""] * 2
     a, b = pii.skip_pairs(links, np.zeros(10, np.int64), np.arange(10))
     assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 5), (1, 6)]
+
+
+def test_names_in_lower_case_lines():
+    """A line without a capital is read as any other: by its own words, and by links to a name elsewhere."""
+    assert pii.find_in(pii.Scorer(model(0.0)), ["then ask\nhi zorbat and\nthen"]) == [[(12, 18, "name")]]
+    text = "Hi Zorbat and\n\n" + "then ask\r\n" * 30 + "and ask zorbat then"
+    assert len(pii.find_in(pii.Scorer(model(0.0)), [text])[0]) == 1
+    assert [text[s:e] for s, e, _ in pii.find_in(pii.Scorer(model(2.0)), [text])[0]] == ["Zorbat", "zorbat"]
+
+
+def plainly(scorer, texts):
+    """The tokens of all lines of all texts, and the mentions by them."""
+    parts = [([(0, 0)] * 2, ["\n"] * 2, ["other"] * 2, [""] * 2), *(pii.tokens(t) for t in texts)]
+    spans, keys, classes, links = ([x for p in parts for x in p[i]] for i in range(4))
+    docs = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    unary = scorer.unary(scorer.ids(keys, classes))
+    plain = [k.islower() and k in scorer.vocabulary and "-" not in k for k in keys]
+    telling = {(d, part) for d, x, p, u in zip(docs, links, plain, unary, strict=True) if not p or u[1:].max() > u[0] for part in (x, *x.split("-"))}
+    links = [x if not p or (d, x) in telling else "" for d, x, p in zip(docs, links, plain, strict=True)]
+    labels = pii.infer(scorer, unary, links, docs)
+    found = [list(pii._mentions([spans[i] for i in at], labels[at], [keys[i] for i in at])) for at in (np.flatnonzero(docs == d) for d in range(1, len(parts)))]
+    return keys, classes, links, docs, found
+
+
+def test_run_reads_what_tokens_reads():
+    odd = ["", "\n\n", " \t", "a\x00b \x00\x00", "Hi jane@x.org\x00 and", "078-05-1120\x00", "Ask Bo\r\nor\nx@y.org,a@b.co", "Jean-Pierre met Pierre\n\n\nand pierre", "742 Evergreen Terrace,\nApt 3B\nx", "DNI 12345678Z 12345678Z\n" * 3, "mail ops@a.example\nask ops", "I. M. Ek\n" * 4]
+    texts = [unmarked(t)[0] for t in MARKED] + PLAIN + odd + ["\n".join(unmarked(t)[0].lower() for t in MARKED), "hi Then-Ask and then\nask then"]
+    for scorer in (pii._scorer(pii.load_model()), pii.Scorer(model(2.0))):
+        keys, classes, links, docs, mentions = plainly(scorer, texts)
+        run = pii.Run(scorer, texts)
+        # a blank line has two line ends in a run and none by itself
+        some, rows = [i for i, k in enumerate(keys) if k != "\n"], np.flatnonzero(run.numbers != scorer.words["\n"])
+        assert run.rows[rows].tolist() == scorer.ids([keys[i] for i in some], [classes[i] for i in some]).tolist() and run.docs[rows].tolist() == docs[some].tolist()
+        linked = run.links(scorer.unary(run.rows))
+        assert [linked[i] for i in rows] == [links[i] for i in some]
+        assert pii.find_in(scorer, texts) == mentions
+    assert pii.Run(scorer, []).mentions(np.zeros(4, np.int64)) == []
+
+
+def test_addresses_of_e_mails_and_looks_ahead():
+    texts = ["a AT b DOT com", "a\xa0AT b.com", "x\na [at] b [dot] org\ny {at} z.net", "a＠b.co\r\nc@d.co", "meet AT noon", "kleine Straße 5, Große Gasse 7", "Alte Kirchstraße 3", "Hauptstr.12 und Am A5weg 12", "c/ Mayor 5; avda. Real 3; GLORIETA Sol 9", "Kleine Gasse 3"]
+    want = [["a AT b DOT com"], ["a\xa0AT b.com"], ["a [at] b [dot] org", "y {at} z.net"], ["a＠b.co", "c@d.co"], [], ["kleine Straße 5", "Große Gasse 7"], ["Alte Kirchstraße 3"], ["Hauptstr.12", "Am A5weg 12"], ["c/ Mayor 5", "avda. Real 3", "GLORIETA Sol 9"], ["Kleine Gasse 3"]]
+    assert [[t[s:e] for s, e, _, _ in pii.chunks(t)] for t in texts] == want

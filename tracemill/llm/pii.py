@@ -7,6 +7,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +26,7 @@ MAX_MODEL_BYTES = 8 << 20
 PRUNE = 9.0
 ROUNDS = 8
 
+# looks ahead below pass over places at which what follows them can't match
 _SEP = r"[    .\-/‐‑–]"
 _CAP = r"[A-ZÀ-ÖØ-ÞŒ][\w’']*"
 _TOWN = rf"{_CAP}(?:-[\w’']+)*(?:[  ](?:(?:de|del|la|las|los|sur|sous|am|an|der|im|bei|le|les|du|des)[  ])*{_CAP}(?:-[\w’']+)*)*"
@@ -39,7 +41,7 @@ _US = (
 )
 _POST = rf"(?:(?:,[  ]?|\r?\n|[ ])(?:[A-Z]{{1,2}}-)?\d{{4,5}}[  ]{_TOWN})"
 _DE = (
-    r"(?:(?:(?:Große|Kleine|Alte|Neue|Obere|Untere|Hintere|Vordere|Lange|Kurze)[rsn]?[ ])?[A-ZÄÖÜ][\wäöüß]*(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig)|(?i:Große|Kleine|Alte|Neue|Obere|Untere|Hintere|Lange)[rsn]?[ ](?i:Straße|Strasse|Gasse|Allee)"
+    r"(?:(?:(?:Große|Kleine|Alte|Neue|Obere|Untere|Hintere|Vordere|Lange|Kurze)[rsn]?[ ])?(?=[A-ZÄÖÜ][^\W\d]*+\.?\s?\d)[A-ZÄÖÜ][\wäöüß]*(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig)|(?=[gG][rR]|[kK\u212a][lL]|[aA][lL]|[nN][eE]|[oO][bB]|[uU][nN]|[hH]\w|[lL][aA])(?i:Große|Kleine|Alte|Neue|Obere|Untere|Hintere|Lange)[rsn]?[ ](?i:Straße|Strasse|Gasse|Allee)"
     rf"|(?:Am|An[ ]der|An[ ]den|Im|In[ ]der|Zum|Zur|Auf[ ]dem|Auf[ ]der|Beim|Unter[ ]den|Hinter[ ]dem|AM|IM|ZUM|ZUR)[ ](?:{_CAP})(?:[ ]{_CAP})?)[  ]?\d{{1,4}}(?:[ ]?[A-Za-z]\b)?(?!\d)" + _POST + "?"
 )
 _FR = (
@@ -47,7 +49,7 @@ _FR = (
     rf"{_CAP}(?:-[\w’']+)*(?:[ ](?:(?:de|la|du|des|le|les)[ ])*{_CAP}(?:-[\w’']+)*)*" + _POST + "?"
 )
 _ES = (
-    r"(?i:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera|Callejón|Glorieta)[ ](?:(?i:de[ ]la|de[ ]los|de[ ]las|del|de)[ ])?"
+    r"(?=[cC][aA/]|[aA][vV]|[pP][lLzZaA.]|[rR][oO]|[tT][rR]|[gG][lL])(?i:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera|Callejón|Glorieta)[ ](?:(?i:de[ ]la|de[ ]los|de[ ]las|del|de)[ ])?"
     rf"{_CAP}(?:[ ](?:(?:de|la|del|los|las)[ ])*{_CAP})*,?[  ](?:(?i:nº|n\.º|núm\.|número|n°)[  ]?)?\d{{1,4}}\b(?:,?[  ]?\d{{1,2}}\.?º[  ]?(?:[A-Z]\b|izq\.?|dcha\.?)?)?" + _POST + "?"
 )
 _ID = (
@@ -61,16 +63,24 @@ _PHONE = (
     rf"|\(0\d{{1,4}}\){_SEP}?\d(?:{_SEP}?\d){{5,9}}|\(\d{{3}}\){_SEP}?\d{{3}}{_SEP}?\d{{4}}"
     rf"|0\d{{1,4}}{_SEP}\d(?:{_SEP}?\d){{5,9}}|0\d{{9,10}}|\d{{3}}{_SEP}?\d{{3}}{_SEP}?\d{{4}}|[6789]\d{{2}}{_SEP}?\d{{3}}{_SEP}?\d{{3}}|[6789]\d{{2}}{_SEP}?\d\d{_SEP}?\d\d{_SEP}?\d\d"
 )
-_NUMBER = re.compile(rf"(?<![\w@#$%])(?<![\d][.,:/-])(?:(?P<p>{_PHONE})(?![\w])|(?P<d>{_ID})(?![\w]))(?![.,:/-]\d)")
+_NUMBER = re.compile(rf"(?<![\w@#$%])(?=[\d(+]|[A-Za-z]{{1,2}}{_SEP}?\d|[A-Z][A-Z\d]{{2}})(?<![\d][.,:/-])(?:(?P<p>{_PHONE})(?![\w])|(?P<d>{_ID})(?![\w]))(?![.,:/-]\d)")
 _ONLY_ID = re.compile(rf"(?:{_ID})\Z")
 _ONLY_PHONE = re.compile(rf"(?:{_PHONE})\Z")
 _EMAILS = re.compile(_EMAIL)
-_STREETS = re.compile(rf"(?<![\w])(?:{_US}|{_DE}|{_FR}|{_ES})(?![\w])")
+#: One of these is in every e-mail address, and an address lies in one line.
+_AT = ("@", "＠", "(at)", "[at]", "{at}", *(f"{a}AT{b}" for a in " \xa0" for b in " \xa0"))
+_START = r"(?=[\dA-ZÄÖÜ\u212a]|a[lLvV]|c[aA/]|g[lLrR]|h\w|k[lL]|l[aA]|n[eE]|o[bB]|p[aAlLzZ.]|r[oO]|t[rR]|u[nN])"
+_STREETS = re.compile(rf"(?<![\w]){_START}(?:{_US}|{_DE}|{_FR}|{_ES})(?![\w])")
 _STREET_HINT = re.compile(r"\d")
-_CODE = r"[\w.-]*\w/[\w./-]+|\w+_\w[\w.]*(?:\(\))?|\w+\(\)"
+_CODE = r"[\w.-]*+(?<=\w)/[\w./-]+|\w+_\w[\w.]*(?:\(\))?|\w++\(\)"
 # most words are plain: nothing that could make them code, initials or compounds follows
-_PLAIN = r"[^\W\d_]{2,}(?![\w/(’'-]|\.\w)"
-_WORDS = re.compile(rf"{_PLAIN}|(?P<c>\x00+)|{_CODE}|[^\W\d_]\.(?=[  ]?[^\W\d_])|[^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*|\w+|\n|[^\w\s]")
+_PLAIN = r"(?:[A-Za-z]{2,}+|[^\W\d_]{2,}+)(?![\w/(’'-]|\.\w)"
+_TOKEN = (
+    rf"{_PLAIN}|[^\w\s.\-\x00]|\n|\x00+|{_CODE}|[^\W\d_]\.(?=[  ]?[^\W\d_])|[^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*|\w+|[^\w\s]"
+)
+_WORDS = re.compile(_TOKEN)
+#: The same with the blanks before them; the end is an empty word.
+_BLANKS_WORDS = re.compile(rf"[^\S\n]*+({_TOKEN}|\Z)")
 _SPACE_LABELS = {"word": (True, True, True, False, False, False, False), "comma": (True, False, True, False, False, False, False), "other": (True, False, False, False, False, False, False)}
 
 
@@ -89,8 +99,16 @@ def _street_end(text: str, start: int, end: int) -> int:
 def chunks(text: str) -> list[tuple[int, int, str, str]]:
     """Candidate spans that are no names: (start, end, possible labels, form), without overlaps; e-mails before addresses before numbers."""
     out: list[tuple[int, int, str, str]] = []
-    if "@" in text or "＠" in text or "at" in text or "AT" in text:
-        out += [(m.start(), m.end(), "E", "") for m in _EMAILS.finditer(text)]
+    lines = set()
+    for sign in _AT:
+        at = text.find(sign)
+        while at >= 0:
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            lines.add((text.rfind("\n", 0, at) + 1, end))
+            at = text.find(sign, end)
+    for begin, end in sorted(lines):
+        out += [(m.start(), m.end(), "E", "") for m in _EMAILS.finditer(text, begin, end)]
     taken = [(s, e) for s, e, _, _ in out]
     if _STREET_HINT.search(text):
         for m in _STREETS.finditer(text):
@@ -122,42 +140,67 @@ _LETTERS = re.compile(r"[^\W\d_]{2,}")
 
 
 def candidate(line: str, vocabulary: frozenset[str]) -> bool:
-    """Whether a line can hold a mention: a chunk, a word with a capital that no text writes in lower case, or a common given name."""
+    """Whether a line holds a chunk, a word with a capital that isn't in the vocabulary, or a common given name.
+
+    A rough choice: it passes over other names in lower case and words linked to a name elsewhere. ``find_in`` doesn't use it: it reads every line.
+    """
     if "\x00" in line:
         return True
     return any((w.lower() not in vocabulary and not w.islower()) or w.lower() in GIVEN for w in _LETTERS.findall(line))
 
 
+def masked_of(text: str, found: list[tuple[int, int, str, str]]) -> str:
+    """The text with zero characters in place of its chunks."""
+    if not found:
+        return text
+    parts, at = [], 0
+    for s, e, _, _ in found:
+        parts += [text[at:s], "\x00" * (e - s)]
+        at = e
+    return "".join(parts) + text[at:]
+
+
+def _class(w: str) -> str:
+    return "comma" if w == "," else "word" if w[0].isalpha() and "_" not in w and "/" not in w and "(" not in w else "other"
+
+
+def _link(w: str, kind: str) -> str:
+    return w.lower() if kind == "word" and (len(w) >= 4 or (len(w) >= 2 and w[0].isupper())) else ""
+
+
+def _chunk_link(span: str) -> str:
+    return re.sub(r"[\W_]+", "", span).lower()
+
+
 def tokens(text: str, vocabulary: frozenset[str] | None = None) -> tuple[list[tuple[int, int]], list[str], list[str], list[str]]:
     """(spans, word keys, label classes, links): chunks are one token each, then words, initials with their point, code, line ends and signs.
 
-    Tokens with equal links in a text tell of each other: a word in any case, a chunk's letters and digits. Given a vocabulary, lines that
-    can't hold a mention are left out; lines end in two line ends, as nothing in one tells of the next but by links.
+    Tokens with equal links in a text tell of each other: a word in any case, a chunk's letters and digits. Lines end in two line ends, as
+    nothing in one tells of the next but by links. All lines are read, unless a vocabulary is given (see ``candidate``).
     """
     found = chunks(text)
-    masked = text
-    if found:
-        parts, at = [], 0
-        for s, e, _, _ in found:
-            parts += [text[at:s], "\x00" * (e - s)]
-            at = e
-        masked = "".join(parts) + text[at:]
+    masked = masked_of(text, found)
+    return _tokens(text, found, masked, [(b, e) for b, e in _lines(masked) if vocabulary is None or candidate(masked[b:e], vocabulary)])
+
+
+def _tokens(text: str, found: list[tuple[int, int, str, str]], masked: str, lines: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[str], list[str], list[str]]:
+    """``tokens`` of some lines, in order."""
     spans, keys, classes, links, k = [], [], [], [], 0
     add_s, add_k, add_c, add_l = spans.append, keys.append, classes.append, links.append
-    for begin, end in _lines(masked):
-        if vocabulary is not None and not candidate(masked[begin:end], vocabulary):
-            continue
+    for begin, end in lines:
         for m in _WORDS.finditer(masked, begin, end):
             w = m.group()
             if w[0] == "\x00":
                 at = m.start()
+                while k < len(found) and found[k][0] < at:
+                    k += 1
                 while k < len(found) and found[k][0] < m.end():
                     s, e, kinds, form = found[k]
                     k += 1
                     add_s((s, e))
                     add_k(f"<{kinds}>{form}")
                     add_c(kinds)
-                    add_l(re.sub(r"[\W_]+", "", text[s:e]).lower())
+                    add_l(_chunk_link(text[s:e]))
                 if at == m.start() and not (spans and spans[-1][1] == m.end()):
                     add_s((m.start(), m.end()))
                     add_k("\x00")
@@ -166,9 +209,9 @@ def tokens(text: str, vocabulary: frozenset[str] | None = None) -> tuple[list[tu
                 continue
             add_s(m.span())
             add_k(w)
-            kind = "comma" if w == "," else "word" if w[0].isalpha() and "_" not in w and "/" not in w and "(" not in w else "other"
+            kind = _class(w)
             add_c(kind)
-            add_l(w.lower() if kind == "word" and (len(w) >= 4 or (len(w) >= 2 and w[0].isupper())) else "")
+            add_l(_link(w, kind))
         for _ in range(2):
             add_s((end, end))
             add_k("\n")
@@ -195,10 +238,20 @@ TITLES = frozenset("mr mrs ms miss dr prof professor sir madam m mme mlle monsie
 PARTICLES = frozenset("de la von zu zur van der den del y e le du di da dos bin al el".split())
 
 
+_LETTER_RUNS, _DIGIT_RUNS, _SMALL_RUNS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile("x+")
+#: Of ASCII letters and digits only the kind; words of equal kinds have one shape, however long their runs of small letters are.
+_FACES = {c: "X" if chr(c).isupper() else "x" if chr(c).islower() else "9" for c in range(128) if chr(c).isalnum()}
+
+
 def _cased(w: str) -> str:
     return "X" if w.isupper() and len(w) > 1 else ("XxX" if any(c.isupper() for c in w[2:]) else "Xx") if w[0].isupper() else "x"
 
 
+@lru_cache(65_536)
+def _shape(key: str) -> str:
+    return _LETTER_RUNS.sub(lambda m: _cased(m.group()), _DIGIT_RUNS.sub("9", key))
+
+
 def word_features(key: str, vocabulary: frozenset[str] = frozenset()) -> list[str]:
     """Features of one token by itself; with an offset they serve its neighbours.
 
@@ -209,7 +262,7 @@ def word_features(key: str, vocabulary: frozenset[str] = frozenset()) -> list[st
         kinds, form = key[1:].split(">", 1)
         return [f"k={kinds}", f"form={form}", f"lead={form[:4]}"]
     low = key.lower()
-    shape = re.sub(r"[^\W\d_]+", lambda m: _cased(m.group()), re.sub(r"\d+", "9", key))
+    shape = _shape(_SMALL_RUNS.sub("x", key.translate(_FACES))) if key.isascii() else _shape.__wrapped__(key)
     if not key[0].isalpha():
         return [f"w={key}" if len(key) == 1 else "w=9", f"s={shape[:12]}"]
     what = "t=" + ("given" if low in GIVEN else "title" if low.rstrip(".") in TITLES else "part" if low in PARTICLES else "known" if low in vocabulary else "new")
@@ -222,7 +275,10 @@ OFFSETS = (-2, -1, 0, 1, 2)
 
 
 def offset_features(key: str, offset: int, vocabulary: frozenset[str] = frozenset()) -> list[str]:
-    f = word_features(key, vocabulary)
+    return _at_offset(word_features(key, vocabulary), offset)
+
+
+def _at_offset(f: list[str], offset: int) -> list[str]:
     return [f"0{x}" for x in f] if offset == 0 else [f"{offset:+d}{x}" for x in (f[:2] if abs(offset) == 2 else f[:3])]
 
 
@@ -231,35 +287,82 @@ def allowed(cls: str) -> tuple[bool, ...]:
     return known if known is not None else (True, False, False, "E" in cls, "P" in cls, "D" in cls, "A" in cls)
 
 
+class _Words(dict):
+    """Numbers of words, given as they are met, with the score row and the link of each, whether it stands for chunks, the code of the vocabulary's
+    word that it is in any case (0: none) and whether it is that word in lower case."""
+
+    def __init__(self, scorer: Scorer) -> None:
+        super().__init__()
+        self.scorer = scorer
+        self.rows, self.codes = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.masked, self.plain = np.zeros(1024, bool), np.zeros(1024, bool)
+        self.links: list[str] = []
+        self.parts: dict[int, list[int]] = {}
+
+    def __missing__(self, w: str) -> int:
+        i = self[w] = len(self)
+        if i >= len(self.rows):
+            self.rows, self.codes, self.masked, self.plain = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.codes, self.masked, self.plain))
+        kind = _class(w)
+        self.rows[i] = self.scorer.row(w, kind)
+        self.masked[i] = w[0] == "\x00"
+        link, code = _link(w, kind), self.scorer.codes.get
+        self.links.append(link)
+        if link:
+            self.codes[i] = code(link, 0)
+            self.plain[i] = self.codes[i] > 0 and w.islower() and "-" not in w
+            if "-" in link:
+                self.parts[i] = [code(p) for p in link.split("-") if code(p)]
+        return i
+
+
 class Scorer:
-    """Score rows of every distinct token at each offset, filled as tokens are met; a document's unary scores are sums of such rows."""
+    """Score rows of every distinct token at each offset, filled as tokens are met; a document's unary scores are sums of such rows.
+    Tokens of equal features share a row."""
 
     def __init__(self, model: dict, most: int = 300_000) -> None:
         self.weights = {k: np.array(v, np.float32) for k, v in model["features"].items()}
         self.transition = np.array(model["transition"], np.float64)
         self.skip = float(model["skip"])
         self.vocabulary = frozenset(model["vocabulary"])
+        self.codes = {w: i for i, w in enumerate(model["vocabulary"], 1)}
         self.most = most
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[tuple[str, str], int] = {}
+        self.same: dict[tuple, int] = {}
         self.table = np.zeros((1024, len(OFFSETS), len(LABELS)), np.float32)
         self.mask = np.zeros((1024, len(LABELS)), bool)
-        self._row("\n", "other")
+        self.words = _Words(self)
+        self.row("\n", "other")
+
+    def fresh(self) -> None:
+        """Forget all tokens once there are many."""
+        if max(len(self.index), len(self.words)) > self.most:
+            self._reset()
+
+    def row(self, key: str, cls: str) -> int:
+        features = word_features(key, self.vocabulary)
+        alike = (cls, *features)
+        i = self.same.get(alike)
+        return self._add(features, cls, alike) if i is None else i
 
     def _row(self, key: str, cls: str) -> int:
-        i = len(self.index)
+        i = self.index[key, cls] = self.row(key, cls)
+        return i
+
+    def _add(self, features: list[str], cls: str, alike: tuple) -> int:
+        i = self.same[alike] = len(self.same)
         if i >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.mask = np.concatenate([self.mask, np.zeros_like(self.mask)])
         for j, o in enumerate(OFFSETS):
-            for f in offset_features(key, o, self.vocabulary):
+            for f in _at_offset(features, o):
                 w = self.weights.get(f)
                 if w is not None:
                     self.table[i, j] += w
         self.mask[i] = allowed(cls)
-        self.index[key, cls] = i
         return i
 
     def ids(self, keys: list[str], classes: list[str]) -> np.ndarray:
@@ -311,12 +414,18 @@ _PART = np.array([0, 1, 1, 2, 3, 4, 5])
 _AGREE = (_PART[:, None] == _PART[None, :]).astype(float)
 
 
+def _best(unary: np.ndarray) -> np.ndarray:
+    """The best score of each token's labels but 'O'."""
+    return np.maximum.reduce([unary[:, k] for k in range(1, len(LABELS))])
+
+
 def _open(unary: np.ndarray, links: list[str], docs: np.ndarray) -> np.ndarray:
     """The tokens that take part in message passing: those that may be a mention by themselves, and all that are linked to one."""
-    free = unary[:, 1:].max(1) > unary[:, 0] - PRUNE
+    free = _best(unary) > unary[:, 0] - PRUNE
     hot = {(d, part) for t, d in zip(np.flatnonzero(free).tolist(), docs[free].tolist(), strict=True) if links[t] for part in (links[t], *links[t].split("-"))}
-    rest = np.flatnonzero(~free)
-    rescued = [t for t, d in zip(rest.tolist(), docs[rest].tolist(), strict=True) if links[t] and ((d, links[t]) in hot or ("-" in links[t] and any((d, part) in hot for part in links[t].split("-"))))]
+    rest = np.array([t for t, link in enumerate(links) if link], np.int64)
+    rest = rest[~free[rest]]
+    rescued = [t for t, d in zip(rest.tolist(), docs[rest].tolist(), strict=True) if (d, links[t]) in hot or ("-" in links[t] and any((d, part) in hot for part in links[t].split("-")))]
     free[rescued] = True
     return np.flatnonzero(free)
 
@@ -391,12 +500,12 @@ def _mentions(spans: list[tuple[int, int]], labels: np.ndarray, keys: list[str])
             i += 1
 
 
-_MARKS = re.compile("[^\\W\\d_][\u0300-\u036f]+")
+_MARK, _MARKS = re.compile("[\u0300-\u036f]"), re.compile("[^\\W\\d_][\u0300-\u036f]+")
 
 
 def composed(text: str) -> tuple[str, list[int] | None]:
     """The text with letters and their combining marks made one, and the old place of every character (None: nothing changed)."""
-    if not _MARKS.search(text):
+    if text.isascii() or not _MARK.search(text) or not _MARKS.search(text):
         return text, None
     parts, places, at = [], [], 0
     for m in _MARKS.finditer(text):
@@ -412,28 +521,100 @@ def _back(mentions: list[tuple[int, int, str]], places: list[int] | None) -> lis
     return mentions if places is None else [(places[s], places[e], kind) for s, e, kind in mentions]
 
 
+class Run:
+    """All tokens of many texts (``tokens``) as one run with two line ends before it: the score row, line and text of each, both from 1.
+
+    Every word of every line is read, and looked up as a number; only spans are read again, of the lines with mentions (``mentions``).
+    """
+
+    def __init__(self, scorer: Scorer, texts: list[str]) -> None:
+        self.texts, self.known = texts, scorer.words
+        self.found = [chunks(t) for t in texts]
+        self.masked = [masked_of(t, f) for t, f in zip(texts, self.found, strict=True)]
+        whole, known = "\n".join(self.masked), scorer.words
+        sizes = np.array([len(x) for x in whole.split("\n")])
+        self.doc = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in self.masked]) if texts else np.zeros(1, np.int64)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.end = np.cumsum(sizes + 1) - 1 - starts[self.doc]
+        self.begin = self.end - sizes
+        end = known["\n"]
+        numbers = [np.full(1, end)]
+        at = 0
+        while at <= len(whole):
+            to = whole.find("\n", at + CHUNK_CHARS)
+            to = len(whole) if to < 0 else to
+            words = _BLANKS_WORDS.findall(whole, at, to)
+            while words and not words[-1]:
+                words.pop()
+            numbers += [np.fromiter(map(known.__getitem__, words), np.int32, len(words)), np.full(1, end)]
+            at = to + 1
+        numbers = np.concatenate(numbers)
+        ends, masked = numbers == end, known.masked[numbers]
+        times = 1 + ends
+        counts, keys, classes, links = self._chunks(whole, starts)
+        times[masked] = counts
+        at = np.repeat(np.arange(len(numbers), dtype=np.int32), times)
+        self.lines = (np.cumsum(ends) - ends)[at]
+        self.docs = np.concatenate([[0], self.doc + 1])[self.lines]
+        self.numbers = numbers[at]
+        self.rows = known.rows[self.numbers]
+        places = np.flatnonzero(masked[at])
+        self.rows[places] = scorer.ids(keys, classes)
+        self.chunk_links = dict(zip(places.tolist(), links, strict=True))
+
+    def links(self, unary: np.ndarray) -> list[str]:
+        """Links of all tokens. A word of the vocabulary that a text has in lower case only, nowhere likelier a mention than nothing by itself, has none:
+        its occurrences have nothing to tell each other, and the two labels of a name would outweigh the one of nothing by mere repetition."""
+        known, numbers = self.known, self.numbers
+        plain, codes, base = known.plain[numbers], known.codes[numbers], self.docs * (len(known.scorer.codes) + 1)
+        telling = np.flatnonzero(~plain | (_best(unary) > unary[:, 0]))
+        kept = (base + codes)[telling]
+        double = telling[np.isin(numbers[telling], list(known.parts))]
+        parts = [int(base[i]) + c for i in double.tolist() for c in known.parts[int(numbers[i])]]
+        silent = plain & ~np.isin(base + codes, np.unique(np.concatenate([kept, np.array(parts, np.int64)])))
+        links = list(map(known.links.__getitem__, np.where(silent, known["\n"], numbers).tolist()))
+        for i, link in self.chunk_links.items():
+            links[i] = link
+        return links
+
+    def _chunks(self, whole: str, starts: np.ndarray) -> tuple[list[int], list[str], list[str], list[str]]:
+        """Tokens of each run of zero characters (more than one if chunks touch), and all their keys, classes and links."""
+        found = [(a + s, a + e, kinds, form, _chunk_link(t[s:e])) for a, t, f in zip(starts.tolist(), self.texts, self.found) for s, e, kinds, form in f]
+        counts, keys, classes, links, k = [], [], [], [], 0
+        for m in re.finditer("\x00+", whole):
+            n, last = len(keys), -1
+            while k < len(found) and found[k][0] < m.end():
+                _, last, kinds, form, link = found[k]
+                keys.append(f"<{kinds}>{form}")
+                classes.append(kinds)
+                links.append(link)
+                k += 1
+            if last != m.end():
+                keys.append("\x00")
+                classes.append("other")
+                links.append("")
+            counts.append(len(keys) - n)
+        return counts, keys, classes, links
+
+    def mentions(self, labels: np.ndarray) -> list[list[tuple[int, int, str]]]:
+        """Mentions of each text by the labels of all tokens; none goes on over a line end."""
+        out: list[list[tuple[int, int, str]]] = [[] for _ in self.texts]
+        some = np.unique(self.lines[labels > 0])
+        for line, at in zip((some - 1).tolist(), np.searchsorted(self.lines, some).tolist(), strict=True):
+            d = int(self.doc[line])
+            spans, keys, _, _ = _tokens(self.texts[d], self.found[d], self.masked[d], [(int(self.begin[line]), int(self.end[line]))])
+            out[d] += _mentions(spans, labels[at : at + len(keys)], keys)
+        return out
+
+
 def find_in(scorer: Scorer, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """Mentions of each text, as (start, end, kind) in code points."""
-    if len(scorer.index) > scorer.most:
-        scorer._reset()
-    # every line has two line ends before it
-    spans, keys, classes, links, sizes, places = [(0, 0)] * 2, ["\n"] * 2, ["other"] * 2, [""] * 2, [2], [None]
-    for text in texts:
-        text, where = composed(text or "")
-        places.append(where)
-        s, k, c, x = tokens(text, scorer.vocabulary)
-        spans += s
-        keys += k
-        classes += c
-        links += x
-        sizes.append(len(k))
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    labels = infer(scorer, scorer.unary(scorer.ids(keys, classes)), links, doc)
-    out, at = [], 0
-    for n, where in zip(sizes, places, strict=True):
-        out.append(_back(list(_mentions(spans[at : at + n], labels[at : at + n], keys[at : at + n])), where))
-        at += n
-    return out[1:]
+    scorer.fresh()
+    whole = [composed(text or "") for text in texts]
+    run = Run(scorer, [text for text, _ in whole])
+    unary = scorer.unary(run.rows)
+    labels = infer(scorer, unary, run.links(unary), run.docs)
+    return [_back(found, places) for found, (_, places) in zip(run.mentions(labels), whole, strict=True)]
 
 
 _scorers: dict[int, Scorer] = {}
